@@ -8,6 +8,9 @@ lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,13 +19,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm._bytes import SPACE, WindowHash, buffers, slices
+from corpusloom.llm._bytes import SPACE, WindowHash, buffers, byte_class, slices
 
 WINDOW = 2048
 EOS_ID = 1
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct chunks that a task remembers; beyond it the memory starts anew.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 400_000
+
+LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
+#: ASCII bytes that are no letters.
+NOT_LETTER = byte_class((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -36,9 +43,10 @@ def default_vocabulary() -> str:
 def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunks of each row that byte-level BPE encodes alike alone and in context.
 
-    A chunk ends where white space follows a character that is none: no match of the splitting
-    pattern spans such a place, and none looks across it. After a lead byte under which Unicode
-    has further white space no cut is made, which only makes a chunk longer.
+    No match of the splitting pattern spans, and none looks across, a place where white space
+    follows a character that is none, or where another character follows a letter. Only such
+    places are cut. After a lead byte under which Unicode has further white space no cut is made,
+    and letters are told for ASCII and Latin-1 alone; a missed cut only makes a chunk longer.
     """
     n = len(data)
     cut = np.zeros(n, dtype=bool)
@@ -47,8 +55,10 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         odd = np.zeros(n, dtype=bool)
         odd[1:] |= data[:-1] == 0xC2
         odd[2:] |= np.isin(data[:-2], (0xE1, 0xE2, 0xE3))
-        solid &= ~odd
-        cut[1:] = SPACE[data[1:]] & solid[:-1]
+        cut[1:] = SPACE[data[1:]] & (solid & ~odd)[:-1]
+        letter = LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        cut[1:] |= letter[:-1] & NOT_LETTER[data[1:]]
     cut[offsets[:-1][offsets[:-1] < n]] = True
     starts = np.flatnonzero(cut)
     return starts, np.append(starts[1:], n)
@@ -57,47 +67,63 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class ChunkEncoder:
     """Token ids of texts, each distinct chunk being encoded once while it is remembered."""
 
-    def __init__(self, encode_batch: Callable[[list[str]], list[list[int]]], remember: int = CACHE_CHUNKS):
-        self._encode, self._remember, self._known = encode_batch, remember, {}
+    def __init__(self, encode: Callable[[bytes], bytes], remember: int = CACHE_CHUNKS):
+        self._encode, self._remember, self._known = encode, remember, {}
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column, and each row's bounds among them."""
         data, offsets = buffers(column)
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         starts, ends = chunk_spans(data, offsets)
-        keys = WindowHash(data)(starts, ends)
-        _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        moved = np.repeat(starts[first][which] - starts, ends - starts) + np.arange(len(data))
-        if not np.array_equal(data[np.minimum(moved, len(data) - 1)], data):  # two chunks share a hash
-            first, which = np.arange(len(starts)), np.arange(len(starts))
+        _, first, which = np.unique(WindowHash(data)(starts, ends), return_index=True, return_inverse=True)
+        twin = np.repeat(starts[first][which] - starts, ends - starts) + np.arange(len(data))
+        if not np.array_equal(data[np.minimum(twin, len(data) - 1)], data):  # different chunks share a hash
+            first = which = np.arange(len(starts))
         if len(self._known) > self._remember:
             self._known.clear()
-        known = self._known
-        raw = data.tobytes()
-        texts = [raw[starts[i] : ends[i]].decode("utf-8") for i in first]
-        new = [t for t in texts if t not in known]
-        if new:
-            known.update(zip(new, (np.asarray(ids, dtype="<u4") for ids in self._encode(new)), strict=True))
-        parts = [known[t] for t in texts]
-        sizes = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-        flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
-        begin = np.cumsum(sizes) - sizes
+        known, raw, parts = self._known, data.tobytes(), []
+        for low, high in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+            chunk = raw[low:high]
+            ids = known.get(chunk)
+            if ids is None:
+                known[chunk] = ids = self._encode(chunk)
+            parts.append(ids)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), dtype="<u4")
         counts = sizes[which]
         stops = np.cumsum(counts)
-        ids = flat[np.repeat(begin[which] - (stops - counts), counts) + np.arange(int(counts.sum()))]
-        bounds = np.concatenate(([0], stops))[np.searchsorted(starts, offsets, side="left")]
-        return ids, bounds
+        begin = (np.cumsum(sizes) - sizes)[which]
+        ids = flat[np.repeat(begin - (stops - counts), counts) + np.arange(int(stops[-1]))]
+        return ids, np.concatenate(([0], stops))[np.searchsorted(starts, offsets, side="left")]
 
 
 def load_encoder(path: str) -> ChunkEncoder:
     """The public vocabulary by the tokenizers library; the strings of special tokens are ordinary text."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return ChunkEncoder(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    # What a byte looks like to the model: printable bytes are themselves, the others follow from U+0100 on.
+    printable = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    others = [b for b in range(256) if b not in printable]
+    alphabet = {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+    # Chunks that are one match of the splitting pattern go straight to the merges.
+    single = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-/:-@\[-`{-~]+)").fullmatch
+    merges = tokenizer.model.tokenize
+
+    def encode(chunk: bytes) -> bytes:
+        word = chunk[1:] if chunk[0] == 0x20 else chunk
+        if word.isalpha():  # ASCII letters look like themselves
+            ids = [t.id for t in merges((alphabet[0x20] if len(word) < len(chunk) else "") + word.decode("ascii"))]
+        elif single(chunk):
+            ids = [t.id for t in merges(chunk.decode("latin-1").translate(alphabet))]
+        else:
+            ids = tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return ChunkEncoder(encode)
 
 
 class SumOfSquares:
