@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, packing
+from corpusloom.llm import bpe_tree, exact_dedup, licenses, packing, secrets, topk, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op3_licenses": licenses.op3_licenses,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_bpe": bpe_tree.op6_bpe,
+        "op7_secrets": secrets.op7_secrets,
+        "op9_top_k": topk.op9_top_k,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": exact_dedup.OP4_SQL,
+        "op9_top_k": topk.OP9_SQL,
+        "op10_url_filter": url_filter.OP10_SQL,
     }
