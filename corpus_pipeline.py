@@ -1,8 +1,71 @@
-"""Corpus pipeline."""
+"""Training corpus from raw documents: quality, exact and near duplicates, secrets, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a table that is written before the next stage
+reads it. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.llm import exact_dedup, jaccard_join, packing, quality, secrets
+from corpusloom.llm._store import materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among all documents, does not reject."""
+    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = quality.train(labelled, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.score_quality(docs.select(*COLUMNS), model).where("kept").select(*COLUMNS)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row that stays of each group of equal texts."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", "text_sha256")
+    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    marked = docs.select(*COLUMNS, digest.alias("digest"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), "text_sha256")
+    stay = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("text_sha256")), "left_semi")
+    # Where rows share id and text, the longest of them is the one that stays.
+    order = Window.partitionBy("doc_id", "digest").orderBy(F.desc(F.length("text")), "text", "source", "lang")
+    return stay.withColumn("place", F.row_number().over(order)).where("place = 1").select(*COLUMNS)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; documents without an id stay."""
+    groups = jaccard_join.near_duplicates(docs)
+    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    return known.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the secrets in its text replaced by a mark."""
+    return secrets.redact_secrets(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup_stage),
+    ("n-gram Jaccard join", near_dedup_stage),
+    ("secret scans", secret_scans),
+    ("packing", packing_stage),
+]
+
+#: A fitted classifier and a tokenizer are beyond SQL; the stages are tested against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

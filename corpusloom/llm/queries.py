@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe_tree, exact_dedup, licenses, packing, secrets, topk, url_filter
+from corpusloom.llm import bpe_tree, exact_dedup, html_text, jaccard_join, licenses, packing, quality, secrets, topk, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_html_text": html_text.op2_html_text,
         "op3_licenses": licenses.op3_licenses,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_bpe": bpe_tree.op6_bpe,
         "op7_secrets": secrets.op7_secrets,
+        "op8_quality": quality.op8_quality,
         "op9_top_k": topk.op9_top_k,
         "op10_url_filter": url_filter.op10_url_filter,
     }
@@ -20,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": exact_dedup.OP4_SQL,
+        "op5_jaccard_join": jaccard_join.OP5_SQL,
         "op9_top_k": topk.OP9_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
     }
