@@ -1,0 +1,164 @@
+"""Operators without a SQL twin, against plain Python, and controls that break an input on purpose."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as fx
+from corpusloom.operators import packing as ops
+from corpusloom.operators.graph import resolve_in_order
+from corpusloom.plans.ledger import chained, first_breaks, select_in_rank_order
+from corpusloom.plans.learning import quadrant
+from corpusloom.plans.mixture import water_fill
+from corpusloom.plans.text import longest_repeat
+from corpusloom.plans.windows import spikes
+
+
+def direct_repeat(tokens, largest=13):
+    best = (0, 0, -1)
+    for n in range(1, largest + 1):
+        if len(tokens) < 2 * n:
+            break
+        for i in range(len(tokens) - n + 1):
+            run = 1
+            while tokens[i : i + n] == tokens[i + run * n : i + (run + 1) * n] and i + (run + 1) * n <= len(tokens):
+                run += 1
+            if run > best[0]:
+                best = (run, n, i)
+    return best
+
+
+def test_longest_repeat_matches_a_direct_scan():
+    r = random.Random(1)
+    for _ in range(3000):
+        tokens = [r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 40))]
+        assert longest_repeat(tokens) == direct_repeat(tokens), tokens
+
+
+def test_resolution_in_order(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    r = random.Random(2)
+    nodes, pairs, want, base = [], [], {}, 0
+    for _ in range(60):
+        n = r.randint(1, 15)
+        edges = {(i, j) for j in range(n) for i in range(j) if r.random() < 0.25}
+        originals = []
+        for j in range(n):
+            first = next((i for i in originals if (i, j) in edges), None)
+            want[base + j] = None if first is None else base + first
+            if first is None:
+                originals.append(j)
+        nodes += [(base + j,) for j in range(n)]
+        pairs += [(base + i, base + j) for i, j in edges]
+        base += n
+    got = resolve_in_order(spark.createDataFrame(nodes, "id long"), spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {x.id: x.original for x in got} == want
+
+
+def direct_bins(lengths, ctx, policy):
+    order = sorted(lengths, key=lambda u: (-u[1], u[0])) if policy == "best_fit" else lengths
+    used = []
+    for _, n in order:
+        if n > ctx and policy != "whole":
+            used += [min(ctx, n - o) for o in range(0, n, ctx)]
+            continue
+        n = min(n, ctx)
+        fits = [i for i, u in enumerate(used) if u + n <= ctx]
+        if not fits:
+            used.append(n)
+        else:
+            used[min(fits, key=lambda i: (ctx - used[i] - n, i)) if policy == "best_fit" else fits[0]] += n
+    return used
+
+
+@pytest.mark.parametrize("policy", ["greedy", "best_fit", "whole"])
+def test_bins(spark, policy):
+    r = random.Random(3)
+    units = [("s", i, i, r.randint(1, 150)) for i in range(80)]
+    pieces = ops.binned(spark.createDataFrame(units, "shard string, id long, seq long, length long"), 64, policy).collect()
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p.win, []).append((p.offset, p.length))
+    for own in windows.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 64
+    want = direct_bins([(u[1], u[3]) for u in units], 64, policy)
+    assert sorted(sum(n for _, n in w) for w in windows.values()) == sorted(want)
+
+
+def test_concat_chop_covers_every_token(spark):
+    units = [("a", 1, 1, 70), ("a", 2, 2, 10), ("b", 3, 3, 5), ("a", 4, 4, 0)]
+    pieces = ops.concat_chop(spark.createDataFrame(units, "shard string, id long, seq long, length long"), 32).collect()
+    assert sorted((p.shard, p.win, p.id, p.start, p.length, p.offset) for p in pieces) == [
+        ("a", 0, 1, 0, 32, 0),
+        ("a", 1, 1, 32, 32, 0),
+        ("a", 2, 1, 64, 6, 0),
+        ("a", 2, 2, 0, 10, 6),
+        ("b", 0, 3, 0, 5, 0),
+    ]
+
+
+def test_an_edited_entry_breaks_the_chain_there(spark):
+    rows = [(1, i, f"payload {i}") for i in range(5)]
+    events = spark.createDataFrame(rows, "k long, step long, body string")
+    ledger = chained(events, "k", "step", "body").join(events, ["k", "step"])
+    assert first_breaks(ledger, "k", "step", "body").first().first_break is None
+    edited = ledger.withColumn("body", F.when(F.col("step") == 2, "changed").otherwise(F.col("body")))
+    assert first_breaks(edited, "k", "step", "body").first().first_break == 2
+    dropped = ledger.where("step <> 1")
+    assert first_breaks(dropped, "k", "step", "body").first().first_break == 2
+
+
+def test_one_spike_in_a_flat_series(spark):
+    series = [(1, i, 9.0 if i == 14 else 6.0 + (i % 2) * 0.01) for i in range(30)]
+    found = spikes(spark.createDataFrame(series, "user_id long, step long, value double")).collect()
+    assert [r.step for r in found] == [14]
+
+
+def test_selection_is_bounded_and_floors_come_first():
+    pool = [(i, "web" if i < 8 else "rare", 1.0 - i / 100) for i in range(12)]
+    out = {i: (d, r) for i, d, r in select_in_rank_order(pool, 6, {"web": 5, "rare": 5}, {"rare": 2})}
+    assert sum(d in ("accepted", "protected") for d, _ in out.values()) == 6
+    assert [i for i, (d, _) in out.items() if d == "protected"] == [8, 9]
+    assert out[7] == ("deferred", "batch_full")
+
+
+def test_water_fill_respects_caps_and_budget(spark):
+    supply = spark.createDataFrame([("a", 1.0), ("b", 10.0), ("c", 1000.0)], "lane string, amount double")
+    rows = {r.lane: r for r in water_fill(supply, "lane", "amount", 0.3, 4.0, 500.0).collect()}
+    assert rows["a"].capped and rows["a"].allocated == 4.0
+    assert rows["b"].capped and rows["b"].allocated == 40.0
+    assert rows["c"].allocated == pytest.approx(456.0)
+
+
+def test_quadrants(spark):
+    rows = [(8.0, 7.0), (8.0, 8.0), (6.0, 6.0), (5.0, 6.0)]
+    got = spark.createDataFrame(rows, "loss double, ref double").select(quadrant(F.col("loss"), F.col("ref"), F.lit(7.0)).alias("q"))
+    assert [r.q for r in got.collect()] == ["learnable_hard", "irreducible_hard", "already_learned", "saturating"]
+
+
+def test_personal_data_and_cleaning(spark):
+    text = "Write to  a.b@mail.example\tor 9876543210 at 12 Gandhi Road\n\n\n\nend\x07 "
+    row = spark.createDataFrame([(text,)], "t string").select(fx.clean_text("t").alias("c"), fx.pii_kinds(F.col("t")).alias("k"), fx.redact_pii(F.col("t")).alias("r")).first()
+    assert row.c == "Write to a.b@mail.example or 9876543210 at 12 Gandhi Road\n\nend"
+    assert row.k == ["email", "phone_in", "street_address"]
+    assert "@" not in row.r and "9876543210" not in row.r and "Gandhi" not in row.r
+
+
+def test_streaming_late_data_and_restart(spark, sf_dir, tmp_path):
+    from corpusloom.streaming import events as ev
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.where("event_id % 2 = 0").coalesce(1).write.parquet(source)
+    stream = ev.deduplicated(ev.read_events(spark, source), "30 days")
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(ev.append_ledger(out)).start().awaitTermination()
+    # Later files bring the other half, which is older in part, and the first half again.
+    events.coalesce(1).write.mode("append").parquet(source)
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(ev.append_ledger(out)).start().awaitTermination()
+    ledger = spark.read.parquet(out)
+    assert ledger.count() == ledger.select("event_id").distinct().count() == events.count()
