@@ -54,7 +54,7 @@ def test_sinks(spark, tmp_path):
     assert lines == [{"at": 1, "body": "a"}, {"at": 2, "body": "b"}, {"at": 3, "body": "c"}]
     sinks.learning_tables(spark.createDataFrame([("r", 0.12345678)], "branch_id string, loss double"), spark.createDataFrame([("r", 1.0)], "branch_id string, x double"), str(tmp_path / "l"))
     assert spark.read.parquet(str(tmp_path / "l/tokens")).first().loss == pytest.approx(0.123457)
-    sinks.shard_files(spark.createDataFrame([("s1", [1, 258])], "shard_id string, tokens array<int>"), str(tmp_path / "s"))
+    sinks.shard_files(spark.createDataFrame([("s1", [1, 258], "en")], "shard_id string, tokens array<int>, languages string"), str(tmp_path / "s"))
     assert bytes(spark.read.parquet(str(tmp_path / "s/tokens")).first().blob) == b"\x01\x00\x00\x00\x02\x01\x00\x00"
     sinks.evidence(df, str(tmp_path / "e"))
     assert spark.read.text(str(tmp_path / "e/markdown")).count() == 3
