@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of an Arrow batch where each holds a whole text.
+TEXT_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session hold no more than TEXT_ROWS rows, so that whole texts fit in a task's memory."""
+    spark.conf.set(ARROW_ROWS, min(int(spark.conf.get(ARROW_ROWS)), TEXT_ROWS))
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is run inside; for rows that hold whole texts several times over."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)

@@ -50,6 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ranged = (
         base.join(F.broadcast(frequent), "hash", "left")
         .withColumn("run", F.coalesce(F.pmod("row", "n_runs"), F.lit(0)))
+        .withColumn("spread", F.col("n_runs").isNotNull())
         .withColumn("head", F.substring(F.encode("norm", "UTF-8"), 1, SPLITTER_BYTES))
         .repartitionByRange("head", "hash", "run")
     )
@@ -59,6 +60,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id",
         "n_chars",
         "row",
+        "spread",
         F.sha2("norm", 256).alias("text_sha256"),
         F.row_number().over(best_first).alias("place"),
         F.count(F.lit(1)).over(equal).alias("run_size"),
@@ -68,13 +70,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rank = F.struct((-F.col("n_chars")).alias("len"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     groups = (
         runs.where("place = 1")
-        .groupBy("text_sha256")
+        .groupBy("text_sha256", "spread")
         .agg(F.min(rank).alias("best"), F.sum("run_size").alias("group_size"))
-        .select("text_sha256", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
-    )
-    return runs.join(groups, "text_sha256").select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
+        .select("text_sha256", "spread", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
     )
+    # Groups spread over runs are as few as frequent texts are, so their rows need no shuffle to meet them.
+    few = F.broadcast(groups.where("spread").drop("spread"))
+    apart = runs.where("spread").join(few, "text_sha256").unionByName(runs.where("not spread").join(groups.where("not spread").drop("spread"), "text_sha256"))
+    return apart.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,9 @@ from corpusloom.llm._store import materialize
 SAMPLE, PIVOTS, RINGS, BLOCK, QUERY_BLOCK = 2048, 32, 16, 256, 256
 SCALE = 256
 
+#: Below every score.
+NO_SCORE = -(1 << 63)
+
 RESULT = "query_row long, query_id long, vec_id long, score long"
 
 
@@ -104,24 +107,25 @@ def _route(batches: Iterator[pa.RecordBatch], directory: dict, first: bool) -> I
                         pa.array([int(directory["ring"][k])], pa.int64()),
                         pa.array([[h["row"] for h in picked]], pa.list_(pa.int64())),
                         pa.array([[h["vec_id"] for h in picked]], pa.list_(pa.int64())),
+                        pa.array([[NO_SCORE if h["beat"] is None else h["beat"] for h in picked]], pa.list_(pa.int64())),
                         pa.array([np.array([h["v"] for h in picked], dtype="<i8").tobytes()], pa.binary()),
                     ],
-                    names=["pivot", "ring", "query_rows", "query_ids", "query_data"],
+                    names=["pivot", "ring", "query_rows", "query_ids", "query_beats", "query_data"],
                 )
 
 
 def _search(batches: Iterator[pa.RecordBatch], k: int, dim: int) -> Iterator[pa.RecordBatch]:
-    """The k best vectors of a block for each query of a block; ties to the smaller id."""
+    """The k best vectors of a block for each query of a block that reach the query's score to beat; ties to the smaller id."""
     for batch in batches:
         for i in range(batch.num_rows):
-            rows, ids = (np.asarray(batch.column(c)[i].as_py(), dtype=np.int64) for c in ("query_rows", "query_ids"))
+            rows, ids, beats = (np.asarray(batch.column(c)[i].as_py(), dtype=np.int64) for c in ("query_rows", "query_ids", "query_beats"))
             q = np.frombuffer(batch.column("query_data")[i].as_py(), dtype="<i8").reshape(-1, dim)
             vec_rows, vec_ids = (np.asarray(batch.column(c)[i].as_py(), dtype=np.int64) for c in ("rows", "vec_ids"))
             x = np.asarray(batch.column("flat")[i].values, dtype=np.int64).reshape(-1, dim)
             scores = _products(q, x)
             out: list[list] = [[], [], [], []]
             for j in range(len(q)):
-                others = np.flatnonzero(vec_rows != rows[j])
+                others = np.flatnonzero((vec_rows != rows[j]) & (scores[j] >= beats[j]))
                 s = scores[j, others]
                 if len(s) > k:
                     others = others[s >= np.partition(s, len(s) - k)[len(s) - k]]
@@ -165,7 +169,7 @@ def _search_dim(vectors: DataFrame, is_query: str, k: int, dim: int) -> DataFram
             asked.groupBy(F.pmod(F.xxhash64("row"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("row", "vec_id", "v", "beat")).alias("queries")).select("queries")
         )
         routed = query_blocks.mapInArrow(
-            lambda b: _route(b, directory, first), "pivot long, ring long, query_rows array<bigint>, query_ids array<bigint>, query_data binary"
+            lambda b: _route(b, directory, first), "pivot long, ring long, query_rows array<bigint>, query_ids array<bigint>, query_beats array<bigint>, query_data binary"
         )
         return routed.join(blocks, ["pivot", "ring"]).mapInArrow(lambda b: _search(b, k, dim), RESULT)
 
