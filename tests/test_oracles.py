@@ -21,7 +21,7 @@ def duck(sf_dir):
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, (float, np.floating)) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and np.isnan(v)):
         return "null"
     if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, (bool, np.bool_)):
         return repr(round(float(v), 9))
