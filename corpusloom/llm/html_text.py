@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,24 @@ MARKS = frozenset(
 )
 MARKED_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 
+#: What may stand in a head; any other start tag ends it.
+HEAD_CONTENT = frozenset("head base basefont bgsound link meta template".split()) | RAW
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Start tags that end an open p.
+ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hr li main menu nav ol p pre section summary table ul".split()
+).union(HEADINGS)
+#: Items that the next one ends.
+ITEMS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
+#: Parts of a table and the open ones that each ends.
+CELLS = ("td", "th", "caption")
+ROWS = ("tr", *CELLS)
+PARTS = dict.fromkeys(("td", "th"), CELLS) | {"tr": ROWS} | dict.fromkeys(("tbody", "thead", "tfoot", "caption", "colgroup"), ("tbody", "thead", "tfoot", "colgroup", *ROWS))
+#: Elements that an end tag of an element around them does not reach past.
+SCOPES = ("table", "td", "th", "caption", "template")
+#: Blocks between which and the text there may be further items of a list.
+LOOSE = frozenset("address div form p".split())
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
@@ -67,13 +86,103 @@ def is_marked(attributes: str) -> bool:
     return False
 
 
+class OpenElements:
+    """The open elements of a page, with the end tags that HTML lets a page leave out, and those of them whose text is skipped."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.flags: list[bool] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.walls: list[int] = []
+        self.skipping = 0
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these names; -1 without one."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
+    def cut(self, place: int) -> None:
+        """End the element at a place and all in it."""
+        while len(self.tags) > place:
+            tag = self.tags.pop()
+            self.skipping -= self.flags.pop()
+            if tag:
+                self.places[tag].pop()
+            if self.walls and self.walls[-1] == len(self.tags):
+                self.walls.pop()
+
+    def take_out(self, tag: str) -> None:
+        """End the innermost element of a name, but none of those in it."""
+        place = self.places[tag].pop()
+        self.tags[place] = ""
+        self.skipping -= self.flags[place]
+        self.flags[place] = False
+
+    def release(self) -> None:
+        """Skip no open element any longer."""
+        self.flags = [False] * len(self.flags)
+        self.skipping = 0
+
+    def imply(self, tag: str) -> None:
+        """End the elements that a start tag, or text for the empty name, ends."""
+        head = self.last("head")
+        if head >= 0 and tag not in HEAD_CONTENT and self.last("template") < head:
+            self.cut(head)
+        if tag in PARTS:
+            table = self.last("table", "template")
+            ended = [place for t in PARTS[tag] if (place := self.last(t)) > table]
+            if ended:
+                self.cut(min(ended))
+        elif tag in ITEMS:
+            if self.walls and self.tags[self.walls[-1]] in ITEMS[tag]:
+                self.cut(self.walls[-1])
+        elif tag in HEADINGS:
+            if self.tags and self.tags[-1] in HEADINGS:
+                self.cut(len(self.tags) - 1)
+        elif tag == "button" and self.last("button") > self.last(*SCOPES):
+            self.cut(self.last("button"))
+        if tag in ENDS_P and self.last("p") > self.last("button", *SCOPES):
+            self.cut(self.last("p"))
+
+    def start(self, tag: str, skipped: bool) -> None:
+        if tag == "form" and self.places["form"]:
+            return  # no form is in another
+        place = len(self.tags)
+        self.places[tag].append(place)
+        if tag in BLOCKS and tag not in LOOSE:
+            self.walls.append(place)
+        self.tags.append(tag)
+        self.flags.append(skipped)
+        self.skipping += skipped
+
+    def end(self, tag: str) -> None:
+        """End the element that an end tag names, with those in it; without such an element nothing ends."""
+        place = self.last(*HEADINGS) if tag in HEADINGS else self.last(tag)
+        if tag == "template":
+            scope = -1
+        elif tag == "table":
+            scope = self.last("template")
+        elif tag in PARTS:
+            scope = self.last("table", "template")
+        else:
+            scope = self.last(*SCOPES)
+        if tag == "form" and place > self.last("template"):
+            self.take_out(tag)
+        elif place < 0 or place < scope:
+            return
+        elif tag in BLOCKS or place > max(self.last(*LOOSE), self.walls[-1] if self.walls else -1):
+            self.cut(place)
+        else:
+            self.take_out(tag)
+
+
 def lines_of(page: str) -> list[Line]:
     """One line per block of text, without markup and without the elements that hold no main text."""
     lines: list[Line] = []
     parts: list[str] = []
-    linked = inside = skip_depth = 0
+    linked = inside = 0
     in_link = False
-    skipped = ""
+    elements = OpenElements()
+    unclosed: set[str] = set()
     at, end = 0, len(page)
 
     def close() -> None:
@@ -87,10 +196,13 @@ def lines_of(page: str) -> list[Line]:
     while at < end:
         m = TAG.search(page, at)
         stop = m.start() if m else end
-        if stop > at and not skipped:
-            parts.append(page[at:stop])
-            if in_link:
-                linked += len(page[at:stop].strip())
+        if stop > at:
+            if elements.places["head"] and elements.tags[-1] == "head" and not page[at:stop].isspace():
+                elements.imply("")
+            if not elements.skipping:
+                parts.append(page[at:stop])
+                if in_link:
+                    linked += len(page[at:stop].strip())
         if not m:
             break
         at = m.end() if m.end() > m.start() else m.start() + 1
@@ -98,25 +210,34 @@ def lines_of(page: str) -> list[Line]:
         if not tag:
             continue
         closing = bool(m[1])
-        if skipped:
-            if tag == skipped:
-                skip_depth += -1 if closing else 1
-                if not skip_depth:
-                    skipped = ""
-            elif tag in KEPT and not closing and skipped not in ("head", "noscript", "template"):
-                skipped, skip_depth = "", 0  # an element that was never closed
-            if skipped or tag not in KEPT:
-                continue
         if not closing and tag in RAW:
-            close()
-            shut = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = shut.end() if shut else end
+            shut = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if not shut:
+                unclosed.add(tag)
+            if not elements.skipping:
+                close()
+                at = shut.end() if shut else end
+            elif shut:
+                at = shut.end()
+            continue
+        if closing:
+            elements.end(tag)
+        else:
+            elements.imply(tag)
+            if elements.skipping and tag in KEPT and not elements.places["template"]:
+                elements.release()  # an element that was never closed
+        open_ended = not closing and tag not in VOID and tag not in ("html", "body") and not m[3].endswith("/")
+        if elements.skipping:
+            if open_ended:
+                elements.start(tag, False)
             continue
         if not closing and tag not in VOID and tag not in ("html", "body") and (tag in DROPPED or (tag not in KEPT and is_marked(m[3]))):
             close() if tag in BLOCKS else None
-            if not m[3].endswith("/"):
-                skipped, skip_depth = tag, 1
+            if open_ended:
+                elements.start(tag, True)
             continue
+        if open_ended:
+            elements.start(tag, False)
         if tag in BLOCKS:
             close()
             if tag in KEPT:

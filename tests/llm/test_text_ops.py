@@ -182,6 +182,30 @@ def test_extraction_of_the_tables_pages(spark, sf_dir):
         assert html_text.extract(r.html) == "\n\n".join(b for b in blocks if b)
 
 
+UNENDED = {
+    "p": ('<article><p class="notice">Ad<p>Real text</p><p>More</p></article>', "Real text\n\nMore"),
+    "p before another block": ('<article><p class="ad">Ad <b>now<div>Real text</div><p>More</article>', "Real text\n\nMore"),
+    "li": ('<article><ul><li class="ad">Ad<li>Real item<li>Next</ul><p>Text</p></article>', "Real item\n\nNext\n\nText"),
+    "last li": ('<article><ul><li>Item<li class="ad">Ad<ul><li>in it</ul></ul><p>Text</p></article>', "Item\n\nText"),
+    "dt and dd": ('<article><dl><dt class="ad">Ad<dd>Real<dt>Term<dd class="ad">Ad</dl>Text</article>', "Real\n\nTerm\n\nText"),
+    "cells and rows": ('<article><table><tr><td class="ad">Ad<td>A<tr class="ad"><td>Ad<td>Ad<tr><td>B<td class="ad">Ad</table>Text</article>', "A\n\nB\n\nText"),
+    "div": ('<article><section><div class="ad">Ad</section><p>Text</p></article>', "Text"),
+    "end of the article": ("<article><p>Text</p></article><main><aside>Side</main><article><p>More</p></article>", "Text\n\nMore"),
+    "span": ('<article><p>One <span class="ad">Ad</p><p>Two</p></article>', "One\n\nTwo"),
+    "head": ("<html><head><title>T</title><meta name=a><body><div>" + "word " * 20 + "</div></body></html>", ("word " * 20).strip()),
+    "nested, ended": ('<article><div class="ad">Ad<div>Ad<p>Ad<p>Ad</div><script>"</div>"</script>Ad</div>Text</article>', "Text"),
+    "an end tag in a cell": ('<article><div class="ad"><table><tr><td>Ad</div>Ad</table>Ad</div>Text</article>', "Text"),
+    "a form across cells": ("<article><table><tr><td><form>Name</table></form><p>Text</article>", "Text"),
+    "a template": ("<article><template><article><p>No</article></template><p>Text</article>", "Text"),
+}
+
+
+@pytest.mark.parametrize("name", UNENDED)
+def test_extraction_where_end_tags_are_left_out(name):
+    page, want = UNENDED[name]
+    assert html_text.extract(page) == want
+
+
 def test_line_blocks_surge_and_dive():
     line = lambda n, linked=0, inside=False: html_text.Line("x" * n, linked, inside)
     lines = [line(10, 10), line(8, 8), line(200), line(3), line(90), line(12, 12), line(9, 9), line(7, 7), line(100), line(5)]
