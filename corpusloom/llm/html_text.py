@@ -26,18 +26,27 @@ WINDOW_LINES, SURGE = 3, 80
 
 #: Elements whose content is never shown, or never main text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
-DROPPED = frozenset("head nav header footer aside form button select menu dialog template svg canvas object audio video map fieldset figure".split()) | RAW
+DROPPED = frozenset("head nav header footer aside form button select menu dialog template svg canvas object audio video map".split()) | RAW
 KEPT = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article blockquote body center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 ) | DROPPED
-#: Words of class, id and role that mark boilerplate.
+#: Names in class and id that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form "
     "header menu menus modal nav navbar navigation newsletter notice notices notification popup promo promoted related reply replies respond search share sharing "
     "sidebar sidebars social sponsor sponsored subscribe subscription toc toolbar widget".split()
 )
+#: Words that make a known compound with a mark, before it and after it, and compounds of other words.
+BEFORE_MARK = frozenset("bottom global main mobile primary secondary site sub top".split())
+AFTER_MARK = frozenset("area bar block box button buttons container icons inner links list policy section signup slot thread toggle unit wrap wrapper".split())
+COMPOUNDS = frozenset(
+    "article-comments article-footer entry-comments entry-footer page-footer post-comments post-footer related-articles related-content related-links related-posts related-stories".split()
+)
+#: Elements whose id is often made from their own text, everywhere and in an article or main.
+TEXT_IDS = frozenset("h1 h2 h3 h4 h5 h6 a span dt".split())
+TEXT_IDS_INSIDE = TEXT_IDS | frozenset("section dd li p".split())
 MARKED_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 
 #: What may stand in a head; any other start tag ends it.
@@ -72,8 +81,20 @@ class Line:
     inside: bool
 
 
-def is_marked(attributes: str) -> bool:
-    """Whether class, id or role name boilerplate, or the element is hidden."""
+def names_boilerplate(name: str) -> bool:
+    """Whether a whole class or id is a mark, some marks, or a known compound with marks; a modifier after -- or a number at its end tells nothing."""
+    words = [w for w in re.split(r"[-_]+", (name.split("--")[0] or name).rstrip("0123456789")) if w]
+    if "-".join(words) in COMPOUNDS:
+        return True
+    while len(words) > 1 and words[0] in BEFORE_MARK:
+        words = words[1:]
+    while len(words) > 1 and words[-1] in AFTER_MARK and words[-1] not in MARKS:
+        words = words[:-1]
+    return bool(words) and all(w in MARKS for w in words)
+
+
+def is_marked(attributes: str, tag: str = "div", inside: bool = False) -> bool:
+    """Whether class, id or role name boilerplate, or the element is hidden; an id that its text may have given does not count."""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" and not value:
@@ -81,7 +102,9 @@ def is_marked(attributes: str) -> bool:
         if name == "role":
             if value in MARKED_ROLES:
                 return True
-        elif MARKS & set(re.split(r"[^a-z0-9]+", value)):
+        elif name == "id" and tag in (TEXT_IDS_INSIDE if inside else TEXT_IDS):
+            continue
+        elif any(map(names_boilerplate, value.split())):
             return True
     return False
 
@@ -231,7 +254,7 @@ def lines_of(page: str) -> list[Line]:
             if open_ended:
                 elements.start(tag, False)
             continue
-        if not closing and tag not in VOID and tag not in ("html", "body") and (tag in DROPPED or (tag not in KEPT and is_marked(m[3]))):
+        if not closing and tag not in VOID and tag not in ("html", "body") and (tag in DROPPED or (tag not in KEPT and is_marked(m[3], tag, inside > 0))):
             close() if tag in BLOCKS else None
             if open_ended:
                 elements.start(tag, True)
@@ -264,7 +287,7 @@ def main_lines(lines: list[Line]) -> list[Line]:
             # The dive: a line from which on a whole window has no text.
             while stop < n and (size[stop] if anchored else sum(size[stop : stop + WINDOW_LINES])):
                 stop += 1
-            kept += [lines[k] for k in range(i, stop) if anchored or size[k] > lines[k].linked]
+            kept += lines[i:stop]
             i = stop
         else:
             i += 1

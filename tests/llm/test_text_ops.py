@@ -206,6 +206,30 @@ def test_extraction_where_end_tags_are_left_out(name):
     assert html_text.extract(page) == want
 
 
+WORDS = ("word " * 20).strip()
+WHOLE = {
+    "ids of sections and headings": (
+        '<article><section id="related-work"><h2 id="search-algorithms">Search</h2><p>A</p></section><section id="search"><h2 id="related">Related</h2><p>B</p></section><div id="ad-hoc-networks">C</div></article>',
+        "Search\n\nA\n\nRelated\n\nB\n\nC",
+    ),
+    "heading outside an article": (f'<h2 id="search">{WORDS}</h2><p>{WORDS}</p>', f"{WORDS}\n\n{WORDS}"),
+    "layout": (f'<div class="layout has-sidebar"><p>{WORDS}</p><div class="sidebar">{WORDS}</div></div>', WORDS),
+    "layout with a modifier": (f'<div class="page--with-sidebar"><p>{WORDS}</p></div>', WORDS),
+    "figure and fieldset": ("<article><figure><pre>code</pre><figcaption>Caption</figcaption></figure><fieldset><legend>L</legend>Field</fieldset><table><tr><td>cell</table></article>", "code\n\nCaption\n\nLField\n\ncell"),
+    "links between surge and dive": (f"<div><p>{WORDS}</p><p>See <a href=a>this long linked reference</a></p><p><a href=b>linked</a></p><p>{WORDS}</p><p><a href=c>after</a></p></div>", f"{WORDS}\n\nSee this long linked reference\n\nlinked\n\n{WORDS}"),
+    "still boilerplate": (
+        f'<div class="main-menu">{WORDS}</div><div id="sidebar-2">{WORDS}</div><div class="x cookie_notice">{WORDS}</div><div class="header__nav">{WORDS}</div><div class="comments-area">{WORDS}</div><div class="sidebar--wide">{WORDS}</div><div class="ad_slot_3">{WORDS}</div><div class="related-posts">{WORDS}</div><p>Text {WORDS}</p>',
+        f"Text {WORDS}",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_extraction_drops_nothing_else(name):
+    page, want = WHOLE[name]
+    assert html_text.extract(page) == want
+
+
 def test_line_blocks_surge_and_dive():
     line = lambda n, linked=0, inside=False: html_text.Line("x" * n, linked, inside)
     lines = [line(10, 10), line(8, 8), line(200), line(3), line(90), line(12, 12), line(9, 9), line(7, 7), line(100), line(5)]
