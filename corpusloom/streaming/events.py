@@ -32,7 +32,15 @@ def sessions(events: DataFrame, late: str = "1 hour", gap: str = "1 hour") -> Da
     return w.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
+def deduplicated(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Every event once, and every event without an id.
+
+    Without ``late`` nothing is dropped as too late, and the state holds a key of every event. With it
+    the state is bounded, and events that are older than the newest by more than that are dropped.
+    """
+    if late is None:
+        keyed = events.withColumn("unknown", F.when(F.col("event_id").isNull(), F.uuid()))
+        return keyed.dropDuplicates(["event_id", "unknown"]).drop("unknown")
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
