@@ -1,7 +1,7 @@
 """Exact top-k inner-product search with a pivot-distance index.
 
-Each vector belongs to its nearest pivot and, by its distance from it, to an annulus. Annuli are cut
-into blocks of bounded size. A block of queries first searches the annulus that promises most to
+Each vector belongs to the nearest pivot of its length and, by its distance from it, to an annulus.
+Annuli are cut into blocks of bounded size; one job serves all lengths. A block of queries first searches the annulus that promises most to
 learn a score to beat, then only the annuli whose triangle-inequality bound can still reach it.
 """
 
@@ -10,14 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm._store import materialize
 
-#: Vectors that pivots are chosen from (at most), pivots, annuli of a pivot, vectors and queries of a block.
+#: Vectors that the pivots of a length are chosen from (at most), pivots, annuli of a pivot, vectors and queries of a block.
 SAMPLE, PIVOTS, RINGS, BLOCK, QUERY_BLOCK = 2048, 32, 16, 256, 256
+#: Vectors of one length that are placed at once.
+PACK = 1024
 SCALE = 256
 
 #: Below every score.
@@ -44,22 +47,45 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    flat = np.asarray(column.flatten(), dtype=np.int64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+def _pivots(frame: pd.DataFrame, block: int) -> pd.DataFrame:
+    """The pivots of one length and the width of their annuli, from a sample; a length that fits in a block has one annulus."""
+    frame = frame.sort_values(["place", "row"])[:SAMPLE]
+    x = np.array(frame["v"].tolist(), dtype=np.float64)
+    many = frame["n"].iloc[0] > block
+    pivots = choose_pivots(x, PIVOTS if many else 1)
+    spread = np.sqrt(np.min([((x - p) ** 2).sum(axis=1) for p in pivots], axis=0))
+    width = max(float(spread.max()), 1.0) / (RINGS - 1) if many else np.inf
+    return pd.DataFrame({"dim": frame["dim"].iloc[:1].to_numpy(), "pivots": [pivots.astype("<f8").tobytes()], "width": [width]})
 
 
-def _assign(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, width: float, rings: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one length and one batch together, so that each pack is joined with its pivots once."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        v = _matrix(batch.column("v")).astype(np.float64)
-        far = np.stack([np.sqrt(((v - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
-        pivot = far.argmin(axis=1)
-        dist = far[np.arange(len(v)), pivot]
-        ring = np.minimum((dist / width).astype(np.int64), rings - 1)
-        extra = [pa.array(pivot, pa.int64()), pa.array(ring, pa.int64()), pa.array(dist, pa.float64()), pa.array(np.sqrt((v * v).sum(axis=1)), pa.float64())]
-        yield pa.record_batch([*batch.columns, *extra], names=[*batch.schema.names, "pivot", "ring", "dist", "norm"])
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            same = np.flatnonzero(dims == dim)
+            for i in range(0, len(same), PACK):
+                part = batch.take(pa.array(same[i : i + PACK]))
+                held = [part.column("row"), part.column("vec_id"), part.column("v").flatten()]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in held]
+                yield pa.record_batch([pa.array([dim], pa.int64()), *lists], names=["dim", "rows", "vec_ids", "flat"])
+
+
+def _assign(batches: Iterator[pa.RecordBatch], rings: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            dim, width = batch.column("dim")[i].as_py(), batch.column("width")[i].as_py()
+            pivots = np.frombuffer(batch.column("pivots")[i].as_py(), dtype="<f8").reshape(-1, dim)
+            rows, vec_ids, flat = (batch.column(c)[i].values for c in ("rows", "vec_ids", "flat"))
+            v = np.asarray(flat, dtype=np.float64).reshape(-1, dim)
+            far = np.stack([np.sqrt(((v - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+            pivot = far.argmin(axis=1)
+            dist = far[np.arange(len(v)), pivot]
+            ring = np.minimum((dist / width).astype(np.int64), rings - 1)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(v) * dim + 1, dim), pa.int32()), flat)
+            dims = pa.array(np.full(len(v), dim), pa.int64())
+            extra = [pa.array(pivot, pa.int64()), pa.array(ring, pa.int64()), pa.array(dist, pa.float64()), pa.array(np.sqrt((v * v).sum(axis=1)), pa.float64())]
+            yield pa.record_batch([dims, rows, vec_ids, vectors, *extra], names=["dim", "row", "vec_id", "v", "pivot", "ring", "dist", "norm"])
 
 
 def bounds(queries: np.ndarray, directory: dict) -> np.ndarray:
@@ -87,11 +113,13 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
-def _route(batches: Iterator[pa.RecordBatch], directory: dict, first: bool) -> Iterator[pa.RecordBatch]:
+def _route(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
     """For each block of queries and each annulus that its queries still have to search, one row with those queries."""
     for batch in batches:
         for row in batch.to_pylist():
             held = row["queries"]
+            directory = {c: np.array([cell[c] for cell in row["cells"]]) for c in ("pivot", "ring", "low", "high", "norm")}
+            directory["pivots"] = np.frombuffer(row["pivots"], dtype="<f8").reshape(-1, row["dim"])
             bound = bounds(np.array([h["v"] for h in held], dtype=np.int64), directory)
             home = bound.argmax(axis=1)
             if first:
@@ -103,6 +131,7 @@ def _route(batches: Iterator[pa.RecordBatch], directory: dict, first: bool) -> I
                 picked = [held[i] for i in np.flatnonzero(todo[:, k])]
                 yield pa.record_batch(
                     [
+                        pa.array([row["dim"]], pa.int64()),
                         pa.array([int(directory["pivot"][k])], pa.int64()),
                         pa.array([int(directory["ring"][k])], pa.int64()),
                         pa.array([[h["row"] for h in picked]], pa.list_(pa.int64())),
@@ -110,14 +139,15 @@ def _route(batches: Iterator[pa.RecordBatch], directory: dict, first: bool) -> I
                         pa.array([[NO_SCORE if h["beat"] is None else h["beat"] for h in picked]], pa.list_(pa.int64())),
                         pa.array([np.array([h["v"] for h in picked], dtype="<i8").tobytes()], pa.binary()),
                     ],
-                    names=["pivot", "ring", "query_rows", "query_ids", "query_beats", "query_data"],
+                    names=["dim", "pivot", "ring", "query_rows", "query_ids", "query_beats", "query_data"],
                 )
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int, dim: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """The k best vectors of a block for each query of a block that reach the query's score to beat; ties to the smaller id."""
     for batch in batches:
         for i in range(batch.num_rows):
+            dim = batch.column("dim")[i].as_py()
             rows, ids, beats = (np.asarray(batch.column(c)[i].as_py(), dtype=np.int64) for c in ("query_rows", "query_ids", "query_beats"))
             q = np.frombuffer(batch.column("query_data")[i].as_py(), dtype="<i8").reshape(-1, dim)
             vec_rows, vec_ids = (np.asarray(batch.column(c)[i].as_py(), dtype=np.int64) for c in ("rows", "vec_ids"))
@@ -142,36 +172,51 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _search_dim(vectors: DataFrame, is_query: str, k: int, dim: int) -> DataFrame:
-    """Search among the vectors of one length; ``vectors`` has row, vec_id and v."""
-    sample = vectors.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("v").toPandas()["v"]
-    pivots = choose_pivots(np.array(sample.tolist(), dtype=np.float64), PIVOTS)
-    spread = np.sqrt(((np.array(sample.tolist(), dtype=np.float64)[:, None] - pivots[None]) ** 2).sum(axis=2)).min(axis=1)
-    width = max(float(spread.max()), 1.0) / (RINGS - 1)
-    schema = "row long, vec_id long, v array<bigint>, pivot long, ring long, dist double, norm double"
-    placed = materialize(vectors.select("row", "vec_id", "v").mapInArrow(lambda b: _assign(b, pivots, width, RINGS), schema), "placed")
-    rings = placed.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"), F.max("norm").alias("norm"))
-    table = rings.orderBy("pivot", "ring").toPandas()  # at most PIVOTS * RINGS rows
-    directory = {c: table[c].to_numpy() for c in ("pivot", "ring", "low", "high", "norm")} | {"pivots": pivots}
-    sizes = F.broadcast(placed.sparkSession.createDataFrame(table[["pivot", "ring", "n"]]))
+def _placed(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every vector with its pivot and annulus, and the pivots of every length; ``vectors`` has row, vec_id, v and dim."""
+    counts = materialize(vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    # By a hash of the row, somewhat more than SAMPLE rows of a length, and all rows of a short one.
+    place = F.shiftrightunsigned(F.xxhash64("row"), 1)
+    drawn = vectors.join(counts, "dim").withColumn("place", place).where((F.col("n") <= 2 * SAMPLE) | (F.col("place") < 1.25 * SAMPLE * float(1 << 63) / F.col("n")))
+    block = BLOCK
+    pivots = materialize(
+        drawn.select("dim", "n", "place", "row", "v").groupBy("dim").applyInPandas(lambda frame: _pivots(frame, block), "dim long, pivots binary, width double"), "pivots"
+    )
+    packs = vectors.select("dim", "row", "vec_id", "v").mapInArrow(_pack, "dim long, rows array<bigint>, vec_ids array<bigint>, flat array<bigint>")
+    schema = "dim long, row long, vec_id long, v array<bigint>, pivot long, ring long, dist double, norm double"
+    return materialize(packs.join(pivots, "dim").mapInArrow(lambda b: _assign(b, RINGS), schema), "placed"), pivots
+
+
+def _search_all(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
+    """Search among the vectors of each length; ``vectors`` has row, vec_id, v and dim."""
+    placed, pivots = _placed(vectors)
+    annulus = ["dim", "pivot", "ring"]
+    asks = F.count_if(F.expr(is_query)).alias("asked")
+    rings = placed.groupBy(*annulus).agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"), F.max("norm").alias("norm"), asks)
+    rings = materialize(rings, "rings")
+    # At most PIVOTS * RINGS cells for each length.
+    cells = rings.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("pivot", "ring", "low", "high", "norm"))).alias("cells"), F.sum("asked").alias("asked"))
+    directory = materialize(cells.where("asked > 0").join(pivots.drop("width"), "dim"), "directory")
     blocks = (
-        placed.join(sizes, ["pivot", "ring"])
+        placed.join(rings.select(*annulus, "n"), annulus)
         .withColumn("chunk", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / BLOCK).cast("long")))
-        .groupBy("pivot", "ring", "chunk")
+        .groupBy(*annulus, "chunk")
         .agg(F.collect_list(F.struct("row", "vec_id", "v")).alias("held"))
-        .select("pivot", "ring", F.col("held.row").alias("rows"), F.col("held.vec_id").alias("vec_ids"), F.flatten("held.v").alias("flat"))
+        .select(*annulus, F.col("held.row").alias("rows"), F.col("held.vec_id").alias("vec_ids"), F.flatten("held.v").alias("flat"))
     )
-    queries = placed.where(is_query)
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    queries = placed.where(is_query).join(directory.select("dim", F.ceil(F.col("asked") / QUERY_BLOCK).cast("long").alias("n_blocks")), "dim")
 
     def run(asked: DataFrame, first: bool) -> DataFrame:
         query_blocks = (
-            asked.groupBy(F.pmod(F.xxhash64("row"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("row", "vec_id", "v", "beat")).alias("queries")).select("queries")
+            asked.groupBy("dim", F.pmod(F.xxhash64("row"), F.col("n_blocks")).alias("block"))
+            .agg(F.collect_list(F.struct("row", "vec_id", "v", "beat")).alias("queries"))
+            .join(directory.select("dim", "cells", "pivots"), "dim")
+            .select("dim", "queries", "cells", "pivots")
         )
         routed = query_blocks.mapInArrow(
-            lambda b: _route(b, directory, first), "pivot long, ring long, query_rows array<bigint>, query_ids array<bigint>, query_beats array<bigint>, query_data binary"
+            lambda b: _route(b, first), "dim long, pivot long, ring long, query_rows array<bigint>, query_ids array<bigint>, query_beats array<bigint>, query_data binary"
         )
-        return routed.join(blocks, ["pivot", "ring"]).mapInArrow(lambda b: _search(b, k, dim), RESULT)
+        return routed.join(blocks, annulus).mapInArrow(lambda b: _search(b, k), RESULT)
 
     near = materialize(_best(run(queries.withColumn("beat", F.lit(None).cast("long")), True), k), "near")
     beat = near.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("beat"))
@@ -187,14 +232,8 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "ve
     components take no part. Vectors are compared with those of their own length. Queries get all
     other rows where these are fewer than k; without queries or rows the result is empty.
     """
-    spark = vectors.sparkSession
-    clean = materialize(quantised(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    lengths = sorted(r[0] for r in clean.select(F.size("v")).distinct().limit(64).collect())
-    results = [_search_dim(clean.where(F.size("v") == n), is_query, k, n) for n in lengths]
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    for r in results:
-        empty = empty.unionByName(r.select("query_id", "rank", "vec_id", "score"))
-    return empty
+    clean = materialize(quantised(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("v").cast("long")), "vectors")
+    return _search_all(clean, is_query, k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

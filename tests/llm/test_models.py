@@ -99,6 +99,14 @@ def test_top_k_with_odd_rows(spark, monkeypatch, block):
     assert found(topk.exact_top_k(vectors, "vec_id % 10 = 0", 5)) == brute(rows, 10, 5)
 
 
+def test_top_k_of_many_lengths(spark):
+    rng = np.random.default_rng(2)
+    lengths = [n for n in range(1, 91) for _ in range(5)] + [7] * 700 + [40] * 300
+    rows = [(i, rng.normal(size=n).round(2).tolist()) for i, n in enumerate(lengths)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    assert found(topk.exact_top_k(vectors, "vec_id % 3 = 0", 5)) == brute(rows, 3, 5)
+
+
 def test_top_k_of_the_table(spark, sf_dir):
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert found(topk.op9_top_k(spark, sf_dir)) == brute(rows, 50, 5)
