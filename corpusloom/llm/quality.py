@@ -22,6 +22,10 @@ BUCKETS, SAMPLE, STEPS, RATE, RIDGE = 1 << 17, 3000, 150, 0.15, 1e-5
 #: A document stays when the probability of at least this grade is at least this high.
 KEEP_GRADE, KEEP_PROBABILITY = 1, 0.5
 
+#: The grade of good documents that are not toxic, and the columns that scoring adds.
+CLEAN_GRADE = 2
+SCORES = ("expected_grade", "tail_probability", "kept", "clean_probability", "clean")
+
 #: What a byte looks like: upper case, lower case, digit, beyond ASCII; other bytes look like themselves.
 SHAPE = np.arange(256, dtype=np.uint8)
 SHAPE[0x41:0x5B], SHAPE[0x61:0x7B], SHAPE[0x30:0x3A], SHAPE[0x80:] = ord("A"), ord("a"), ord("0"), ord("a")
@@ -157,27 +161,32 @@ def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None, keep_g
         for part in slices(batch, "text"):
             n = part.num_rows
             if model is None:
-                expected = tail = pa.nulls(n, pa.float64())
-                kept = pa.array([True] * n)
+                expected = tail = clean_p = pa.nulls(n, pa.float64())
+                kept, clean = pa.array([True] * n), pa.nulls(n, pa.bool_())
             else:
                 tails = model.tails(part.column("text"))
                 expected, p = pa.array(np.round(tails.sum(axis=1), 6)), np.round(tails[:, keep_grade - 1], 6)
                 tail, kept = pa.array(p), pa.array(p >= keep_probability)
-            yield pa.record_batch([*part.columns, expected, tail, kept], names=[*part.schema.names, "expected_grade", "tail_probability", "kept"])
+                clean_p, clean = pa.nulls(n, pa.float64()), pa.nulls(n, pa.bool_())
+                if tails.shape[1] >= CLEAN_GRADE:
+                    p = np.round(tails[:, CLEAN_GRADE - 1], 6)
+                    clean_p, clean = pa.array(p), pa.array(p >= keep_probability)
+            yield pa.record_batch([*part.columns, expected, tail, kept, clean_p, clean], names=[*part.schema.names, *SCORES])
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", keep_grade: int = KEEP_GRADE, keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
-    """``docs`` plus expected_grade, tail_probability (of at least ``keep_grade``) and kept.
+    """``docs`` plus expected_grade, tail_probability (of at least ``keep_grade``), kept, clean_probability (of CLEAN_GRADE) and clean.
 
-    A null text is empty; a text without words has score 0. Without a model (no or one grade rated)
+    ``clean`` decides on toxicity too, by the same probability as ``kept``; both of its columns are null
+    where no rating tells. A null text is empty; a text without words has score 0. Without a model (no or one grade rated)
     the probabilities are null and every row is kept. Repeated rows and null ids are scored like
     others. Columns of ``docs`` with the new names are replaced.
     """
-    rest = docs.drop("expected_grade", "tail_probability", "kept")
+    rest = docs.drop(*SCORES)
     work = rest if text_col == "text" else rest.withColumn("text", F.col(text_col))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)
     scored = work.mapInArrow(
-        lambda b: _score(b, model, keep_grade, keep_probability), f"{schema}, expected_grade double, tail_probability double, kept boolean"
+        lambda b: _score(b, model, keep_grade, keep_probability), f"{schema}, expected_grade double, tail_probability double, kept boolean, clean_probability double, clean boolean"
     )
     return scored if text_col == "text" or "text" in rest.columns else scored.drop("text")
 

@@ -47,6 +47,20 @@ def test_held_out_accuracy(spark):
     assert mean[0] < mean[1] < mean[2]
 
 
+def test_toxicity_decision(spark):
+    """The held-out rows of the accuracy test: toxic documents are found less clean than others, and clean implies kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    ratings = quality.graded(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(3)) == 0
+    model = quality.train(docs, ratings.where(~held))
+    rows = quality.score_quality(docs, model).join(ratings.where(held), "doc_id").select("grade", "kept", "clean_probability", "clean").collect()
+    counts = {g: (sum(r.clean for r in rows if r.grade == g), sum(r.grade == g for r in rows)) for g in (0, 1, 2)}
+    print("clean of each grade", counts)
+    assert all(r.kept for r in rows if r.clean)
+    mean = {g: np.mean([r.clean_probability for r in rows if r.grade == g]) for g in (0, 1, 2)}
+    assert mean[0] < mean[1] < mean[2]
+
+
 def test_fit_is_the_same_again(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ratings = quality.graded(spark.read.parquet(f"{SF}/labels.parquet"))
