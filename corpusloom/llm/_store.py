@@ -2,51 +2,58 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset (as in tests) a new local one."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, as in tests, a new local one of a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, so a lost executor costs no recomputation.
 
+    The files stay until the folder is cleared, since the returned table reads them.
+    """
+    return _write(df, name)[0]
 
-#: Rows of an Arrow batch where each holds a whole text.
-TEXT_ROWS = 1000
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+class Scratch:
+    """Intermediate tables of one job; they are removed when its result is written."""
 
-def text_batches(spark: SparkSession) -> None:
-    """From now on Arrow batches of the session hold no more than TEXT_ROWS rows, so that whole texts fit in a task's memory."""
-    spark.conf.set(ARROW_ROWS, min(int(spark.conf.get(ARROW_ROWS)), TEXT_ROWS))
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
 
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = _write(df, name)
+        self.paths.append(path)
+        return table
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for what is run inside; for rows that hold whole texts several times over."""
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """The result as a table of its own, which no longer needs the intermediate ones."""
+        table = materialize(df, name)
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        self.paths.clear()
+        return table
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

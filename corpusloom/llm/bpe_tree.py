@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._bytes import slices
-from corpusloom.llm._store import text_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf, and bytes of a leaf inside one match of the pattern.
@@ -177,6 +176,5 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, pattern: str | Non
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     coded = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

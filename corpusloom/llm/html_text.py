@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._bytes import slices
-from corpusloom.llm._store import text_batches
 
 #: Lines of a window, and the sum of text lengths that starts main text.
 WINDOW_LINES, SURGE = 3, 80
@@ -325,5 +324,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))

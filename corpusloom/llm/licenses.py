@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._bytes import LOWER, buffers, byte_class, per_row, slices, spans
-from corpusloom.llm._store import text_batches
 
 #: Bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z are lower-cased.
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -209,5 +208,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("detections")

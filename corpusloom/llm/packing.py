@@ -20,7 +20,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm._bytes import SPACE, WindowHash, buffers, byte_class, slices
-from corpusloom.llm._store import text_batches
 
 WINDOW = 2048
 EOS_ID = 1
@@ -231,5 +230,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

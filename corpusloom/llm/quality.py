@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm._bytes import LOWER, SPACE, WindowHash, buffers, per_row, slices, spans
-from corpusloom.llm._store import text_batches
 
 #: Hash buckets, labelled rows that are fitted (at most), steps, step size, ridge penalty.
 BUCKETS, SAMPLE, STEPS, RATE, RIDGE = 1 << 17, 3000, 150, 0.15, 1e-5
@@ -192,7 +191,6 @@ def score_quality(docs: DataFrame, model: OrdinalModel | None, text_col: str = "
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return score_quality(docs, model).drop("text")
