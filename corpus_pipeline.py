@@ -10,14 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, jaccard_join, packing, quality, secrets
-from corpusloom.llm._store import materialize, text_batches
+from corpusloom.llm._store import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among all documents, does not reject."""
-    text_batches(spark)
     labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = quality.train(labelled, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return quality.score_quality(docs.select(*COLUMNS), model).where("kept").select(*COLUMNS)
@@ -36,12 +35,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; documents without an id stay."""
-    text_batches(spark)
-    groups = jaccard_join.near_duplicates(docs)
-    kept = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return known.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One row of each group of near duplicates: that of the smallest id, where null is the largest."""
+    numbered = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    stay = jaccard_join.near_duplicates(numbered, row_col="row").where("stays").select("row")
+    return numbered.join(stay, "row", "left_semi").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +48,6 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
-    text_batches(spark)
     return packing.pack(docs)
 
 
