@@ -34,24 +34,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Intermediate tables of one job; they are removed when its result is written."""
+    """Intermediate tables of one job; they are removed when its result is written, or before."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.held = spark, []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        table, path = _write(df, name)
-        self.paths.append(path)
-        return table
+        self.held.append(_write(df, name))
+        return self.held[-1][0]
 
-    def finish(self, df: DataFrame, name: str) -> DataFrame:
-        """The result as a table of its own, which no longer needs the intermediate ones."""
-        table = materialize(df, name)
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more; without a table, all."""
+        gone = [(t, path) for t, path in self.held if not tables or any(t is x for x in tables)]
+        self.held = [(t, path) for t, path in self.held if all(path != p for _, p in gone)]
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        for path in self.paths:
+        for _, path in gone:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
-        self.paths.clear()
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """The result as a table of its own, which no longer needs the intermediate ones."""
+        table = materialize(df, name)
+        self.drop()
         return table
 
 
