@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.store import materialize
+
 
 def resolve_in_order(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, original): each node in id order is a duplicate when an earlier neighbour is an original.
@@ -13,10 +15,15 @@ def resolve_in_order(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     the nodes whose earlier neighbours are all settled or among them an original; ``original`` is
     the smallest such neighbour, or null for originals. ``pairs`` has (a, b) with a < b.
     """
-    state = nodes.select("id").join(pairs.select(F.col("b").alias("id")).distinct().withColumn("open", F.lit(True)), "id", "left")
-    state = state.select("id", F.when(F.col("open"), F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("is_original")).checkpoint()
+    later = pairs.select(F.col("b").alias("id")).distinct().withColumn("open", F.lit(True))
+    state = nodes.select("id").join(later, "id", "left").withColumn("is_original", F.when(F.col("open").isNull(), F.lit(True)))
+    state = materialize(state.select("id", "is_original"), "state")
+    left = pairs
     while True:
-        earlier = pairs.join(state.withColumnsRenamed({"id": "a", "is_original": "before"}), "a").groupBy("b").agg(
+        # Only pairs whose later node is open are looked at again.
+        unsettled = state.where("is_original is null").select(F.col("id").alias("b"))
+        left = materialize(left.join(unsettled, "b", "left_semi"), "pairs")
+        earlier = left.join(state.withColumnsRenamed({"id": "a", "is_original": "before"}), "a").groupBy("b").agg(
             F.coalesce(F.bool_or("before"), F.lit(False)).alias("any_original"), F.count_if(F.col("before").isNull()).alias("unsettled")
         )
         moved = state.join(earlier.withColumnRenamed("b", "id"), "id", "left").select(
@@ -26,7 +33,7 @@ def resolve_in_order(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             .when(F.coalesce("unsettled", F.lit(0)) == 0, F.lit(True))
             .alias("is_original"),
         )
-        state = moved.checkpoint()
+        state = materialize(moved, "state")
         if not state.where("is_original is null").limit(1).count():
             break
     first = pairs.join(state.where("is_original").select(F.col("id").alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("original"))

@@ -1,14 +1,20 @@
-"""Similarity joins as compositions of DataFrame operations."""
+"""Similarity joins as compositions of DataFrame operations over gram sets."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as fx
+from corpusloom.functions import grams as fg
 
 #: Most bytes of a side that is sent to every task.
 BROADCAST_BYTES = 64 << 20
+#: MinHash of BANDS bands of ROWS rows: two sets of Jaccard 0.55 meet in some band with probability 0.9988.
+BANDS, ROWS = 37, 3
 
 
 def small(df: DataFrame, size: str) -> DataFrame:
@@ -17,41 +23,67 @@ def small(df: DataFrame, size: str) -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
-def postings(df: DataFrame, id_col: str, text: str, n: int, short_whole: bool) -> DataFrame:
-    """(id, n_grams, gram): 64-bit hashes of the distinct word n-grams of each text."""
-    grams = fx.bound(fx.words(F.lower(text)), lambda w: fx.shingles(w, n, short_whole))
-    sized = fx.bound(F.transform(grams, lambda s: F.xxhash64(s)), lambda g: F.transform(g, lambda x: F.struct(F.size(g).alias("n"), x.alias("gram"))))
-    return df.select(F.col(id_col).alias("id"), F.explode(sized).alias("g")).select("id", F.col("g.n").alias("n_grams"), "g.gram")
+def scored_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs that reach the threshold, from whole sets."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n_grams").alias(f"n{x}"), F.col("grams").alias(f"g{x}"))
+    both = F.size(F.array_intersect("ga", "gb"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", both.alias("both"))
+    scored = met.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= threshold)
 
 
-def self_pairs(grams: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) for a < b from an inverted index on shared grams.
+def self_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) for a < b of all sets (id, n_grams, grams) that are similar, without a miss.
 
-    Grams of one document only cannot make a pair and are left out before the join.
+    Grams stand in one order, the rare ones first. Two sets that reach the threshold share a gram
+    among the first 1 - threshold of each, so only these meet; grams of one set only need no place.
     """
-    shared = grams.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("gram")
-    kept = grams.join(shared, "gram")
-    a, b = kept.alias("a"), kept.alias("b")
-    close = (F.col("a.id") < F.col("b.id")) & (F.least("a.n_grams", "b.n_grams") >= F.greatest("a.n_grams", "b.n_grams") * threshold)
-    both = a.join(b, (F.col("a.gram") == F.col("b.gram")) & close).groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    counted = both.agg(F.count(F.lit(1)).alias("both"), F.first("a.n_grams").alias("na"), F.first("b.n_grams").alias("nb"))
-    scored = counted.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
-    return scored.where(F.col("jaccard") >= threshold)
+    each = sets.select("id", "n_grams", F.explode("grams").alias("gram"))
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = each.join(counts, "gram").groupBy("id", "n_grams").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("own"))
+    # The set's grams that no other has come first; they take places of the prefix and meet nothing.
+    alone = F.col("n_grams") - F.size("own")
+    length = F.col("n_grams") - F.ceil(F.col("n_grams") * threshold - 1e-9) + 1
+    prefix = own.select("id", "n_grams", F.explode(F.slice("own", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("g")).select("id", "n_grams", "g.gram")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    close = (F.col("a.id") < F.col("b.id")) & (F.least("a.n_grams", "b.n_grams") >= F.greatest("a.n_grams", "b.n_grams") * (threshold - 1e-9))
+    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    return scored_pairs(pairs, sets, threshold)
 
 
-def registry_overlap(docs: DataFrame, registry: DataFrame) -> DataFrame:
-    """(id, item, jaccard) of each document with each registered text it shares a gram with; the registry side is sent around where it is small."""
+def registry_overlap(df: DataFrame, id_col: str, text: str, registry: DataFrame, n: int) -> DataFrame:
+    """(id, item, jaccard) of each text with each registered one, (id, n_grams, gram), that it shares a gram with."""
+    found = fg.hits(df, id_col, text, registry, n, True).select("id", "n_grams", F.explode("grams").alias("gram"))
     side = small(registry.select(F.col("id").alias("item"), F.col("n_grams").alias("m"), "gram"), "24")
-    both = docs.join(side, "gram").groupBy("id", "item").agg(F.count(F.lit(1)).alias("both"), F.first("n_grams").alias("n"), F.first("m").alias("m"))
+    both = found.join(side, "gram").groupBy("id", "item").agg(F.count(F.lit(1)).alias("both"), F.first("n_grams").alias("n"), F.first("m").alias("m"))
     return both.select("id", "item", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("jaccard"))
 
 
-def banded_pairs(grams: DataFrame, hashes: int = 112, bands: int = 14) -> DataFrame:
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from corpusloom.functions.arrow_bytes import mix
+
+    for batch in batches:
+        ids = np.asarray(batch.column("id"))
+        tokens, edges = np.asarray(batch.column("grams").flatten(), dtype=np.int64).view(np.uint64), np.concatenate(([0], np.cumsum(np.asarray(batch.column("n_grams")))))
+        some = np.flatnonzero(np.diff(edges))
+        keys = []
+        for band in range(BANDS):
+            key = np.zeros(len(some), dtype=np.uint64)
+            for row in range(ROWS):
+                seed = np.uint64((band * ROWS + row + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                least = np.minimum.reduceat(mix(tokens ^ seed), edges[:-1][some]) if len(some) else key
+                key = mix(key * np.uint64(31) ^ least)
+            keys.append(key.view(np.int64))
+        yield pa.record_batch(
+            [pa.array(np.tile(ids[some], BANDS)), pa.array(np.repeat(np.arange(BANDS), len(some))), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["id", "band", "key"]
+        )
+
+
+def banded_pairs(sets: DataFrame) -> DataFrame:
     """Candidate (a, b) that agree in all rows of some MinHash band."""
-    rows = hashes // bands
-    mins = grams.groupBy("id").agg(*(F.min(F.xxhash64("gram", F.lit(k))).alias(f"h{k}") for k in range(hashes)))
-    keys = F.array(*(F.struct(F.lit(k).alias("band"), F.xxhash64(*(f"h{k * rows + r}" for r in range(rows))).alias("key")) for k in range(bands)))
-    banded = mins.select("id", F.explode(keys).alias("b")).select("id", "b.band", "b.key")
-    x, y = banded.alias("x"), banded.alias("y")
+    banded = sets.mapInArrow(_bands, "id long, band long, key long")
+    several = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
+    met = banded.join(several, ["band", "key"])
+    x, y = met.alias("x"), met.alias("y")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
     return x.join(y, same).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()

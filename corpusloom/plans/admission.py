@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import grams as fg
 from corpusloom.functions import text as fx
-from corpusloom.operators.similarity import postings, small
 from corpusloom.plans.registry import query
-from corpusloom.plans.similarity import CLEANED_SQL, cleaned, grams_sql
+from corpusloom.plans.similarity import CLEANED_SQL, grams_sql
 from corpusloom.plans.text import words_sql
+from corpusloom.sources.store import materialize
 from corpusloom.sources.tables import table
 
 #: Manifest fields that must be known, and what counts as unknown.
@@ -23,18 +24,20 @@ def reasons(**conditions: Column) -> Column:
 
 
 def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_words and the reasons against admission.
+    """doc_id, source, n_words and the reasons against admission; a null text is the empty one.
 
-    The copies' first document is found by a partial aggregate; the benchmark side of the
-    containment join is sent around where it is small.
+    Each text is cleaned once: what is asked of it, the benchmark's runs of words too, is answered in
+    the same scan. A copy's first document is found by a partial aggregate over digests.
     """
-    docs = cleaned(spark, sf_dir)
-    base = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    facts = docs.select("doc_id", F.sha2("text", 256).alias("digest"), F.size(fx.words("text")).alias("n_words"), (F.size(fx.pii_kinds(F.col("text"))) > 0).alias("pii"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", fx.redact_pii(fx.clean_text(F.coalesce("text", F.lit("")))).alias("text"))
+    facts = docs.select(
+        "doc_id", "source", F.sha2("text", 256).alias("digest"), F.size(fx.words("text")).alias("n_words"), (F.size(fx.pii_kinds(F.col("text"))) > 0).alias("pii"), F.lower("text").alias("text")
+    )
+    items = fg.postings(table(spark, sf_dir, "benchmark"), "item_id", "text", fx.CONTAINMENT_WORDS, False)
+    facts = fg.flagged(facts, "text", items, fx.CONTAINMENT_WORDS, "leak", "doc_id").drop("text")
+    facts = materialize(facts, "screened")
     first = facts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    items = postings(table(spark, sf_dir, "benchmark"), "item_id", "text", fx.CONTAINMENT_WORDS, False).select("gram").distinct()
-    leaked = postings(docs, "doc_id", "text", fx.CONTAINMENT_WORDS, False).join(small(items, "8"), "gram", "left_semi").select(F.col("id").alias("doc_id")).distinct()
-    joined = facts.join(first, "digest").join(leaked.withColumn("leak", F.lit(True)), "doc_id", "left").join(base, "doc_id")
+    joined = facts.join(first, "digest")
     against = reasons(
         duplicate=F.col("doc_id") != F.col("first_id"), eval_overlap=F.col("leak"), personal_data=F.col("pii"), too_short=F.col("n_words") < 20
     )
@@ -78,7 +81,7 @@ def gate_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per shard (a source): the worst status of its members, and its roll-ups."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("digest"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     m = screened(spark, sf_dir).join(docs, "doc_id").groupBy(F.col("source").alias("shard_id"))
     has = lambda r: F.bool_or(F.array_contains("reasons", r))
     return m.agg(
@@ -96,7 +99,7 @@ MANIFEST_SQL = """m AS (SELECT s.source AS shard_id, count(*)::BIGINT AS n_docs,
  CASE WHEN bool_or(list_contains(reasons, 'duplicate')) THEN 'contains_duplicates' ELSE 'unique' END AS dedup_status,
  CASE WHEN bool_or(list_contains(reasons, 'eval_overlap')) THEN 'blocked_or_unknown' ELSE 'clear' END AS eval_overlap_status,
  CASE WHEN bool_or(list_contains(reasons, 'personal_data')) THEN 'found' ELSE 'clean' END AS pii_screen_status,
- string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, sha256(string_agg(DISTINCT sha256(text), '' ORDER BY sha256(text))) AS content_hash
+ string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, sha256(string_agg(DISTINCT sha256(coalesce(text, '')), '' ORDER BY sha256(coalesce(text, '')))) AS content_hash
  FROM s JOIN documents x ON x.doc_id = s.doc_id GROUP BY s.source)"""
 
 
@@ -105,19 +108,38 @@ def shard_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, sf_dir)
 
 
+#: Statuses that block, by field.
+BLOCKING = {
+    "dedup_status": ("contains_duplicates", "exact_duplicate"),
+    "pii_screen_status": ("missing", "found"),
+    "eval_overlap_status": ("blocked_or_unknown", "overlap"),
+    "repeat_ngram_status": ("contains_repeats",),
+    "license_tier": ("unsafe",),
+}
+
+
+def blockers(fields: DataFrame) -> Column:
+    """Why a manifest is refused: hard fields that are missing, also from the table as a whole, or unknown, and values that block."""
+    absent = {f"missing_or_unsafe:{f}": F.coalesce(F.col(f).isin(*UNKNOWN), F.lit(True)) if f in fields.columns else F.lit(True) for f in HARD_FIELDS}
+    values = {f"{f}={v}": F.col(f) == v for f, vs in BLOCKING.items() if f in fields.columns for v in vs}
+    return reasons(**absent, **values)
+
+
 @query(
-    f"""WITH {SCREENED_SQL}, {MANIFEST_SQL}, p AS (SELECT *, CASE WHEN n_docs % 2 = 0 THEN 'hash-1' ELSE 'unknown' END AS tokenizer_hash FROM m)
-SELECT shard_id, array_to_string(list_filter([CASE WHEN dedup_status = 'contains_duplicates' THEN 'dedup_status=contains_duplicates' END,
- CASE WHEN eval_overlap_status IN ('', 'missing', 'unknown', 'blocked_or_unknown') THEN 'missing_or_unsafe:eval_overlap_status' END,
- CASE WHEN tokenizer_hash IN ('', 'missing', 'unknown', 'blocked_or_unknown') THEN 'missing_or_unsafe:tokenizer_hash' END], lambda r: r IS NOT NULL), ',') AS blockers FROM p"""
+    f"""WITH {SCREENED_SQL}, {MANIFEST_SQL}, p AS (SELECT *, CASE WHEN n_docs % 2 = 0 THEN 'hash-1' ELSE 'unknown' END AS tokenizer_hash, CASE WHEN n_docs % 3 = 0 THEN 'contains_repeats' ELSE 'screened' END AS repeat_ngram_status, CASE WHEN n_docs % 5 = 0 THEN 'unsafe' ELSE 'safe' END AS license_tier FROM m)
+SELECT shard_id, array_to_string(list_sort(list_filter([CASE WHEN dedup_status = 'contains_duplicates' THEN 'dedup_status=contains_duplicates' END,
+ CASE WHEN pii_screen_status = 'found' THEN 'pii_screen_status=found' END, CASE WHEN eval_overlap_status = 'blocked_or_unknown' THEN 'eval_overlap_status=blocked_or_unknown' END,
+ CASE WHEN repeat_ngram_status = 'contains_repeats' THEN 'repeat_ngram_status=contains_repeats' END, CASE WHEN license_tier = 'unsafe' THEN 'license_tier=unsafe' END,
+ CASE WHEN eval_overlap_status = 'blocked_or_unknown' THEN 'missing_or_unsafe:eval_overlap_status' END, CASE WHEN tokenizer_hash = 'unknown' THEN 'missing_or_unsafe:tokenizer_hash' END,
+ 'missing_or_unsafe:cleaning_pipeline_hash'], lambda r: r IS NOT NULL)), ',') AS blockers FROM p"""
 )
 def shard_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hard gate over the manifest: fields that must be known, and values that block."""
-    p = manifest(spark, sf_dir).withColumn("tokenizer_hash", F.when(F.col("n_docs") % 2 == 0, "hash-1").otherwise("unknown"))
-    fields = [f for f in HARD_FIELDS if f in p.columns]
-    unknown = {f"missing_or_unsafe:{f}": F.coalesce(F.col(f).isin(*UNKNOWN), F.lit(True)) for f in fields}
-    blocked = {"dedup_status=contains_duplicates": F.col("dedup_status") == "contains_duplicates"}
-    return p.select("shard_id", F.array_join(reasons(**unknown, **blocked), ",").alias("blockers"))
+    """Hard gate over the manifest. The manifest of the fixture has no pipeline hash, and a hard field that is not there blocks."""
+    n = F.col("n_docs")
+    p = manifest(spark, sf_dir).withColumns(
+        {"tokenizer_hash": F.when(n % 2 == 0, "hash-1").otherwise("unknown"), "repeat_ngram_status": F.when(n % 3 == 0, "contains_repeats").otherwise("screened"), "license_tier": F.when(n % 5 == 0, "unsafe").otherwise("safe")}
+    )
+    return p.select("shard_id", F.array_join(blockers(p), ",").alias("blockers"))
 
 
 STAGES = (("warm", 0, 1500, 200, "B0,B1"), ("main", 1500, 6000, 800, "B1,B2"), ("anneal", 6000, 10000, 10**9, "B2,B3"))

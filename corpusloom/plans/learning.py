@@ -99,6 +99,7 @@ SELECT user_id, round(ppl / med, 4) AS ratio, exposures::BIGINT AS exposures, CA
 def reuse_advisory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's last perplexity against the median of all."""
     last = observations(spark, sf_dir).groupBy("user_id").agg(F.max_by(perplexity(F.col("loss")), "step").alias("ppl"), F.count(F.lit(1)).alias("exposures"))
+    # The median is taken from the counts of distinct values, which are made in each task first.
     ratio = F.col("ppl") / F.col("med")
     action = F.when(ratio >= 1.2, "harder_place_earlier").when(ratio <= 1 / 1.2, "easier_do_not_repeat").otherwise("typical_keep")
     return last.crossJoin(F.broadcast(last.agg(F.median("ppl").alias("med")))).select("user_id", F.round(ratio, 4).alias("ratio"), "exposures", action.alias("action"))  # one median
@@ -128,11 +129,14 @@ def tier_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where((F.col("place") - 1) % 5 == 0).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"), F.round(F.avg("loss"), 6).alias("mean_loss"))
 
 
-@query()
+@query(
+    f"""WITH {OBS_SQL}, j AS (SELECT lane, octet_length(encode('{{"user_id":' || user_id || ',"step":' || step || ',"lane":"' || lane || '"}}')) AS b FROM o)
+SELECT lane, count(*)::BIGINT AS n, round(avg(b), 2) AS bytes_each, (sum(b) * 1000)::BIGINT AS bytes_at_1000x FROM j GROUP BY lane"""
+)
 def ledger_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of an observation as JSON by lane, and at a thousand times the rows."""
+    """Bytes of an observation's key as JSON by lane, and at a thousand times the rows."""
     o = observations(spark, sf_dir)
-    size = F.octet_length(F.to_json(F.struct(*o.columns)))
+    size = F.octet_length(F.to_json(F.struct("user_id", "step", "lane")))
     return o.groupBy("lane").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(size), 2).alias("bytes_each"), (F.sum(size) * 1000).alias("bytes_at_1000x"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import GENESIS
+from corpusloom.operators.prefix import fold_by_key
 from corpusloom.plans.registry import query
 from corpusloom.plans.windows import STEPS_SQL, steps
 from corpusloom.sources.tables import table
@@ -24,17 +27,15 @@ c(user_id, step, event_id, prev_hash, entry_hash) AS (SELECT user_id, step, even
 def chained(events: DataFrame, key: str, order: str, body: str) -> DataFrame:
     """Each key's entries in order, every one with the hash of the one before and its own.
 
-    A link needs the link before, so a key's entries are folded together; keys are independent.
+    A link needs the link before, so a key's entries stream through one task, which holds the last hash.
     """
-    entry = F.struct(F.col(order).alias("at"), F.col(body).alias("body"))
-    lists = events.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-    empty = F.array().cast("array<struct<at:bigint,prev_hash:string,entry_hash:string>>")
-    step = lambda s, e: F.struct(
-        F.sha2(F.concat(e["body"], s["head"]), 256).alias("head"),
-        F.concat(s["out"], F.array(F.struct(e["at"].alias("at"), s["head"].alias("prev_hash"), F.sha2(F.concat(e["body"], s["head"]), 256).alias("entry_hash")))).alias("out"),
-    )
-    folded = F.aggregate("entries", F.struct(F.lit(GENESIS).alias("head"), empty.alias("out")), step, lambda s: s["out"])
-    return lists.select(key, F.explode(folded).alias("l")).select(key, F.col("l.at").alias(order), "l.prev_hash", "l.entry_hash")
+
+    def link(head: str, row: tuple) -> tuple[str, tuple]:
+        entry = hashlib.sha256((getattr(row, body) + head).encode()).hexdigest()
+        return entry, (getattr(row, key), getattr(row, order), head, entry)
+
+    slim = events.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), body)
+    return fold_by_key(slim, key, order, GENESIS, link, f"{key} long, {order} long, prev_hash string, entry_hash string")
 
 
 def first_breaks(ledger: DataFrame, key: str, order: str, body: str) -> DataFrame:
@@ -87,16 +88,19 @@ def interval_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {STEPS_SQL}, a AS (SELECT step, event_type FROM s WHERE user_id = 1), b AS (SELECT step, event_type FROM s WHERE user_id = 2)
-SELECT count(*)::BIGINT AS compared, count(*) FILTER (WHERE a.event_type = b.event_type)::BIGINT AS same, min(coalesce(a.step, b.step)) FILTER (WHERE a.event_type IS DISTINCT FROM b.event_type)::BIGINT AS first_difference FROM a FULL OUTER JOIN b ON a.step = b.step"""
+    f"""WITH {STEPS_SQL}, a AS (SELECT user_id AS pair, step, event_type FROM s), b AS (SELECT user_id - 1 AS pair, step, event_type FROM s WHERE user_id - 1 IN (SELECT user_id FROM s)),
+c AS (SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.step, b.step) AS step, a.event_type AS x, b.event_type AS y FROM a FULL OUTER JOIN b ON a.pair = b.pair AND a.step = b.step)
+SELECT pair::BIGINT AS user_id, count(*)::BIGINT AS compared, count(*) FILTER (WHERE x = y)::BIGINT AS same, min(step) FILTER (WHERE x IS DISTINCT FROM y)::BIGINT AS first_difference FROM c GROUP BY pair"""
 )
 def trace_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ordered traces side by side: a full outer join on the step, and where they first differ."""
-    s = steps(spark, sf_dir)
-    a, b = (s.where(F.col("user_id") == u).select("step", F.col("event_type").alias(n)) for u, n in ((1, "a"), (2, "b")))
-    both = a.join(b, "step", "full_outer")
-    return both.agg(
-        F.count(F.lit(1)).alias("compared"), F.count_if(F.col("a") == F.col("b")).alias("same"), F.min(F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("step"))).cast("long").alias("first_difference")
+    """Every user's ordered trace beside the next user's: one full outer join on pair and step, and where the two first differ."""
+    s = steps(spark, sf_dir).select("user_id", "step", "event_type")
+    a = s.select(F.col("user_id").alias("pair"), "step", F.col("event_type").alias("x"))
+    known = s.select(F.col("user_id").alias("pair")).distinct()
+    b = s.select((F.col("user_id") - 1).alias("pair"), "step", F.col("event_type").alias("y")).join(known, "pair", "left_semi")
+    both = a.join(b, ["pair", "step"], "full_outer")
+    return both.groupBy(F.col("pair").alias("user_id")).agg(
+        F.count(F.lit(1)).alias("compared"), F.count_if(F.col("x") == F.col("y")).alias("same"), F.min(F.when(~F.col("x").eqNullSafe(F.col("y")), F.col("step"))).cast("long").alias("first_difference")
     )
 
 
@@ -179,7 +183,16 @@ def select_in_rank_order(rows: list[tuple[int, str, float]], capacity: int, quot
     return [(i, *out[i]) for i, _, _ in sorted(rows)]
 
 
-@query()
+CHOSEN_SQL = f"""{STEPS_SQL}, o AS (SELECT user_id, step // 40 AS pool, event_id, event_type AS lane, value, row_number() OVER (PARTITION BY user_id, step // 40 ORDER BY value DESC, event_id) AS k, row_number() OVER (PARTITION BY user_id, step // 40, event_type ORDER BY value DESC, event_id) AS in_lane FROM s),
+f AS (SELECT *, lane IN ('error', 'signup') AND in_lane <= 2 AS floored FROM o),
+g AS (SELECT *, sum(CASE WHEN floored THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, pool) AS n_floor, CASE WHEN NOT floored AND in_lane <= 4 THEN 1 ELSE 0 END AS wants FROM f),
+h AS (SELECT *, n_floor + sum(wants) OVER (PARTITION BY user_id, pool ORDER BY k) - wants AS before FROM g)"""
+
+
+@query(
+    f"""WITH {CHOSEN_SQL} SELECT user_id, pool::BIGINT AS pool, event_id, CASE WHEN floored THEN 'protected' WHEN before >= 12 OR wants = 0 THEN 'deferred' ELSE 'accepted' END AS decision,
+ CASE WHEN floored THEN 'floor' WHEN before >= 12 THEN 'batch_full' WHEN wants = 0 THEN 'lane_quota_full' ELSE 'merit' END AS reason FROM h"""
+)
 def bounded_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per step of a user's stream (forty events), a batch of twelve with floors for two lanes and a quota of four each.
 

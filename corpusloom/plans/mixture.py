@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefix import running_sums
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -132,12 +133,12 @@ SELECT step::BIGINT AS step, greatest(0, least(total, CAST(ceil(0.25 * (seen + t
 def floor_deficit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each step of a hundred events must deliver to keep a running floor of a quarter.
 
-    Events are counted per step first, so the running sums go over one small row a step.
+    Events are counted per step first, and the running sums over steps are made in two levels.
     """
     e = table(spark, sf_dir, "events").select("event_type", F.floor((F.col("event_id") + 1) / 100).alias("step"))
     k = e.groupBy("step").agg(F.count_if(F.col("event_type") == "error").alias("n"), F.count(F.lit(1)).alias("total"))
-    before = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    r = k.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "seen": F.coalesce(F.sum("total").over(before), F.lit(0))})
+    r = running_sums(k.withColumn("all", F.lit(0)), "all", ["step"], {"upto": F.col("n"), "seen": F.col("total")})
+    r = r.select("step", "total", (F.col("upto") - F.col("n")).alias("before"), (F.col("seen") - F.col("total")).alias("seen"))
     need = F.ceil((F.col("seen") + F.col("total")) * 0.25) - F.col("before")
     return r.select("step", F.greatest(F.lit(0), F.least("total", need)).alias("needed"))
 
@@ -186,7 +187,11 @@ def water_fill(supply: DataFrame, name: str, amount: str, alpha: float, cap: flo
     return capped.crossJoin(F.broadcast(rest)).select(name, "amount", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * final).alias("allocated"), "capped")
 
 
-@query()
+@query(
+    """WITH RECURSIVE s AS (SELECT lang, sum(n_chars)::DOUBLE AS a, pow(sum(n_chars), 0.3) AS w FROM documents GROUP BY lang), b AS (SELECT 2.0 * sum(a) AS budget FROM s),
+i(k, level) AS (SELECT 0, (SELECT budget / sum(w) FROM s, b GROUP BY budget) UNION ALL SELECT k + 1, (SELECT (budget - sum(CASE WHEN w * i.level >= 4 * a THEN 4 * a ELSE 0 END)) / sum(CASE WHEN w * i.level >= 4 * a THEN 0 ELSE w END) FROM s, b GROUP BY budget) FROM i WHERE k < 30)
+SELECT lang, a::BIGINT AS supply, round(CASE WHEN w * level >= 4 * a THEN 4 * a ELSE w * level END, 3) AS allocated, w * level >= 4 * a AS capped FROM s, i WHERE k = 30"""
+)
 def water_filled_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A budget of twice the corpus over languages with supply^0.3 and four epochs at most; a row a language."""
     s = table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum("n_chars").alias("supply"))

@@ -45,22 +45,45 @@ def pack_concat_chop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.summary(ops.concat_chop(units(spark, sf_dir), CTX), CTX)
 
 
-@query()
+def binned_sql(policy: str) -> str:
+    """The policy as a fold over a shard's units: a list of fills, into which each unit goes or which it makes longer."""
+    order = "length DESC, seq" if policy == "best_fit" else "seq"
+    size = f"least(u.length, {CTX})"
+    fits = f"list_filter(b.used, lambda x: x + {size} <= {CTX})"
+    at = f"list_position(b.used, list_max({fits}))" if policy == "best_fit" else f"list_position(list_transform(b.used, lambda x: x + {size} <= {CTX}), true)"
+    put = f"CASE WHEN len({fits}) = 0 THEN list_append(b.used, {size}) ELSE list_concat(b.used[:{at} - 1], [b.used[{at}] + {size}], b.used[{at} + 1:]) END"
+    cut = f"list_concat(b.used, list_transform(range(0, u.length, {CTX}), lambda s: least({CTX}, u.length - s)))"
+    step = put if policy == "whole" else f"CASE WHEN u.length > {CTX} THEN {cut} ELSE {put} END"
+    split = "0" if policy == "whole" else f"CASE WHEN u.length > {CTX} THEN 1 ELSE 0 END"
+    tokens = size if policy == "whole" else "u.length"
+    return f"""o_{policy} AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY {order}) AS k FROM u WHERE length > 0),
+b_{policy}(shard, k, used, tokens, split) AS (SELECT DISTINCT shard, 0::BIGINT, []::BIGINT[], 0::BIGINT, 0::BIGINT FROM o_{policy} UNION ALL SELECT u.shard, u.k, {step}, b.tokens + {tokens}, b.split + {split} FROM b_{policy} b JOIN o_{policy} u ON u.shard = b.shard AND u.k = b.k + 1),
+s_{policy} AS (SELECT shard, len(arg_max(used, k))::BIGINT AS windows, max(tokens)::BIGINT AS tokens, (len(arg_max(used, k)) * {CTX} - max(tokens))::BIGINT AS padding, round(max(tokens) / (len(arg_max(used, k)) * {CTX}), 4) AS used, max(split)::BIGINT AS split_units FROM b_{policy} GROUP BY shard)"""
+
+
+@query(f"WITH RECURSIVE {UNITS_SQL}, {binned_sql('greedy')} SELECT * FROM s_greedy")
 def pack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.summary(ops.binned(units(spark, sf_dir), CTX, "greedy"), CTX)
 
 
-@query()
+@query(f"WITH RECURSIVE {UNITS_SQL}, {binned_sql('best_fit')} SELECT * FROM s_best_fit")
 def pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.summary(ops.binned(units(spark, sf_dir), CTX, "best_fit"), CTX)
 
 
-@query()
+@query(f"WITH RECURSIVE {UNITS_SQL}, {binned_sql('whole')} SELECT * FROM s_whole")
 def pack_structure_preserving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.summary(ops.binned(units(spark, sf_dir), CTX, "whole"), CTX)
 
 
-@query()
+COMPARED = f"""n AS (SELECT 'pad_only' AS policy, count(*)::BIGINT AS windows, sum(least(length, {CTX}))::BIGINT AS tokens, 0::BIGINT AS split_units FROM u
+UNION ALL SELECT 'long_context', sum(ceil(length / {CTX}))::BIGINT, sum(length)::BIGINT, count(*) FILTER (WHERE length > {CTX})::BIGINT FROM u WHERE length > 0
+UNION ALL SELECT 'concat_chop', sum(ceil(t / {CTX}))::BIGINT, sum(t)::BIGINT, sum(k)::BIGINT FROM (SELECT shard, sum(length) AS t, count(*) FILTER (WHERE (fin - length) // {CTX} <> (fin - 1) // {CTX}) AS k FROM (SELECT *, CAST(sum(length) OVER (PARTITION BY shard ORDER BY seq) AS BIGINT) AS fin FROM u WHERE length > 0) GROUP BY shard)
+UNION ALL SELECT 'greedy', sum(windows)::BIGINT, sum(tokens)::BIGINT, sum(split_units)::BIGINT FROM s_greedy UNION ALL SELECT 'best_fit', sum(windows)::BIGINT, sum(tokens)::BIGINT, sum(split_units)::BIGINT FROM s_best_fit UNION ALL SELECT 'whole', sum(windows)::BIGINT, sum(tokens)::BIGINT, sum(split_units)::BIGINT FROM s_whole)
+SELECT policy, windows, tokens, (windows * {CTX} - tokens)::BIGINT AS padding, split_units, round(tokens / (windows * {CTX}), 4) AS used FROM n"""
+
+
+@query(f"WITH RECURSIVE {UNITS_SQL}, {binned_sql('greedy')}, {binned_sql('best_fit')}, {binned_sql('whole')}, {COMPARED}")
 def packing_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All policies side by side."""
     u = units(spark, sf_dir)

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from corpusloom.plans import admission, codec, ledger, learning, mixture, packing, relational, scans, similarity, statistics, streams, text, windows  # noqa: F401
+    from corpusloom.plans import admission, audit, codec, fits, ledger, learning, mixture, packing, relational, scans, shards, similarity, statistics, streams, supply, text, unicode, windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import derived_int
+from corpusloom.operators.prefix import row_numbers, running_sums
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -34,8 +35,8 @@ def byte_budget_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each language in id order until a byte budget is reached; short ones are skipped."""
     size = (F.octet_length("text") + 16).cast("long")
     d = table(spark, sf_dir, "documents").where(F.length("text") >= 200).select("doc_id", "lang", size.alias("size"))
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return d.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("before") < BYTE_BUDGET)
+    seen = running_sums(d, "lang", ["doc_id"], {"before": F.col("size")}).withColumn("before", F.col("before") - F.col("size"))
+    return seen.where(F.col("before") < BYTE_BUDGET).select("doc_id", "lang", "size", "before")
 
 
 @query(
@@ -55,11 +56,11 @@ def seeded_cell_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source's documents in an order derived from the seed, and a derived integer below 1000."""
-    key = F.concat_ws(":", F.lit("11"), "source", F.col("doc_id").cast("string"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.sha2(key, 256), "doc_id"))
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", "source", derived_int(1000, 11, F.col("source"), F.col("doc_id")).alias("slot"), place.cast("long").alias("place")
-    )
+    key = F.sha2(F.concat_ws(":", F.lit("11"), "source", F.col("doc_id").cast("string")), 256)
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", key.alias("key"))
+    # The hash spreads evenly, so its first digits make even chunks of the order.
+    placed = row_numbers(d, "source", ["key", "doc_id"], "place", F.substring("key", 1, 3))
+    return placed.select("doc_id", "source", derived_int(1000, 11, F.col("source"), F.col("doc_id")).alias("slot"), "place")
 
 
 @query(
@@ -68,9 +69,10 @@ SELECT doc_id, lang, seen > 0.95 * total AS held_out FROM r"""
 )
 def held_out_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last twentieth of each language's characters is held out."""
-    of = Window.partitionBy("lang")
-    seen = F.sum("n_chars").over(of.orderBy("doc_id").rangeBetween(Window.unboundedPreceding, 0))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", (seen > F.sum("n_chars").over(of) * 0.95).alias("held_out"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    total = d.groupBy("lang").agg(F.sum("n_chars").alias("total"))
+    seen = running_sums(d, "lang", ["doc_id"], {"seen": F.coalesce("n_chars", F.lit(0))}).join(total, "lang")
+    return seen.select("doc_id", "lang", (F.col("seen") > F.col("total") * 0.95).alias("held_out"))
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n, count(json_extract(props, '$.k'))::BIGINT AS with_k, round(sum(value), 3) AS total FROM events GROUP BY event_type")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import grams as fg
 from corpusloom.functions import text as fx
 from corpusloom.operators.graph import resolve_in_order
-from corpusloom.operators.similarity import banded_pairs, postings, registry_overlap, self_pairs, small
+from corpusloom.operators.similarity import banded_pairs, registry_overlap, scored_pairs, self_pairs, small
 from corpusloom.plans.registry import query
 from corpusloom.plans.text import clean_sql, redact_sql, words_sql
+from corpusloom.sources.store import materialize
 from corpusloom.sources.tables import table
 
 
@@ -21,48 +23,53 @@ def grams_sql(table_: str, id_col: str, n: int, short_whole: bool, text: str = "
  ELSE list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) END AS g FROM (SELECT {id_col} AS id, {words} AS w FROM {table_}))"""
 
 
-CLEANED_SQL = f"SELECT doc_id, {redact_sql(clean_sql('text'))} AS text FROM documents"
+#: A null text is the empty one.
+TEXT_SQL = "coalesce(text, '')"
+CLEANED_SQL = f"SELECT doc_id, {redact_sql(clean_sql(TEXT_SQL))} AS text FROM documents"
 PAIRS_SQL = f"""d AS ({CLEANED_SQL}), g AS ({grams_sql('d', 'doc_id', 5, True)}),
 c AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n_grams) AS na, any_value(b.n_grams) AS nb FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2),
 pairs AS (SELECT a, b, shared / (na + nb - shared) AS jaccard FROM c WHERE shared / (na + nb - shared) >= 0.55)"""
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", fx.redact_pii(fx.clean_text("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", fx.redact_pii(fx.clean_text(F.coalesce("text", F.lit("")))).alias("text"))
 
 
-@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, CASE WHEN min(doc_id) OVER (PARTITION BY sha256(text)) = doc_id THEN 'unique' ELSE 'exact_duplicate' END AS status FROM documents")
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS first_id, CASE WHEN min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) = doc_id THEN 'unique' ELSE 'exact_duplicate' END AS status FROM documents")
 def exact_duplicate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest groups by a partial aggregate and a join, so that a text with very many copies is no one task's work."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
     first = d.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     return d.join(first, "digest").select("doc_id", "first_id", F.when(F.col("first_id") == F.col("doc_id"), "unique").otherwise("exact_duplicate").alias("status"))
 
 
 @query(f"WITH {PAIRS_SQL} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = self_pairs(postings(cleaned(spark, sf_dir), "doc_id", "text", 5, True), fx.NEAR_DUPLICATE)
+    pairs = self_pairs(fg.sets(cleaned(spark, sf_dir), "doc_id", "text", 5, True), fx.NEAR_DUPLICATE)
     return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {PAIRS_SQL}, h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM d), f AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM h WHERE doc_id = first_id),
+e AS (SELECT b AS doc_id, list_sort(list(a)) AS earlier FROM pairs WHERE a IN (SELECT doc_id FROM f) AND b IN (SELECT doc_id FROM f) GROUP BY b),
+o(k, doc_id, original, held) AS (SELECT 0::BIGINT, 0::BIGINT, NULL::BIGINT, []::BIGINT[] UNION ALL
+ SELECT f.k, f.doc_id, list_filter(coalesce(e.earlier, []), lambda x: list_contains(o.held, x))[1], CASE WHEN len(list_filter(coalesce(e.earlier, []), lambda x: list_contains(o.held, x))) = 0 AND f.doc_id IN (SELECT a FROM pairs) THEN list_append(o.held, f.doc_id) ELSE o.held END
+ FROM o JOIN f ON f.k = o.k + 1 LEFT JOIN e ON e.doc_id = f.doc_id)
+SELECT h.doc_id, CASE WHEN o.original IS NOT NULL THEN 'near_duplicate' WHEN h.doc_id <> first_id THEN 'exact_duplicate' ELSE 'unique' END AS status, CASE WHEN o.original IS NOT NULL THEN o.original WHEN h.doc_id <> first_id THEN first_id END AS cluster_id FROM h JOIN o ON o.doc_id = h.first_id AND o.k > 0"""
+)
 def dedup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unique, exact_duplicate or near_duplicate by the order-dependent rule, with the original's id.
 
     A document is a duplicate of the first earlier original that is equal or similar; duplicates are
     never originals.
     """
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
     docs = cleaned(spark, sf_dir)
     digests = docs.select("doc_id", F.sha2("text", 256).alias("digest"))
     # Copies of one text stand behind its first document; similarity is settled between first documents.
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     heads = first.select(F.col("first_id").alias("id"))
-    pairs = self_pairs(postings(docs.join(heads.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "doc_id", "text", 5, True), fx.NEAR_DUPLICATE)
-    originals = resolve_in_order(heads, pairs.select("a", "b").checkpoint())
+    pairs = self_pairs(fg.sets(docs.join(heads.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "doc_id", "text", 5, True), fx.NEAR_DUPLICATE)
+    originals = resolve_in_order(heads, materialize(pairs.select("a", "b"), "pairs"))
     joined = digests.join(first, "digest").join(originals.withColumnRenamed("id", "first_id"), "first_id")
     # A copy of a near duplicate is similar to the same original; a copy of an original is an exact one.
     status = F.when(F.col("original").isNotNull(), "near_duplicate").when(F.col("doc_id") != F.col("first_id"), "exact_duplicate").otherwise("unique")
@@ -70,14 +77,11 @@ def dedup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", status.alias("status"), cluster.alias("cluster_id"))
 
 
-@query()
+@query(f"WITH {PAIRS_SQL} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs")
 def minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that MinHash banding proposes (112 hashes, 14 bands) and exact Jaccard confirms."""
-    grams = postings(cleaned(spark, sf_dir), "doc_id", "text", 5, True)
-    candidates = banded_pairs(grams)
-    a, b = grams.select(F.col("id").alias("a"), F.col("n_grams").alias("na"), "gram"), grams.select(F.col("id").alias("b"), F.col("n_grams").alias("nb"), "gram")
-    both = candidates.join(a, "a").join(b, ["b", "gram"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return both.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("jaccard")).where(F.col("jaccard") >= fx.NEAR_DUPLICATE)
+    """Pairs that MinHash banding proposes and exact Jaccard confirms; a pair at the threshold is missed once in some eight hundred."""
+    sets = fg.sets(cleaned(spark, sf_dir), "doc_id", "text", 5, True)
+    return scored_pairs(banded_pairs(sets), sets, fx.NEAR_DUPLICATE).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(
@@ -85,9 +89,9 @@ def minhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT d.id AS doc_id, count(DISTINCT b.id)::BIGINT AS n_items, min(b.id) AS first_item, count(DISTINCT d.gram)::BIGINT AS n_grams FROM d JOIN b ON d.gram = b.gram GROUP BY d.id"""
 )
 def ngram_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share any 13 words in a row with a benchmark item."""
-    d = postings(table(spark, sf_dir, "documents"), "doc_id", "text", 13, False)
-    items = postings(table(spark, sf_dir, "benchmark"), "item_id", "text", 13, False).select(F.col("id").alias("item"), "gram")
+    """Documents that share any 13 words in a row with a benchmark item; only hits leave the scan."""
+    items = fg.postings(table(spark, sf_dir, "benchmark"), "item_id", "text", 13, False).select(F.col("id").alias("item"), "gram")
+    d = fg.hits(table(spark, sf_dir, "documents"), "doc_id", "text", items, 13, False).select("id", F.explode("grams").alias("gram"))
     hits = d.join(small(items, "16"), "gram")
     return hits.groupBy(F.col("id").alias("doc_id")).agg(F.count_distinct("item").alias("n_items"), F.min("item").alias("first_item"), F.count_distinct("gram").alias("n_grams"))
 
@@ -99,25 +103,37 @@ SELECT doc_id, round(max(j), 6) AS max_overlap, count(*) FILTER (WHERE j >= 0.12
 )
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest 5-shingle Jaccard with any benchmark item, and how many pass the threshold."""
-    o = registry_overlap(postings(table(spark, sf_dir, "documents"), "doc_id", "text", 5, True), postings(table(spark, sf_dir, "benchmark"), "item_id", "text", 5, True))
+    o = registry_overlap(table(spark, sf_dir, "documents"), "doc_id", "text", fg.postings(table(spark, sf_dir, "benchmark"), "item_id", "text", 5, True), 5)
     return o.groupBy(F.col("id").alias("doc_id")).agg(F.round(F.max("jaccard"), 6).alias("max_overlap"), F.count_if(F.col("jaccard") >= fx.REGISTRY_OVERLAP).alias("n_over"))
 
 
 @query("SELECT d.doc_id, count(*)::BIGINT AS n_items FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY d.doc_id")
 def quoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the whole text of a registered item: a join on containment, which has no key.
+    """Documents that hold the whole text of a registered item.
 
-    The registry is a fixed list beside the documents; it is sent to all tasks where its texts are small.
+    The words inside an item, all but the first and the last, stand in a document that holds it; so
+    an item of fifteen words or more is anchored by its second to fourteenth word, and only documents
+    with that run are searched for it. Shorter items are compared with every document.
     """
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    hits = docs.join(small(items, "octet_length(item)"), F.col("text").contains(F.col("item")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), fx.words(F.lower("text")).alias("w"))
+    long = items.where("size(w) >= 15").select("item_id", "item", F.array_join(F.slice("w", 2, 13), " ").alias("anchor"))
+    anchors = fg.postings(long, "item_id", "anchor", 13, False).select("gram", F.col("id").alias("item_id"))
+    found = fg.hits(docs, "doc_id", "text", anchors, 13, False).select(F.col("id").alias("doc_id"), F.explode("grams").alias("gram"))
+    pairs = found.join(small(anchors, "16"), "gram").select("doc_id", "item_id").distinct()
+    near = pairs.join(small(long.select("item_id", "item"), "octet_length(item)"), "item_id").join(docs, "doc_id")
+    hits = near.where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    short = items.where("size(w) < 15").select("item_id", "item")
+    hits = hits.unionByName(docs.join(small(short, "octet_length(item)"), F.col("text").contains(F.col("item"))).select("doc_id", "item_id"))
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON sha256(d.text) = sha256(b.text)")
+@query("SELECT d.doc_id, r.doc_id AS registered_id FROM documents d JOIN documents r ON sha256(coalesce(d.text, '')) = sha256(coalesce(r.text, '')) WHERE d.doc_id % 2 = 0 AND r.doc_id % 2 = 1")
 def exact_hash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return d.join(table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("digest")), "digest").select("doc_id", "item_id")
+    """Served documents (here the even ids) whose text a registered one (an odd id) has too, by a join on the digest."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    registry = d.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "registered_id")
+    return d.where("doc_id % 2 = 0").join(registry, "digest").select("doc_id", "registered_id")
 
 
 @query(

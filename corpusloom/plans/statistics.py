@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as fx
+from corpusloom.functions.hashing import derived_seed
+from corpusloom.operators.prefix import row_numbers
 from corpusloom.plans.registry import query
 from corpusloom.plans.text import words_sql
 from corpusloom.sources.tables import table
@@ -115,19 +117,24 @@ def seed_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.avg(x), 6).alias("mean"), F.coalesce(F.round(F.stddev_samp(x), 6), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    """WITH v AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS i, x, count(*) OVER (PARTITION BY event_type) AS n FROM (SELECT event_type, user_id, avg(value) AS x FROM events GROUP BY 1, 2)),
+d AS (SELECT event_type, n, i AS slot, unnest(range(1, 201)) AS b FROM v WHERE i % 8 = 0), s AS (SELECT event_type, n, b, CAST('0x' || substr(sha256(event_type || ':' || slot || ':' || b), 1, 15) AS BIGINT) % greatest(n - 7, 1) AS start FROM d),
+p AS (SELECT event_type, b, unnest(range(start, least(start + 8, n))) AS i FROM s), m AS (SELECT p.event_type, b, avg(x) AS m FROM p JOIN v ON v.event_type = p.event_type AND v.i = p.i GROUP BY 1, 2)
+SELECT event_type, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high, count(*)::BIGINT AS resamples FROM m GROUP BY event_type"""
+)
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile interval of each type's mean from 200 moving-block resamples over users' means.
 
-    Starts come from a hash of type, resample and place, so the result is the same every time; a
+    Starts come from SHA-256 of type, place and resample, so the result is the same every time; a
     resample is an equi-join of starts with the ordered values, and its mean a grouped sum.
     """
     users = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("x"))
-    w = Window.partitionBy("event_type").orderBy("user_id")
-    v = users.select("event_type", (F.row_number().over(w) - 1).alias("i"), "x", F.count(F.lit(1)).over(Window.partitionBy("event_type")).alias("n"))
+    n = users.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))  # a row a type
+    v = row_numbers(users, "event_type", ["user_id"], "place").withColumn("i", F.col("place") - 1).drop("place").join(F.broadcast(n), "event_type")
     block = 8
     draws = v.where(F.col("i") % block == 0).select("event_type", "n", F.col("i").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b"))
-    draws = draws.withColumn("start", F.pmod(F.xxhash64("event_type", "slot", "b"), F.greatest(F.col("n") - block + 1, F.lit(1))))
+    draws = draws.withColumn("start", derived_seed(F.col("event_type"), F.col("slot"), F.col("b")) % F.greatest(F.col("n") - block + 1, F.lit(1)))
     picks = draws.select("event_type", "b", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + block - 1, F.col("n") - 1))).alias("i"))
     means = picks.join(v.select("event_type", "i", "x"), ["event_type", "i"]).groupBy("event_type", "b").agg(F.avg("x").alias("m"))
     return means.groupBy("event_type").agg(F.round(F.percentile("m", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 4).alias("high"), F.count(F.lit(1)).alias("resamples"))

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.plans.registry import query
+from corpusloom.sources.store import shared_dir
 from corpusloom.streaming import events as ev
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder; only where none is set, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='corpusloom-')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _complete(spark: SparkSession, sf_dir: str, name: str, plan) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as fx
+from corpusloom.functions.arrow_bytes import SPACE, WindowHash, buffers, per_row, slices, spans
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -190,17 +191,22 @@ def byte_cost_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
  max(n_chars)::BIGINT AS max_chars, list_sort(list(n_chars))[CAST(floor(0.9 * count(*)) AS INTEGER) + 1]::BIGINT AS p90_chars FROM documents GROUP BY lang"""
 )
 def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, median, maximum and the value at nine tenths of the sorted list, which is not interpolated."""
-    d = table(spark, sf_dir, "documents")
-    ranked = d.select("lang", "n_chars", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars")).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("lang")).alias("n"))
-    p90 = F.max(F.when(F.col("place") == F.floor(F.col("n") * 0.9) + 1, F.col("n_chars")))
+    """Mean, median, maximum and the value at nine tenths of the sorted list, which is not interpolated.
+
+    Documents of one length are one row before anything is sorted, so the order goes over lengths.
+    """
+    k = table(spark, sf_dir, "documents").groupBy("lang", "n_chars").agg(F.count(F.lit(1)).alias("k")).where("n_chars is not null")
+    of = Window.partitionBy("lang")
+    ranked = k.withColumns({"upto": F.sum("k").over(of.orderBy("n_chars")), "n": F.sum("k").over(of)})
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("n_chars")))  # noqa: E731  the value at a place of the sorted list, from one
+    n = F.col("n")
     return ranked.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        F.sum("n_chars").alias("n_chars"),
-        F.round(F.avg("n_chars"), 4).alias("mean_chars"),
-        F.median("n_chars").alias("median_chars"),
+        F.first("n").alias("n_docs"),
+        F.sum(F.col("k") * F.col("n_chars")).alias("n_chars"),
+        F.round(F.sum(F.col("k") * F.col("n_chars")) / F.first("n"), 4).alias("mean_chars"),
+        ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median_chars"),
         F.max("n_chars").alias("max_chars"),
-        p90.alias("p90_chars"),
+        at(F.floor(n * 0.9) + 1).alias("p90_chars"),
     )
 
 
@@ -228,34 +234,39 @@ def stated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def longest_repeat(words: list[str], largest: int = fx.REPEAT_LARGEST) -> tuple[int, int, int]:
-    """Longest run of an n-gram repeated back to back, for n up to ``largest``: (run, n, start).
+def longest_repeat(codes: np.ndarray, largest: int = fx.REPEAT_LARGEST) -> tuple[int, int, int]:
+    """Longest run of an n-gram repeated back to back, for n up to ``largest``: (run, n, start); equal words have equal codes.
 
     Words that equal the word n places on form stretches; a stretch of r of them holds r // n + 1
     copies. The longest run counts, then the smallest n, then the earliest start.
     """
-    if not words:
+    if len(codes) < 2:
         return 0, 0, -1
-    _, codes = np.unique(np.array(words, dtype=object), return_inverse=True)
-    best = (0, 0, -1)
+    best = (1, 1, 0)
     for n in range(1, min(largest, len(codes) // 2) + 1):
-        same = np.concatenate(([False], codes[n:] == codes[:-n], [False]))
+        equal = codes[n:] == codes[:-n]
+        if not equal.any():
+            continue
+        same = np.concatenate(([False], equal, [False]))
         edge = np.flatnonzero(same[1:] != same[:-1])
         starts, sizes = edge[::2], edge[1::2] - edge[::2]
         run = sizes // n + 1
-        if len(run) and run.max() > max(best[0], 1):
+        if run.max() > best[0]:
             best = (int(run.max()), n, int(starts[run.argmax()]))
-        elif best[0] == 0:
-            best = (1, n, 0)
     return best
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [longest_repeat(w or []) for w in batch.column("w").to_pylist()]
-        run, n, start = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
-        flagged = pa.array([r[0] >= fx.REPEAT_RUN for r in rows])
-        yield pa.record_batch([batch.column("doc_id"), run, n, start, flagged], names=["doc_id", "run", "n", "start", "flagged"])
+        for part in slices(batch, "text"):
+            data, offsets = buffers(part.column("text"))
+            starts, ends = spans(~SPACE[data], offsets)
+            bounds = per_row(starts, offsets)
+            codes = WindowHash(data)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+            rows = [longest_repeat(codes[low:high]) for low, high in zip(bounds[:-1], bounds[1:], strict=True)]
+            run, n, start = (pa.array([r[k] for r in rows], pa.int64()) for k in range(3))
+            flagged = pa.array([r[0] >= fx.REPEAT_RUN for r in rows], pa.bool_())
+            yield pa.record_batch([part.column("doc_id"), run, n, start, flagged], names=["doc_id", "run", "n", "start", "flagged"])
 
 
 @query(
@@ -269,8 +280,7 @@ SELECT d.doc_id, CASE WHEN len(w) < 2 THEN 0 ELSE coalesce(run, 1) END::BIGINT A
  CASE WHEN len(w) < 2 THEN -1 ELSE coalesce(start, 0) END::BIGINT AS start, coalesce(run, 0) >= 32 AS flagged FROM d LEFT JOIN (SELECT * FROM b WHERE place = 1) b ON b.doc_id = d.doc_id"""
 )
 def repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", fx.words("text").alias("w"))
-    return words.mapInArrow(_repeats, "doc_id long, run long, n long, start long, flagged boolean")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_repeats, "doc_id long, run long, n long, start long, flagged boolean")
 
 
 @query(

@@ -66,12 +66,15 @@ def xml_entries(spark: SparkSession, path: str, schema: T.StructType | str) -> D
 
 def code_files(spark: SparkSession, path: str, byte_budget: int, least: int = 500, seed: str = "0") -> DataFrame:
     """Source files in an order fixed by the seed, short ones skipped, up to a byte budget."""
-    from pyspark.sql import Window
+    from corpusloom.operators.prefix import running_sums
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", True).load(path)
     files = files.where(F.col("length") >= least).withColumn("rank", F.sha2(F.concat_ws(":", F.lit(seed), "path"), 256))
-    before = F.coalesce(F.sum("length").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("before", before).where(F.col("before") < byte_budget).select("path", "length", F.col("content").cast("string").alias("text"))
+    # Path and length are ordered; contents meet those that are taken.
+    slim = files.select("path", "length", "rank", F.lit(0).alias("all"))
+    upto = running_sums(slim, "all", ["rank", "path"], {"upto": F.col("length")}, F.substring("rank", 1, 2))
+    taken = upto.where(F.col("upto") - F.col("length") < byte_budget).select("path")
+    return files.join(taken, "path", "left_semi").select("path", "length", F.col("content").cast("string").alias("text"))
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
