@@ -67,15 +67,30 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class ChunkEncoder:
     """Token ids of texts, each distinct chunk being encoded once while it is remembered."""
 
-    def __init__(self, encode: Callable[[bytes], bytes], remember: int = CACHE_CHUNKS):
+    def __init__(self, encode: Callable[[bytes], bytes], remember: int = CACHE_CHUNKS, special: tuple[bytes, ...] = ()):
         self._encode, self._remember, self._known = encode, remember, {}
+        self._special = re.compile(b"|".join(map(re.escape, special))) if special else None
+
+    def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks of each row; one that holds the string of a special token is a chunk as a whole."""
+        starts, ends = chunk_spans(data, offsets)
+        at = [m.start() for m in self._special.finditer(data.tobytes())] if self._special else []
+        if at:
+            rows = np.unique(np.searchsorted(offsets, at, side="right") - 1)
+            whole = np.zeros(len(offsets) - 1, dtype=bool)
+            whole[rows] = True
+            row = np.searchsorted(offsets, starts, side="right") - 1
+            keep = ~whole[row] | (starts == offsets[row])
+            starts = starts[keep]
+            ends = np.append(starts[1:], len(data))
+        return starts, ends
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column, and each row's bounds among them."""
         data, offsets = buffers(column)
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
-        starts, ends = chunk_spans(data, offsets)
+        starts, ends = self._chunks(data, offsets)
         _, first, which = np.unique(WindowHash(data)(starts, ends), return_index=True, return_inverse=True)
         twin = np.repeat(starts[first][which] - starts, ends - starts) + np.arange(len(data))
         if not np.array_equal(data[np.minimum(twin, len(data) - 1)], data):  # different chunks share a hash
@@ -99,12 +114,13 @@ class ChunkEncoder:
 
 
 def load_encoder(path: str) -> ChunkEncoder:
-    """The public vocabulary by the tokenizers library; the strings of special tokens are ordinary text."""
+    """The public vocabulary by the tokenizers library; the string of a special token in a text is that token, as there."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    special = tuple(t.content.encode() for t in tokenizer.get_added_tokens_decoder().values())
+    holds_special = re.compile(b"|".join(map(re.escape, special)) or rb"(?!)").search
     # What a byte looks like to the model: printable bytes are themselves, the others follow from U+0100 on.
     printable = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
     others = [b for b in range(256) if b not in printable]
@@ -115,7 +131,9 @@ def load_encoder(path: str) -> ChunkEncoder:
 
     def encode(chunk: bytes) -> bytes:
         word = chunk[1:] if chunk[0] == 0x20 else chunk
-        if word.isalpha():  # ASCII letters look like themselves
+        if holds_special(chunk):
+            ids = tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
+        elif word.isalpha():  # ASCII letters look like themselves
             ids = [t.id for t in merges((alphabet[0x20] if len(word) < len(chunk) else "") + word.decode("ascii"))]
         elif single(chunk):
             ids = [t.id for t in merges(chunk.decode("latin-1").translate(alphabet))]
@@ -123,7 +141,7 @@ def load_encoder(path: str) -> ChunkEncoder:
             ids = tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    return ChunkEncoder(encode)
+    return ChunkEncoder(encode, special=special)
 
 
 class SumOfSquares:
