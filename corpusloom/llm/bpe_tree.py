@@ -27,7 +27,9 @@ from corpusloom.llm._bytes import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf, and bytes of a leaf inside one match of the pattern.
-LEAF_CHARS, LEAF_BYTES = 2048, 512
+LEAF_CHARS, LEAF_BYTES = 48, 32
+#: Ids that are joined at once when decoding; pieces whose ids a task remembers; what is no token.
+LEAF_IDS, REMEMBERED, NO_RANK = 64, 400_000, 1 << 62
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -45,19 +47,42 @@ class TreeCodec:
     """Encoder and decoder of one vocabulary; special tokens do not exist here."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
-        import tiktoken
-
-        self._plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self._matches = regex.compile(pattern)
         self._ranks, self._bytes = ranks, {i: t for t, i in ranks.items()}
         self._leaf_chars, self._leaf_bytes = max(2, leaf_chars), max(2, leaf_bytes)
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._pieces: dict[bytes, list[int]] = {}
 
     # -- bytes within one match of the pattern
 
+    def _merge(self, piece: bytes) -> list[int]:
+        """Merge the neighbours of the lowest rank, the leftmost of equal ones first, until none make a token."""
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        rank = self._ranks.get
+        joined = [rank(a + b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
+        while joined:
+            least = min(joined)
+            if least == NO_RANK:
+                break
+            k = joined.index(least)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del joined[k]
+            if k:
+                joined[k - 1] = rank(parts[k - 1] + parts[k], NO_RANK)
+            if k < len(joined):
+                joined[k] = rank(parts[k] + parts[k + 1], NO_RANK)
+        return [self._ranks[p] for p in parts]
+
     def _piece_leaf(self, piece: bytes) -> list[int]:
-        whole = self._ranks.get(piece)
-        return [whole] if whole is not None else self._plain._encode_single_piece(piece)
+        ids = self._pieces.get(piece)
+        if ids is None:
+            if len(self._pieces) > REMEMBERED:
+                self._pieces.clear()
+            whole = self._ranks.get(piece)
+            ids = [whole] if whole is not None else self._merge(piece)
+            if len(piece) <= self._leaf_bytes:
+                self._pieces[piece] = ids
+        return ids
 
     def _is_pair(self, a: int, b: int) -> bool:
         known = self._pairs.get((a, b))
@@ -87,24 +112,20 @@ class TreeCodec:
 
     # -- texts
 
-    def _leaf(self, text: str) -> list[int]:
-        return self._plain.encode_ordinary(text)
+    def _window(self, text: str) -> list[int]:
+        """Match by match; a match longer than a leaf is a tree of its own."""
+        return [t for m in self._matches.finditer(text) for t in self.encode_piece(m.group().encode("utf-8"))]
 
     @staticmethod
     def _stable(text: str, at: int) -> bool:
         return text[at].isspace() and not text[at - 1].isspace() and not "\x1c" <= text[at - 1] <= "\x1f" and text[at] in " \t\n\x0b\x0c\r"
 
-    def _window(self, text: str) -> list[int]:
-        if len(text) <= self._leaf_chars:
-            return self._leaf(text)
-        return [t for m in self._matches.finditer(text) for t in self.encode_piece(m.group().encode("utf-8"))]
-
     def encode(self, text: str) -> list[int]:
         return self._encode(text, 0, len(text))
 
     def _encode(self, text: str, low: int, high: int) -> list[int]:
         if high - low <= self._leaf_chars:
-            return self._leaf(text[low:high])
+            return self._window(text[low:high])
         middle = (low + high) // 2
         start, stop = middle, middle
         while start > low and not (start < high and self._stable(text, start)):
@@ -130,7 +151,7 @@ class TreeCodec:
         return tokens[: len(tokens) - k] if from_end else tokens[k:]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        if len(ids) <= self._leaf_chars:
+        if len(ids) <= LEAF_IDS:
             return b"".join(map(self._bytes.__getitem__, ids.tolist()))
         middle = len(ids) // 2
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
