@@ -2,8 +2,7 @@
 
 Markup is stripped to lines, one per block. Text lengths are summed over sliding windows of lines;
 the text between the points where the sums surge and dive is the main text. Links count as no
-text, and lines inside elements that cannot hold main text are taken out first; lines of an
-article element mark the surge and the dive where a page has one.
+text, and lines inside elements that cannot hold main text are taken out first.
 """
 
 from __future__ import annotations
@@ -66,8 +65,10 @@ SCOPES = ("table", "td", "th", "caption", "template")
 #: Blocks between which and the text there may be further items of a list.
 LOOSE = frozenset("address div form p".split())
 
+#: A quote opens a value only after an equals sign, and one that is never closed runs to the end, so every match goes forward.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|\Z)""", re.I)
@@ -77,7 +78,6 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)
 class Line:
     text: str
     linked: int
-    inside: bool
 
 
 def names_boilerplate(name: str) -> bool:
@@ -116,7 +116,11 @@ class OpenElements:
         self.flags: list[bool] = []
         self.places: dict[str, list[int]] = defaultdict(list)
         self.walls: list[int] = []
-        self.skipping = 0
+        self.skips: list[int] = []
+
+    @property
+    def skipping(self) -> bool:
+        return bool(self.skips)
 
     def last(self, *tags: str) -> int:
         """The place of the innermost open element of these names; -1 without one."""
@@ -126,7 +130,8 @@ class OpenElements:
         """End the element at a place and all in it."""
         while len(self.tags) > place:
             tag = self.tags.pop()
-            self.skipping -= self.flags.pop()
+            if self.flags.pop():
+                self.skips.pop()
             if tag:
                 self.places[tag].pop()
             if self.walls and self.walls[-1] == len(self.tags):
@@ -136,13 +141,15 @@ class OpenElements:
         """End the innermost element of a name, but none of those in it."""
         place = self.places[tag].pop()
         self.tags[place] = ""
-        self.skipping -= self.flags[place]
+        if self.flags[place]:
+            self.skips.remove(place)
         self.flags[place] = False
 
     def release(self) -> None:
         """Skip no open element any longer."""
-        self.flags = [False] * len(self.flags)
-        self.skipping = 0
+        for place in self.skips:
+            self.flags[place] = False
+        self.skips.clear()
 
     def imply(self, tag: str) -> None:
         """End the elements that a start tag, or text for the empty name, ends."""
@@ -174,7 +181,8 @@ class OpenElements:
             self.walls.append(place)
         self.tags.append(tag)
         self.flags.append(skipped)
-        self.skipping += skipped
+        if skipped:
+            self.skips.append(place)
 
     def end(self, tag: str) -> None:
         """End the element that an end tag names, with those in it; without such an element nothing ends."""
@@ -211,7 +219,7 @@ def lines_of(page: str) -> list[Line]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, min(linked, len(text)), inside > 0))
+            lines.append(Line(text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -273,21 +281,28 @@ def lines_of(page: str) -> list[Line]:
 
 
 def main_lines(lines: list[Line]) -> list[Line]:
-    """The lines between surge and dive of the window sums of text lengths."""
-    anchored = any(line.inside for line in lines)
-    # In a page with an article element its lines are the text that the windows sum.
-    size = [(max(len(line.text), SURGE) if line.inside else 0) if anchored else len(line.text) - line.linked for line in lines]
+    """The lines between surge and dive of the window sums of text lengths.
+
+    Text that is no link counts with its length. Where a window sums to SURGE, main text starts with
+    the unbroken run of text lines that leads up to it; it ends where a whole window has no text.
+    """
+    size = [len(line.text) - line.linked for line in lines]
+    n = len(lines)
+    sums = [0]
+    for s in size:
+        sums.append(sums[-1] + s)
+    window = [sums[min(n, i + WINDOW_LINES)] - sums[i] for i in range(n)]
     kept: list[Line] = []
-    i, n = 0, len(lines)
+    i = done = 0
     while i < n:
-        window = sum(size[i : i + WINDOW_LINES])
-        if size[i] and window >= SURGE:
-            stop = i
-            # The dive: a line from which on a whole window has no text.
-            while stop < n and (size[stop] if anchored else sum(size[stop : stop + WINDOW_LINES])):
+        if size[i] and window[i] >= SURGE:
+            first = stop = i
+            while first and size[first - 1] and first > done:
+                first -= 1
+            while stop < n and window[stop]:
                 stop += 1
-            kept += lines[i:stop]
-            i = stop
+            kept += lines[first:stop]
+            i = done = stop
         else:
             i += 1
     return kept
@@ -297,7 +312,7 @@ def extract(page: str | None) -> str:
     """Main text of one page, blocks joined by an empty line."""
     lines = lines_of(page or "")
     found = main_lines(lines)
-    if not found and lines and not any(line.inside for line in lines):
+    if not found:
         # A page too short for any window to surge: what is no link is the text.
         found = [line for line in lines if len(line.text) > 2 * line.linked]
     return "\n\n".join(line.text for line in found)
