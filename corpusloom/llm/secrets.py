@@ -8,6 +8,8 @@ weak interval with the nearest part of each role, so nothing is shuffled and no
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +21,35 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Weak parts: a bare 40-character secret, a named account, an address with a scheme.
 BARE = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
-ACCOUNT = r"""\b(?i:account|client_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})"""
-ENDPOINT = r"\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9@:._-]+"
+ACCOUNT = r"""(?<![A-Za-z0-9_])(?i:account|client_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{4,})"""
+ENDPOINT = r"(?<![A-Za-z0-9_])[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9@:._-]+"
 
 #: Kinds in the order that ties of a start are reported in; the method's own follow the base kinds.
 KINDS = ("assign", "access", "hex", "short", "bare", "account", "endpoint")
 #: Code points between two parts of one scope, at most.
 SCOPE = 300
 REDACTED = "[SECRET]"
+#: Items of a fold that stand in one array, and code points of a stretch of text that is cut at once.
+FOLD, STRETCH = 512, 4096
 
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,role:string,weak:boolean>"
 
 
+def _folded(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` appends to the array ``out`` of its state, over all items in order.
+
+    Appending copies the array, so items are folded in blocks, and an array never outgrows one.
+    """
+    none = start["out"]
+    size = F.lit(FOLD)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / size).cast("int")), lambda k: F.slice(items, k * size + 1, size))
+    # An array of one element holds the block's state, so that it is computed once.
+    close = lambda closed: lambda s: F.struct(s.withField("out", none).alias("state"), F.concat(closed, F.array(s["out"])).alias("closed"))
+    by_block = lambda s, block: F.transform(F.array(F.aggregate(block, s["state"], step)), close(s["closed"]))[0]
+    begin = F.struct(start.alias("state"), F.slice(F.array(none), F.lit(1), F.lit(0)).alias("closed"))
+    return F.aggregate(blocks, begin, by_block, lambda s: F.flatten(s["closed"]))
+
+
 def _hits(text: Column, pattern: str, group: int | None = None) -> Column:
     """Leftmost matches that do not overlap, as (start, end, value) in code points; empty for most texts by one search."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -44,7 +63,7 @@ def _hits(text: Column, pattern: str, group: int | None = None) -> Column:
         (s["at"] + x["gap"] + x["size"]).alias("at"),
         F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))).alias("out"),
     )
-    return F.when(text.rlike(pattern), F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), _folded(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step)).otherwise(none)
 
 
 def _parts(hits: Column, kind: str, role: str, weak: bool) -> Column:
@@ -69,7 +88,7 @@ def _nearest(parts: Column, backwards: bool) -> Column:
     start = F.struct(
         *(far.alias(r) for r in ("id", "key", "place")), F.array().cast(f"array<struct<part:{_SPAN},id:int,key:int,place:int>>").alias("out")
     )
-    return F.aggregate(F.reverse(parts) if backwards else parts, start, step, lambda s: s["out"])
+    return _folded(F.reverse(parts) if backwards else parts, start, step)
 
 
 def _linked(parts: Column) -> Column:
@@ -100,49 +119,65 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     and has no spans; repeated rows and null ids are scanned like any others. A column of ``docs``
     named secret_parts is replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    work = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "secret_parts")).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
     # One projection per step: each array is computed once, and a text without weak parts is not joined.
-    scanned = docs.withColumns(
+    scanned = work.withColumns(
         {
-            "__assign": _hits(text, ASSIGN, 1),
-            "__access": _hits(text, ACCESS),
-            "__hex": _hits(text, HEX),
-            "__bare": _hits(text, BARE),
-            "__account": _hits(text, ACCOUNT, 1),
-            "__endpoint": _hits(text, ENDPOINT),
+            "assign": _hits(text, ASSIGN, 1),
+            "access": _hits(text, ACCESS),
+            "hex": _hits(text, HEX),
+            "bare": _hits(text, BARE),
+            "account": _hits(text, ACCOUNT, 1),
+            "endpoint": _hits(text, ENDPOINT),
         }
     )
-    assign = F.col("__assign")
+    assign = F.col("assign")
     base = F.concat(
         _parts(F.filter(assign, lambda h: h["value"] >= ASSIGN_LEAST), "assign", "key", False),
-        _parts(F.col("__access"), "access", "id", False),
-        _parts(F.col("__hex"), "hex", "key", False),
+        _parts(F.col("access"), "access", "id", False),
+        _parts(F.col("hex"), "hex", "key", False),
     )
     weak = F.concat(
         _parts(F.filter(assign, lambda h: (h["value"] >= SHORT_LEAST) & (h["value"] < ASSIGN_LEAST)), "short", "key", True),
-        _parts(F.filter(F.col("__bare"), lambda h: ~F.exists(assign, lambda a: (a["start"] <= h["start"]) & (h["end"] <= a["end"]))), "bare", "key", True),
-        _parts(F.col("__account"), "account", "id", True),
-        _parts(F.col("__endpoint"), "endpoint", "place", True),
+        _parts(F.filter(F.col("bare"), lambda h: ~F.exists(assign, lambda a: (a["start"] <= h["start"]) & (h["end"] <= a["end"]))), "bare", "key", True),
+        _parts(F.col("account"), "account", "id", True),
+        _parts(F.col("endpoint"), "endpoint", "place", True),
     )
-    both = scanned.withColumns({"__base": base, "__weak": weak})
-    linked = F.when(F.size("__weak") > 0, _linked(F.array_sort(F.concat("__base", "__weak")))).otherwise(F.array().cast(f"array<{_SPAN}>"))
-    found = both.withColumn("secret_parts", F.array_sort(F.concat("__base", linked)))
-    return found.drop("__assign", "__access", "__hex", "__bare", "__account", "__endpoint", "__base", "__weak")
+    both = scanned.withColumns({"base": base, "weak": weak})
+    linked = F.when(F.size("weak") > 0, _linked(F.array_sort(F.concat("base", "weak")))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    return both.select("row.*", F.array_sort(F.concat("base", linked)).alias("secret_parts"))
+
+
+def _stretch(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points from start to end of a text that lies in chunks of STRETCH."""
+    first = F.floor(start / STRETCH).cast("int")
+    joined = F.array_join(F.slice(chunks, first + 1, F.floor(end / STRETCH).cast("int") - first + 1), "")
+    return F.substring(joined, start - first * STRETCH + 1, end - start)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each found stretch of the text replaced by a mark; all columns stay, other texts stay as they are."""
+    """``docs`` with each found stretch of the text replaced by a mark; all columns stay, other texts stay as they are.
+
+    Overlapping findings make one mark. A null text stays null; a column named secret_parts is dropped.
+    """
+    columns = [c for c in docs.columns if c != "secret_parts"]
     found = scan_secrets(docs, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    cut = found.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), text.alias("text"), "secret_parts")
+    some = F.size("secret_parts") > 0
+    cut = cut.withColumn("chunks", F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))))
+    chunks = F.col("chunks")
     step = lambda s, p: F.when(p["end"] <= s["at"], s).otherwise(
         F.struct(
             p["end"].alias("at"),
-            F.when(p["start"] >= s["at"], F.concat(s["out"], F.substring(text, s["at"] + 1, p["start"] - s["at"]), F.lit(REDACTED))).otherwise(s["out"]).alias("out"),
+            F.when(p["start"] >= s["at"], F.concat(s["out"], F.array(_stretch(chunks, s["at"], p["start"]), F.lit(REDACTED)))).otherwise(s["out"]).alias("out"),
         )
     )
-    end = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text) - s["at"]))
-    marked = F.aggregate("secret_parts", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
-    return found.withColumn(text_col, F.when(F.size("secret_parts") > 0, marked).otherwise(F.col(text_col))).drop("secret_parts")
+    pieces = _folded(F.col("secret_parts"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
+    rest = _stretch(chunks, F.array_max(F.transform("secret_parts", lambda p: p["end"])), F.length("text"))
+    marked = cut.withColumn("marked", F.when(some, F.concat(F.array_join(pieces, ""), rest)))
+    return marked.select(*(F.coalesce("marked", F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in columns))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
