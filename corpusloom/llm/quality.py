@@ -155,15 +155,15 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return OrdinalModel(model.weights, np.array(thresholds))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None, keep_grade: int, keep_probability: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None, keep_grade: int, keep_probability: float, text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, text_col):
             n = part.num_rows
             if model is None:
                 expected = tail = clean_p = pa.nulls(n, pa.float64())
                 kept, clean = pa.array([True] * n), pa.nulls(n, pa.bool_())
             else:
-                tails = model.tails(part.column("text"))
+                tails = model.tails(part.column(text_col))
                 expected, p = pa.array(np.round(tails.sum(axis=1), 6)), np.round(tails[:, keep_grade - 1], 6)
                 tail, kept = pa.array(p), pa.array(p >= keep_probability)
                 clean_p, clean = pa.nulls(n, pa.float64()), pa.nulls(n, pa.bool_())
@@ -182,12 +182,11 @@ def score_quality(docs: DataFrame, model: OrdinalModel | None, text_col: str = "
     others. Columns of ``docs`` with the new names are replaced.
     """
     rest = docs.drop(*SCORES)
-    work = rest if text_col == "text" else rest.withColumn("text", F.col(text_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields)
-    scored = work.mapInArrow(
-        lambda b: _score(b, model, keep_grade, keep_probability), f"{schema}, expected_grade double, tail_probability double, kept boolean, clean_probability double, clean boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
+    return rest.mapInArrow(
+        lambda b: _score(b, model, keep_grade, keep_probability, text_col),
+        f"{schema}, expected_grade double, tail_probability double, kept boolean, clean_probability double, clean boolean",
     )
-    return scored if text_col == "text" or "text" in rest.columns else scored.drop("text")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
