@@ -1,23 +1,25 @@
 """URL filter by a sorted digest array.
 
-Rules and blocked hosts are keys in one array of 64-bit xxhash digests. Tasks memory-map the array,
-probe it with vectorised binary search for every host suffix and path prefix of a URL, and confirm
-each hit against the stored full string. A rule list above the stated bound is joined by digest
-instead of being sent to all tasks.
+Rules and blocked hosts are keys in a sorted array of 64-bit xxhash digests. Tasks memory-map the
+array, probe it with vectorised binary search for those host suffixes and path prefixes of a URL
+that rules may have, and confirm each hit against the stored full string. A long list makes several
+arrays, each of one range of digests.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm._store import materialize
+
 #: Host, path, verdict.
 RULES = (
     ("com", "/", "allow"),
@@ -26,19 +28,21 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Hosts that are blocked with their subdomains where no rule fits.
+#: Hosts that are blocked with their subdomains where no rule fits, unless the caller names others.
 BLOCKED_HOSTS = (
-    "ads-track.example.org",
-    "casino-win.example.org",
+    "ads-track.example.com",
+    "adult-x.example.net",
+    "casino-win.example.com",
     "cheap-pills.example.com",
     "free-bets.example.com",
-    "spam-farm.example.org",
+    "spam-farm.example.com",
 )
-#: Most bytes of rule text that are sent to every task.
+#: Bytes of keys in one array, about; longer lists make more arrays, each of one range of digests.
 ARRAY_BYTES = 64 << 20
 
 RESULT = "page_id long, host string, path string, rule string, verdict string"
-RULE_SCHEMA = "host string, path string, verdict string, listed boolean"
+#: What a key says: whether it blocks, and whether it is a listed rule.
+BLOCK, LISTED = 1, 2
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -51,40 +55,48 @@ def split_url(url: str | None) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + path
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and all its parent domains, the longest first."""
-    found = [host]
-    while (at := host.find(".")) >= 0:
-        found.append(host := host[at + 1 :])
-    return found
+def suffixes(host: str, depths: dict[int, list[int]]) -> Iterator[tuple[str, int]]:
+    """The host and its parent domains whose number of labels is among ``depths``, with that number."""
+    depth = host.count(".") + 1
+    ends = {depth: 0} if depth in depths else {}
+    at, deepest = len(host), max(depths, default=0)
+    for n in range(1, min(depth - 1, deepest) + 1):
+        at = host.rfind(".", 0, at)
+        if n in depths:
+            ends[n] = at + 1
+    return ((host[begin:], n) for n, begin in ends.items())
 
 
 class DigestArray:
-    """Sorted digests of unique strings, their places and the strings, as one block of bytes."""
+    """Sorted digests of unique strings, what each says, their places and the strings, as one block of bytes."""
 
     def __init__(self, blob: np.ndarray):
         n = int(blob[:8].view("<u8")[0])
         self.digests = blob[8 : 8 + 8 * n].view("<u8")
         self._ends = blob[8 + 8 * n : 8 + 16 * n].view("<u8")
-        self._text = blob[8 + 16 * n :]
+        self.says = blob[8 + 16 * n : 8 + 17 * n]
+        self._text = blob[8 + 17 * n :]
 
     @staticmethod
-    def build(keys: list[str]) -> bytes:
+    def build(keys: dict[str, int], digest: Callable[[bytes], int] = xxhash.xxh64_intdigest) -> bytes:
         """Keys are stored by digest, then string; equal digests lie side by side."""
-        rows = sorted((xxhash.xxh64_intdigest(k.encode()), k.encode()) for k in set(keys))
-        ends = np.cumsum([len(k) for _, k in rows], dtype="<u8") if rows else np.zeros(0, "<u8")
-        return np.uint64(len(rows)).tobytes() + np.array([d for d, _ in rows], dtype="<u8").tobytes() + ends.tobytes() + b"".join(k for _, k in rows)
+        rows = sorted((digest(k.encode()), k.encode(), says) for k, says in keys.items())
+        ends = np.cumsum([len(k) for _, k, _ in rows], dtype="<u8") if rows else np.zeros(0, "<u8")
+        heads = np.array([d for d, _, _ in rows], dtype="<u8").tobytes() + ends.tobytes() + bytes(says for _, _, says in rows)
+        return np.uint64(len(rows)).tobytes() + heads + b"".join(k for _, k, _ in rows)
 
     def key(self, i: int) -> bytes:
         low = int(self._ends[i - 1]) if i else 0
         return self._text[low : int(self._ends[i])].tobytes()
 
-    def find(self, keys: list[bytes]) -> np.ndarray:
+    def find(self, keys: list[bytes], digest: Callable[[bytes], int] = xxhash.xxh64_intdigest) -> np.ndarray:
         """The place of each key, or -1; a digest that fits is confirmed by the full string."""
-        digests = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
-        at = np.searchsorted(self.digests, digests)
         found = np.full(len(keys), -1, dtype=np.int64)
-        for i in np.flatnonzero((at < len(self.digests)) & (self.digests[np.minimum(at, max(0, len(self.digests) - 1))] == digests) if len(self.digests) else []):
+        if not len(self.digests):
+            return found
+        digests = np.fromiter(map(digest, keys), np.uint64, len(keys))
+        at = np.searchsorted(self.digests, digests)
+        for i in np.flatnonzero(self.digests[np.minimum(at, len(self.digests) - 1)] == digests):
             j = int(at[i])
             while j < len(self.digests) and self.digests[j] == digests[i]:
                 if self.key(j) == keys[i]:
@@ -95,7 +107,10 @@ class DigestArray:
 
     @classmethod
     def mapped(cls, blob: bytes) -> DigestArray:
-        """The array as a memory map of a file in the task's own temp folder, shared by the tasks of one machine."""
+        """The array as a memory map of a file in the task's own temp folder, shared by the tasks of one machine.
+
+        The file is made from the broadcast bytes wherever it is missing, so a lost machine loses nothing.
+        """
         path = os.path.join(tempfile.gettempdir(), f"digests-{xxhash.xxh64_hexdigest(blob)}-{len(blob)}")
         if not os.path.exists(path) or os.path.getsize(path) != len(blob):
             fd, own = tempfile.mkstemp(dir=tempfile.gettempdir())
@@ -105,62 +120,47 @@ class DigestArray:
         return cls(np.memmap(path, dtype=np.uint8, mode="r"))
 
 
-def _judge(batches: Iterator[pa.RecordBatch], blob: bytes, verdicts: dict[str, tuple[str, bool]], lengths: list[int]) -> Iterator[pa.RecordBatch]:
-    array = DigestArray.mapped(blob)
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper 32 bits of each key's digest."""
+    for batch in batches:
+        high = [xxhash.xxh64_intdigest(k.encode()) >> 32 for k in batch.column("key").to_pylist()]
+        yield pa.record_batch([*batch.columns, pa.array(high, pa.int64())], names=[*batch.schema.names, "high"])
+
+
+def _judge(batches: Iterator[pa.RecordBatch], blobs: list, depths: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
+    arrays = [DigestArray.mapped(b.value) for b in blobs]
     for batch in batches:
         hosts, paths, keys, owner = [], [], [], []
         for i, url in enumerate(batch.column("url").to_pylist()):
             host, path = split_url(url)
             hosts.append(host)
             paths.append(path)
-            if host:
-                for suffix in suffixes(host):
-                    for n in lengths:
-                        if n <= len(path):
-                            keys.append((suffix + "\0" + path[:n]).encode())
-                            owner.append(i)
+            for suffix, depth in suffixes(host, depths) if host else ():
+                for n in depths[depth]:
+                    if n <= len(path):
+                        keys.append((suffix + "\0" + path[:n]).encode())
+                        owner.append(i)
         rule: list[str | None] = [None] * len(hosts)
         verdict = ["allow"] * len(hosts)
         best: list[tuple[bool, int, int]] = [(False, -1, -1)] * len(hosts)
-        places = array.find(keys)
-        for k in np.flatnonzero(places >= 0):
-            i, key = owner[k], keys[k].decode()
-            says, listed = verdicts[key]
-            host, _, path = key.partition("\0")
-            # A listed rule goes before a blocked host, then the longest rule, then the longest host.
-            rank = (listed, len(host) + len(path), len(host))
-            if rank > best[i]:
-                best[i], verdict[i], rule[i] = rank, says, host + path if listed else None
+        for array in arrays:
+            places = array.find(keys)
+            for k in np.flatnonzero(places >= 0):
+                i, says = owner[k], int(array.says[places[k]])
+                host, _, path = keys[k].decode().partition("\0")
+                listed = bool(says & LISTED)
+                # A listed rule goes before a blocked host, then the longest rule, then the longest host.
+                rank = (listed, len(host) + len(path), len(host))
+                if rank > best[i]:
+                    best[i], verdict[i], rule[i] = rank, "block" if says & BLOCK else "allow", host + path if listed else None
         yield pa.record_batch(
             [batch.column("page_id").cast(pa.int64()), *(pa.array(c, pa.string()) for c in (hosts, paths, rule, verdict))],
             names=["page_id", "host", "path", "rule", "verdict"],
         )
 
 
-def _by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same verdicts by an equi-join on the digest, for rule lists that are too large to send around."""
-    row = pages.select("page_id", "url", F.monotonically_increasing_id().alias("row"))
-    rest = F.regexp_extract("url", r"(?s)^.*?://([^?#]*)", 1)
-    host = F.translate(F.split_part(rest, F.lit("/"), F.lit(1)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    row = row.select("row", "page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.regexp_extract(rest, r"(?s)^[^/]*(/.*)$", 1), F.lit("")).alias("path"))
-    parts = F.split("host", r"\.")
-    # Only prefixes up to the longest rule path can be a rule's.
-    longest = rules.agg(F.max(F.length("path"))).first()[0] or 0
-    probe = (
-        row.where("host <> ''")
-        .select("row", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("suffix"))
-        .select("row", F.col("suffix").alias("host"), F.explode(F.transform(F.sequence(F.lit(0), F.least(F.length("path"), F.lit(longest))), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("path"))
-    )
-    key = F.xxhash64("host", "path").alias("digest")
-    hit = probe.select("*", key).join(rules.select("*", key), ["digest", "host", "path"])
-    order = Window.partitionBy("row").orderBy(F.desc("listed"), F.desc(F.length("host") + F.length("path")), F.desc(F.length("host")))
-    best = hit.withColumn("place", F.row_number().over(order)).where("place = 1")
-    best = best.select("row", F.when(F.col("listed"), F.concat("host", "path")).alias("rule"), "verdict")
-    return row.join(best, "row", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
-
-
 def filter_urls(
-    pages: DataFrame, rules: DataFrame | None = None, blocked: tuple[str, ...] = BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url", array_bytes: int = ARRAY_BYTES
+    pages: DataFrame, rules: DataFrame | None = None, blocked: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", array_bytes: int = ARRAY_BYTES
 ) -> DataFrame:
     """Host, path, deciding rule and verdict of every row's URL.
 
@@ -168,22 +168,32 @@ def filter_urls(
     rule decides, between equally long ones that with the longer host. Without a rule the verdict is
     block for a blocked host or a subdomain of one, else allow. A null URL or one without ``://``
     has empty host and path and is allowed. Repeated rows and null ids are kept; other columns are
-    not read. ``rules`` has host, path and verdict (the same host and path twice: block decides).
+    not read. ``rules`` has host, path and verdict, block or allow (the same host and path twice:
+    block decides), and ``blocked`` has host; rows with a null say nothing. Lists of any length are
+    cut by digest into arrays of about ``array_bytes``, which are made one after the other and are
+    mapped, not loaded, where the tasks run.
     """
     spark = pages.sparkSession
     if rules is None:
         rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    listed = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"), F.lit(True).alias("listed"))
-    hosts = spark.createDataFrame([(h, "", "block", False) for h in blocked], RULE_SCHEMA)
-    table = listed.unionByName(hosts).where("host is not null and path is not null")
+    if blocked is None:
+        blocked = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "host string")
+    says = F.when(F.col("verdict") == "block", BLOCK).otherwise(0) + F.lit(LISTED)
+    listed = rules.where("host is not null and path is not null and verdict is not null").select("host", "path", says.alias("says"))
+    hosts = blocked.where("host is not null").select("host", F.lit("").alias("path"), F.lit(BLOCK).alias("says"))
+    table = listed.unionByName(hosts).groupBy("host", "path").agg(F.max("says").alias("says"))
+    table = table.select(F.concat("host", F.lit("\0"), "path").alias("key"), (F.length("host") - F.length(F.replace("host", F.lit("."))) + 1).alias("depth"), F.length("path").alias("n"), "says")
+    table = materialize(table.mapInArrow(_digests, "key string, depth int, n int, says int, high long"), "rules")
+    depths: dict[int, list[int]] = {}
+    for r in table.select("depth", "n").distinct().orderBy("depth", "n").collect():  # as many as rules have shapes
+        depths.setdefault(r.depth, []).append(r.n)
+    size = table.agg(F.coalesce(F.sum(F.octet_length("key") + 17), F.lit(0))).first()[0]
+    shards, blobs = max(1, -(-size // max(1, array_bytes))), []
+    for k in range(shards):
+        part = table.where(F.floor(F.col("high") * shards / (1 << 32)) == k).select("key", "says").collect()
+        blobs.append(spark.sparkContext.broadcast(DigestArray.build({r.key: r.says for r in part})))
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
-    size = table.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()[0]
-    if size > array_bytes:
-        return _by_join(pages, table)
-    rows = sorted(table.collect(), key=lambda r: r.listed)  # bounded by array_bytes
-    verdicts = {f"{r.host}\0{r.path}": (r.verdict, r.listed) for r in rows}
-    blob, lengths = DigestArray.build(list(verdicts)), sorted({len(r.path) for r in rows})
-    return pages.mapInArrow(lambda batches: _judge(batches, blob, verdicts, lengths), RESULT)
+    return pages.mapInArrow(lambda batches: _judge(batches, blobs, depths), RESULT)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
