@@ -1,6 +1,7 @@
 """Quality classifier by held-out accuracy, exact top-k by brute force."""
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,40 @@ def test_ordered_thresholds_and_probabilities():
     assert scores[0] < scores[1] < scores[2]
 
 
+def test_scores_against_a_plain_sum(spark):
+    """Expected grade and tails from the weights of each word, its shape and its repeat, one word at a time."""
+    from corpusloom.llm._bytes import WindowHash
+
+    texts = ["Ab ab  AB\n7x", None, "", " \t", "ab", "the THE the cat--sat 12,345 é" * 50, "x" * 300_000 + " y", "w " * 100_000]
+    rng = np.random.default_rng(4)
+    model = quality.OrdinalModel(rng.normal(size=quality.BUCKETS).astype(np.float32), np.array([-0.3, 0.4]))
+
+    def bucket(data, seed):
+        raw = np.frombuffer(data, np.uint8)
+        return int(WindowHash(raw, seed=seed)(np.array([0]), np.array([len(raw)]))[0] % np.uint64(quality.BUCKETS - 2)) + 2
+
+    known = {}
+
+    def plain(text):
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode()) if w]
+        total, before = 0.0, None
+        for w in words:
+            if w not in known:
+                shape = re.sub(rb"(A+|a+|0+|(.)\2*)", lambda m: m.group()[:1], bytes(quality.SHAPE[b] for b in w), flags=re.S)
+                known[w] = float(model.weights[bucket(w.lower(), 1)]) + float(model.weights[bucket(shape, 2)])
+            total += known[w] + float(model.weights[int(w.lower() == before)])
+            before = w.lower()
+        score = total / max(1, len(words))
+        return [1 / (1 + math.exp(-(score - t))) for t in model.thresholds]
+
+    docs = spark.createDataFrame([(i, t, "kept as it is") for i, t in enumerate(texts)], "doc_id long, body string, text string")
+    for r in quality.score_quality(docs, model, text_col="body").collect():
+        tails = plain(texts[r.doc_id])
+        assert r.text == "kept as it is" and r.body == texts[r.doc_id]
+        assert abs(r.expected_grade - sum(tails)) < 1e-4 and abs(r.tail_probability - tails[0]) < 1e-4 and abs(r.clean_probability - tails[1]) < 1e-4
+        assert r.kept == (r.tail_probability >= 0.5) and r.clean == (r.clean_probability >= 0.5)
+
+
 def test_held_out_accuracy(spark):
     """On the largest of the three scales: a third of the smaller one's ratings holds two dozen bad documents only."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")

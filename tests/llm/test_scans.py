@@ -1,7 +1,9 @@
 """License, secret and URL scans against plain Python."""
 
 import hashlib
+import random
 import re
+import time
 
 from corpusloom.llm import licenses, secrets, url_filter
 
@@ -69,6 +71,52 @@ def test_license_rules_resolve(spark):
     ]
 
 
+BODIES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "apache-2": 'Licensed under the Apache License, Version 2.0 (the "License")',
+    "gpl-3": "under the terms of it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of",
+    "gpl-2": "redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2",
+    "lgpl-2.1": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of",
+    "agpl-3": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc0": "SPDX-License-Identifier: CC0-1.0",
+    "epl-2": "spdx-license-identifier: EPL-2.0",
+}
+
+
+def test_license_texts_give_their_labels(spark):
+    rows = list(enumerate([f"// é {text}" for text in BODIES.values()]))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, DOC)).collect()}
+    for i, label in enumerate(BODIES):
+        assert label in got[i].labels.split(","), (label, got[i].labels)
+        spans = [(d.start, d.end) for d in got[i].detections if d.label == label]
+        assert spans and all(5 <= a < b <= len(rows[i][1]) for a, b in spans)
+
+
+def brute_labels(text):
+    """A plain loop over all rules without the keyword gate, over the text as words; suppression by its definition."""
+    raw = re.sub("[A-Z]", lambda m: m.group().lower(), text or "").encode()
+    found = {(m.start(), m.end(), r.priority, r.weight, r.label) for r in licenses.build_rules() for m in r.pattern.finditer(raw)}
+    kept = []
+    for x in sorted(found, key=lambda x: (-x[2], x[0] - x[1], x)):
+        if not any(y[0] <= x[0] and x[1] <= y[1] for y in kept):
+            kept.append(x)
+    base = set(filter(None, brute_license(text)[4].split(",")))
+    return ",".join(sorted(base | {x[4] for x in kept})), max([0.0, *(x[3] for x in kept), *([0.9] if base else [])])
+
+
+def test_license_labels_against_a_plain_loop(spark, sf_dir):
+    rows = documents(spark, sf_dir)[:-len(ODD_TEXTS)] + [(i, " ".join(x)) for i, x in enumerate(zip(BODIES.values(), list(BODIES.values())[::-1], strict=True))]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    for r in licenses.scan_licenses(frame(spark, rows)).collect():
+        assert (r.labels, r.score) == brute_labels(rows[r.doc_id][1])
+
+
 def brute_secret(text):
     text = text or ""
     kinds = (
@@ -103,6 +151,49 @@ def test_secret_links(spark):
     assert {r.doc_id: r.text for r in redacted} == {10: "[SECRET] [SECRET] at [SECRET]/x", 1: None, 2: "plain"}
 
 
+def brute_parts(text):
+    """All kinds by plain searches, and links by looking at every pair."""
+    text = text or ""
+    say = lambda pattern: re.sub(r"\(\?i:([^)]*)\)", r"(?i:\1)", pattern)
+    hits = lambda p, g=0: [(m.start(), m.end(), len(m.group(g))) for m in re.finditer(say(p), text, re.A)]
+    assign = hits(secrets.ASSIGN, 1)
+    parts = [(s, 0, e, "assign", "key", False) for s, e, n in assign if n >= 12]
+    parts += [(s, 1, e, "access", "id", False) for s, e, _ in hits(secrets.ACCESS)] + [(s, 2, e, "hex", "key", False) for s, e, _ in hits(secrets.HEX)]
+    parts += [(s, 3, e, "short", "key", True) for s, e, n in assign if 8 <= n < 12]
+    parts += [(s, 4, e, "bare", "key", True) for s, e, _ in hits(secrets.BARE) if not any(a <= s and e <= b for a, b, _ in assign)]
+    parts += [(s, 5, e, "account", "id", True) for s, e, _ in hits(secrets.ACCOUNT, 1)] + [(s, 6, e, "endpoint", "place", True) for s, e, _ in hits(secrets.ENDPOINT)]
+    parts.sort()
+
+    def near(i, role):
+        before = [p[2] for p in parts[:i] if p[4] == role]
+        after = [p[0] for p in parts[i + 1 :] if p[4] == role]
+        return (bool(before) and parts[i][0] - max(before) <= secrets.SCOPE) or (bool(after) and min(after) - parts[i][2] <= secrets.SCOPE)
+
+    asks = {"key": ("id",), "id": ("key",), "place": ("id", "key")}
+    return [(p[3], p[0], p[2]) for i, p in enumerate(parts) if not p[5] or all(near(i, role) for role in asks[p[4]])]
+
+
+def test_secret_spans_against_all_pairs(spark, sf_dir):
+    bits = ["user: alice1 ", "password: hunter2hu ", "https://db.example.net:5432 ", "AKIAABCDEFGHIJKLMN ", "deadbeefdeadbeef ", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY ", "é", "word " * 40, "word " * 65, "token=abcdefghijklmnop "]
+    r = random.Random(11)
+    rows = documents(spark, sf_dir) + [(50_000 + i, "".join(r.choice(bits) for _ in range(r.randint(0, 14)))) for i in range(300)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    for got in secrets.scan_secrets(frame(spark, rows)).select("doc_id", "secret_parts").collect():
+        assert [(p.kind, p.start, p.end) for p in got.secret_parts] == brute_parts(rows[got.doc_id][1]), rows[got.doc_id]
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    """20,000 findings of one text take seconds; columns named like the scan's own stay."""
+    text = "é user: alice1 password: hunter2hu deadbeefdeadbeef0 " * 8000
+    docs = spark.createDataFrame([(1, text, "a", 2)], "doc_id long, text string, assign string, row int")
+    started = time.monotonic()
+    row = secrets.scan_secrets(docs).first()
+    assert len(row.secret_parts) == 24_000 and (row["assign"], row["row"]) == ("a", 2)
+    marked = secrets.redact_secrets(docs).first()
+    assert marked.text == "é [SECRET] [SECRET] [SECRET] " * 8000 and marked["row"] == 2
+    assert time.monotonic() - started < 60
+
+
 def test_secret_query_digest(spark, sf_dir):
     want = {r.doc_id: brute_secret(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = secrets.op7_secrets(spark, sf_dir).collect()
@@ -123,7 +214,7 @@ def brute_url(url):
     return host, path, max(fits)[2:] if fits else None
 
 
-ODD_URLS = [None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/1", "http://com/en/", "http://xexample.com/en/", "http://a.net/es", "http://a.net/es/?q#x", "http://a.net?x/es/", "http://É.com/x\ny", "http://x.spam-farm.example.org/q", "a://b.net/fr/://c.com/", "http://.net/fr/"]
+ODD_URLS = [None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/1", "http://com/en/", "http://xexample.com/en/", "http://a.net/es", "http://a.net/es/?q#x", "http://a.net?x/es/", "http://É.com/x\ny", "http://x.adult-x.example.net/q", "http://" + "a." * 4000 + "net/es/", "x://adult-x.example.net.net/fr/", "x://spam-farm.example.com", "a://b.net/fr/://c.com/", "http://.net/fr/"]
 
 
 def test_url_rules(spark, sf_dir):
@@ -134,18 +225,35 @@ def test_url_rules(spark, sf_dir):
     assert sorted(str((r.page_id, r.host, r.path, r.rule)) for r in got) == want
     by_url = {r.page_id: r.verdict for r in got}
     assert by_url[9_012] == "block" and by_url[9_005] == "allow" and by_url[9_009] == "block"
-    joined = url_filter.filter_urls(pages, array_bytes=0).collect()
-    assert sorted(map(str, joined)) == sorted(map(str, got))
+    parts = url_filter.filter_urls(pages, array_bytes=100).collect()
+    assert sorted(map(str, parts)) == sorted(map(str, got))
+
+
+def test_url_lists_of_the_caller(spark):
+    rules = [("a.b", "/x/", "block"), ("a.b", "/x/", "allow"), ("b", "/x/y", "allow"), (None, "/", "block"), ("c", None, "block"), ("c", "", "block"), ("d", "/", None)]
+    blocked = [(f"h{i}.test",) for i in range(500)] + [(None,), ("b",)]
+    urls = ["t://a.b/x/y", "t://q.a.b/x/", "t://b/x/y/z", "t://c", "t://d/", "t://z.h499.test/q", "t://h500.test", "t://b/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for size in (1 << 20, 2000):
+        got = url_filter.filter_urls(pages, rules, spark.createDataFrame(blocked, "host string"), array_bytes=size).collect()
+        assert {r.page_id: (r.rule, r.verdict) for r in got} == {
+            0: ("a.b/x/", "block"), 1: ("a.b/x/", "block"), 2: ("b/x/y", "allow"), 3: ("c", "block"), 4: (None, "allow"), 5: (None, "block"), 6: (None, "allow"), 7: (None, "block"),
+        }
 
 
-def test_digest_array_confirms_strings(spark):
+def test_digest_array_confirms_strings():
     keys = [f"k{i}" for i in range(1000)]
-    array = url_filter.DigestArray.mapped(url_filter.DigestArray.build(keys))
-    assert [array.key(i).decode() for i in array.find([k.encode() for k in keys])] == keys
+    array = url_filter.DigestArray.mapped(url_filter.DigestArray.build({k: i % 4 for i, k in enumerate(keys)}))
+    found = array.find([k.encode() for k in keys])
+    assert [array.key(i).decode() for i in found] == keys and array.says[found].tolist() == [i % 4 for i in range(1000)]
     assert (array.find([b"nope", b"k1000"]) == -1).all()
-    array.digests = array.digests.copy()
-    array.digests[:] = array.digests[0]  # every digest collides
-    assert url_filter.DigestArray.mapped(url_filter.DigestArray.build([])).find([b"x"]).tolist() == [-1]
+    same = lambda k: len(k)  # noqa: E731  keys of one length collide
+    array = url_filter.DigestArray.mapped(url_filter.DigestArray.build({k: 1 for k in keys}, same))
+    assert len(set(array.digests.tolist())) == 3
+    assert [array.key(i).decode() for i in array.find([k.encode() for k in keys], same)] == keys
+    assert (array.find([b"zz", b"kkk", b"k0000"], same) == -1).all()
+    assert url_filter.DigestArray.mapped(url_filter.DigestArray.build({})).find([b"x"]).tolist() == [-1]
 
 
 def test_empty_tables(spark):

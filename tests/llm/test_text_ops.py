@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -30,9 +31,7 @@ def documents(spark, sf_dir):
 def plain_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_vocabulary())
 
 
 def test_chunks_encode_like_whole_texts():
@@ -41,6 +40,10 @@ def test_chunks_encode_like_whole_texts():
     ids, bounds = encode(pa.array(texts))
     for i, t in enumerate(texts):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    special = plain.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    ids, bounds = encode(pa.array(["a <|endoftext|", "> b", "a <|endoftext|> b", "<|endoftext|>"]))
+    assert ids[bounds[2] : bounds[3]].tolist() == special and bounds[4] - bounds[3] == 1
+    assert ids[: bounds[1]].tolist() == plain.encode("a <|endoftext|", add_special_tokens=False).ids
 
 
 def check_pieces(pieces, rows, window):
@@ -112,8 +115,8 @@ def test_tree_codec_matches_the_library():
     plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(4)
     texts = odd_texts(1500, seed=6, longest=120) + ["".join(r.choice("abcdethingsou") for _ in range(r.randint(0, 300))) for _ in range(500)]
-    for leaf in (2, 5, 40):
-        codec = bpe_tree.TreeCodec(ranks, public_tokenizers.PATTERN, leaf, 4)
+    for leaf in (2, 5, 40, bpe_tree.LEAF_CHARS):
+        codec = bpe_tree.TreeCodec(ranks, public_tokenizers.PATTERN, leaf, 4 if leaf < 48 else bpe_tree.LEAF_BYTES)
         for t in texts:
             ids = codec.encode(t)
             assert ids == plain.encode_ordinary(t)
@@ -143,6 +146,10 @@ def test_exact_dedup(spark, documents):
     got = exact_dedup.exact_dedup(docs).collect()
     assert sorted(str((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in got) == want
     assert sum(r.kept for r in got) == len(groups) and all(r.doc_id == r.keep_id for r in got if r.kept)
+    kept = exact_dedup.exact_dedup(docs, carry=("doc_id", "hash", "text")).collect()
+    assert all(r.kept and r.doc_id == r.keep_id == r.carried.doc_id and r.carried.hash == "x" for r in kept)
+    text_of = lambda best: {t or "" for d, t in rows if d == best[3] and -len(t or "") == best[0]}
+    assert len(kept) == len(groups) and all((r.carried.text or "") in text_of(min(groups[norm(r.carried.text)])) for r in kept)
     twice = exact_dedup.exact_dedup(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b")], DOC)).collect()
     assert sorted(r.kept for r in twice) == [False, False, True, True]
     assert exact_dedup.exact_dedup(spark.createDataFrame([], DOC)).count() == 0
@@ -231,7 +238,42 @@ def test_extraction_drops_nothing_else(name):
 
 
 def test_line_blocks_surge_and_dive():
-    line = lambda n, linked=0, inside=False: html_text.Line("x" * n, linked, inside)
+    line = lambda n, linked=0: html_text.Line("x" * n, linked)
     lines = [line(10, 10), line(8, 8), line(200), line(3), line(90), line(12, 12), line(9, 9), line(7, 7), line(100), line(5)]
     assert [len(x.text) for x in html_text.main_lines(lines)] == [200, 3, 90, 100, 5]
-    assert html_text.main_lines([line(5), line(300, inside=True), line(1, inside=True)]) == [line(300, inside=True), line(1, inside=True)]
+    assert [len(x.text) for x in html_text.main_lines([line(4, 4), line(5), line(300), line(1)])] == [5, 300, 1]
+    assert html_text.main_lines([line(20), line(20), line(20)]) == []
+
+
+def brute_blocks(size):
+    """By definition: cut at windows without text; of a surge all that follows up to the cut, and the text lines that lead up to it."""
+    w, n, kept = html_text.WINDOW_LINES, len(size), set()
+    for i in range(n):
+        if size[i] and sum(size[i : i + w]) >= html_text.SURGE:
+            stop = next((k for k in range(i, n) if not any(size[k : k + w])), n)
+            kept |= set(range(i, stop))
+            k = i
+            while k and size[k - 1] and k - 1 not in kept:
+                k -= 1
+                kept.add(k)
+    return sorted(kept)
+
+
+def test_line_blocks_against_the_definition():
+    r = random.Random(8)
+    for _ in range(3000):
+        size = [r.choice((0, 0, r.randint(1, 30), r.randint(20, 120))) for _ in range(r.randint(0, 25))]
+        lines = [html_text.Line(f"{i}:".ljust(10, "x") + "y" * s, 10) for i, s in enumerate(size)]
+        assert [int(x.text.split(":")[0]) for x in html_text.main_lines(lines)] == brute_blocks(size)
+
+
+@pytest.mark.parametrize("part", ['<b c="', "<b c='x\" ", "<!-- ", "<a <b =", "<div class=ad><article>", "&amp; x <script>", "<p>x</p><a href=x>", "</div>"])
+def test_extraction_of_odd_markup_takes_linear_time(part):
+    started = time.monotonic()
+    html_text.extract("<p>hello</p>" + part * (1_000_000 // len(part)))
+    assert time.monotonic() - started < 20
+
+
+def test_a_tag_with_an_open_quote_ends_with_the_page():
+    assert html_text.extract('<p>kept</p><b title="no end>lost') == "kept"
+    assert html_text.extract('<p>one <b title="a>b">two</b></p><i "x>three</i>') == "one two\n\nthree"
