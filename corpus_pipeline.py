@@ -6,7 +6,7 @@ reads it. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, jaccard_join, packing, quality, secrets
@@ -24,14 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row that stays of each group of equal texts."""
-    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", "text_sha256")
-    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    marked = docs.select(*COLUMNS, digest.alias("digest"))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), "text_sha256")
-    stay = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("text_sha256")), "left_semi")
-    # Where rows share id and text, the longest of them is the one that stays.
-    order = Window.partitionBy("doc_id", "digest").orderBy(F.desc(F.length("text")), "text", "source", "lang")
-    return stay.withColumn("place", F.row_number().over(order)).where("place = 1").select(*COLUMNS)
+    return exact_dedup.exact_dedup(docs, carry=COLUMNS).select("carried.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
