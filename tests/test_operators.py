@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as fx
 from corpusloom.operators import packing as ops
+from corpusloom.operators import prefix, shards, similarity
 from corpusloom.operators.graph import resolve_in_order
+from corpusloom.plans.admission import HARD_FIELDS, blockers
 from corpusloom.plans.ledger import chained, first_breaks, select_in_rank_order
 from corpusloom.plans.learning import quadrant
 from corpusloom.plans.mixture import water_fill
@@ -33,7 +36,7 @@ def test_longest_repeat_matches_a_direct_scan():
     r = random.Random(1)
     for _ in range(3000):
         tokens = [r.choice("abc"[: r.randint(1, 3)]) for _ in range(r.randint(0, 40))]
-        assert longest_repeat(tokens) == direct_repeat(tokens), tokens
+        assert longest_repeat(np.array([ord(t) for t in tokens])) == direct_repeat(tokens), tokens
 
 
 def test_resolution_in_order(spark, tmp_path):
@@ -75,7 +78,7 @@ def direct_bins(lengths, ctx, policy):
 @pytest.mark.parametrize("policy", ["greedy", "best_fit", "whole"])
 def test_bins(spark, policy):
     r = random.Random(3)
-    units = [("s", i, i, r.randint(1, 150)) for i in range(80)]
+    units = [("s", i, i, r.randint(1, 150)) for i in range(2000)]
     pieces = ops.binned(spark.createDataFrame(units, "shard string, id long, seq long, length long"), 64, policy).collect()
     windows = {}
     for p in pieces:
@@ -90,6 +93,81 @@ def test_bins(spark, policy):
     assert sorted(sum(n for _, n in w) for w in windows.values()) == sorted(want)
 
 
+def test_shards_match_a_direct_fold(spark):
+    """Whatever the chunk, and with documents longer than the budget."""
+    r = random.Random(5)
+    docs = [(lane, i * 3 + k, r.choice((1, r.randint(1, 40), r.randint(1, 200), 150))) for k, lane in enumerate("ab") for i in range(400)]
+    want = []
+    for lane in "ab":
+        shard, fill = 0, 0
+        for _, ident, n in sorted(d for d in docs if d[0] == lane):
+            if fill and fill + n > 100:
+                shard, fill = shard + 1, 0
+            want.append((lane, shard, ident, fill, fill + n))
+            fill += n
+    for chunk in (7, 64, 5000):
+        got = shards.build(spark.createDataFrame(docs, "lane string, id long, length long"), 100, chunk).collect()
+        assert sorted((x.lane, x.shard_no, x.id, x.start, x.stop) for x in got) == sorted(want)
+
+
+def test_running_sums_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "CHUNK", 8)
+    r = random.Random(6)
+    rows = [(r.choice("ab"), i, r.randint(-5, 5)) for i in r.sample(range(1000), 300)]
+    got = prefix.running_sums(spark.createDataFrame(rows, "k string, at long, v long"), "k", ["at"], {"total": F.col("v"), "place": F.lit(1)}).collect()
+    for x in got:
+        before = [v for k, at, v in rows if k == x.k and at <= x.at]
+        assert (x.total, x.place) == (sum(before), len(before))
+    assert prefix.row_numbers(spark.createDataFrame([], "k string, at long"), "k", ["at"], "place").count() == 0
+
+
+def test_similar_pairs_without_a_miss(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(250):
+        base = r.sample(range(1 << 40), 30) if i % 5 == 0 else base
+        own = sorted({x if r.random() < 0.85 else r.randrange(1 << 40) for x in base} | set(range(r.choice((0, 3)))))
+        rows.append((i, len(own), own))
+    rows += [(1000, 0, []), (1001, 0, [])]
+    sets = spark.createDataFrame(rows, "id long, n_grams long, grams array<bigint>")
+    for least in (0.55, 0.8):
+        want = {}
+        for a, _, x in rows:
+            for b, _, y in rows:
+                both = len(set(x) & set(y))
+                if a < b and both and both / (len(x) + len(y) - both) >= least:
+                    want[a, b] = both / (len(x) + len(y) - both)
+        assert {(p.a, p.b): pytest.approx(p.jaccard) for p in similarity.self_pairs(sets, least).collect()} == want
+    want = {k for k in want}
+    banded = {(p.a, p.b) for p in similarity.banded_pairs(sets).collect()}
+    assert len(want & banded) >= 0.99 * len(want)
+
+
+def test_a_missing_hard_field_blocks(spark):
+    good = dict.fromkeys(HARD_FIELDS, "known") | {"shard": "s"}
+    fields = ", ".join(f"{k} string" for k in good)
+    assert spark.createDataFrame([tuple(good.values())], fields).select(blockers(spark.createDataFrame([tuple(good.values())], fields)).alias("b")).first().b == []
+    for gone in HARD_FIELDS:
+        rest = {k: v for k, v in good.items() if k != gone}
+        frame = spark.createDataFrame([tuple(rest.values())], ", ".join(f"{k} string" for k in rest))
+        assert frame.select(blockers(frame).alias("b")).first().b == [f"missing_or_unsafe:{gone}"]
+        unknown = spark.createDataFrame([tuple((good | {gone: "unknown"}).values())], fields)
+        assert unknown.select(blockers(unknown).alias("b")).first().b == [f"missing_or_unsafe:{gone}"]
+
+
+def test_null_texts_are_decided(spark, tmp_path):
+    from corpusloom.plans import registry
+
+    docs = [(1, None), (2, ""), (3, "some words of a text"), (4, None)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    q = registry.queries()
+    admitted = {r.doc_id: r.reasons for r in q["document_admission"](spark, str(tmp_path)).collect()}
+    assert admitted == {1: "too_short", 2: "duplicate,too_short", 3: "too_short", 4: "duplicate,too_short"}
+    assert {r.doc_id: r.status for r in q["exact_duplicate_status"](spark, str(tmp_path)).collect()} == {1: "unique", 2: "exact_duplicate", 3: "unique", 4: "exact_duplicate"}
+    assert {r.doc_id: r.status for r in q["dedup_status"](spark, str(tmp_path)).collect()} == {1: "unique", 2: "exact_duplicate", 3: "unique", 4: "exact_duplicate"}
+
+
 def test_concat_chop_covers_every_token(spark):
     units = [("a", 1, 1, 70), ("a", 2, 2, 10), ("b", 3, 3, 5), ("a", 4, 4, 0)]
     pieces = ops.concat_chop(spark.createDataFrame(units, "shard string, id long, seq long, length long"), 32).collect()
