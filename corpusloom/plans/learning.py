@@ -73,10 +73,10 @@ def trajectory_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {OBS_SQL}, d AS (SELECT *, lag(loss) OVER (PARTITION BY user_id, lane ORDER BY step) - loss AS delta FROM o), p AS (SELECT user_id, lane, phase, avg(delta) AS delta, avg(CASE WHEN exp(least(loss, 30)) >= 50 THEN 100.0 ELSE 0 END) AS hot FROM d GROUP BY 1, 2, 3),
 c AS (SELECT user_id, lane, arg_max(phase, (delta, phase)) AS best_phase, sum(delta) AS total, max(delta) AS most, min(delta) AS least, avg(hot) AS hot FROM p WHERE delta IS NOT NULL GROUP BY 1, 2)
-SELECT user_id, lane, best_phase, round(total, 4) AS total_delta, CASE WHEN most > 0.002 AND least < -0.002 THEN 'phase_guard' WHEN total <= 0 THEN 'delay_or_reclean' WHEN hot > 40 THEN 'keep_with_phase_guard' ELSE 'protect_or_upsample' END AS action FROM c"""
+SELECT user_id, lane, best_phase, round(total + 1e-9, 4) AS total_delta, CASE WHEN most > 0.002 AND least < -0.002 THEN 'phase_guard' WHEN total <= 0 THEN 'delay_or_reclean' WHEN hot > 40 THEN 'keep_with_phase_guard' ELSE 'protect_or_upsample' END AS action FROM c"""
 )
 def report_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One card per shard (a user's lane): loss movement by phase and what follows from it."""
+    """One card per shard (a user's lane): loss movement by phase and what follows from it; a little is added so that no sum lies halfway when it is rounded."""
     w = Window.partitionBy("user_id", "lane").orderBy("step")
     d = observations(spark, sf_dir).withColumn("delta", F.lag("loss").over(w) - F.col("loss"))
     p = d.groupBy("user_id", "lane", "phase").agg(F.avg("delta").alias("delta"), F.avg(F.when(perplexity(F.col("loss")) >= HOT, 100.0).otherwise(0.0)).alias("hot")).where("delta is not null")
@@ -89,7 +89,7 @@ def report_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("hot") > 40, "keep_with_phase_guard")
         .otherwise("protect_or_upsample")
     )
-    return c.select("user_id", "lane", F.col("best.phase").alias("best_phase"), F.round("total", 4).alias("total_delta"), action.alias("action"))
+    return c.select("user_id", "lane", F.col("best.phase").alias("best_phase"), F.round(F.col("total") + 1e-9, 4).alias("total_delta"), action.alias("action"))
 
 
 @query(

@@ -104,12 +104,12 @@ def nearest_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT event_type AS lane, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 8) AS batch, value FROM events)
-SELECT lane, batch, batch // 4 AS width, count(*)::BIGINT AS n, round(avg(value), 2) AS mean FROM e GROUP BY 1, 2, 3"""
+SELECT lane, batch, batch // 4 AS width, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM e GROUP BY 1, 2, 3"""
 )
 def isolated_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by arm, where a missing setting is its default before grouping, so that arms are not pooled; the width is derived, not read."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("lane"), F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(8)).alias("batch"), "value")
-    return e.groupBy("lane", "batch", F.floor(F.col("batch") / 4).alias("width")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 2).alias("mean"))
+    return e.groupBy("lane", "batch", F.floor(F.col("batch") / 4).alias("width")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query(
@@ -268,3 +268,125 @@ def shared_between_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     several = d.groupBy("h").agg(F.array_sort(F.collect_set("source")).alias("s")).where("size(s) > 1")  # as many as there are sources
     pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("left_source"), b.alias("right_source")))))
     return several.select(F.inline(pairs)).groupBy("left_source", "right_source").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query(
+    """WITH k AS (SELECT item_id, substr(sha256('canary:' || item_id), 1, 8) AS canary FROM benchmark), t AS (SELECT doc_id, text || CASE WHEN doc_id % 61 = 5 THEN ' canary ' || substr(sha256('canary:' || (SELECT min(item_id) FROM benchmark)), 1, 8) ELSE '' END AS text FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, 'canary ([0-9a-f]{8})', 1)) AS canary FROM t) SELECT w.doc_id, k.item_id, w.canary FROM w JOIN k ON k.canary = w.canary"""
+)
+def canary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a registered canary, by an equi-join on the strings found; every 61st document was given one."""
+    canary = lambda c: F.substring(F.sha2(F.concat(F.lit("canary:"), c.cast("string")), 256), 1, 8)
+    items = table(spark, sf_dir, "benchmark").select("item_id", canary(F.col("item_id")).alias("canary"))
+    planted = items.agg(F.min_by("canary", "item_id").alias("planted"))
+    d = table(spark, sf_dir, "documents").crossJoin(F.broadcast(planted))  # one row
+    text = F.concat("text", F.when(F.col("doc_id") % 61 == 5, F.concat(F.lit(" canary "), "planted")).otherwise(""))
+    found = d.select("doc_id", F.explode(F.regexp_extract_all(text, F.lit("canary ([0-9a-f]{8})"), F.lit(1))).alias("canary"))
+    return found.join(items, "canary").select("doc_id", "item_id", "canary")
+
+
+@query(
+    """WITH t AS (SELECT doc_id, source, length(regexp_replace(text, '[^ ]', '', 'g')) + 1 AS n FROM documents), o AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY doc_id) AS upto, sum(n) OVER (PARTITION BY source) AS total FROM t)
+SELECT source, count(*) FILTER (WHERE upto <= 500)::BIGINT AS whole_in_val, least(500, any_value(total))::BIGINT AS val_tokens, greatest(0, any_value(total) - 500)::BIGINT AS train_tokens FROM o GROUP BY source"""
+)
+def held_out_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's first 500 tokens are held out by position, wherever that cuts a document."""
+    from corpusloom.operators.prefix import running_sums
+
+    n = F.length(F.regexp_replace("text", "[^ ]", "")) + 1
+    t = table(spark, sf_dir, "documents").select("doc_id", "source", n.cast("long").alias("n"))
+    o = running_sums(t, "source", ["doc_id"], {"upto": F.col("n")})
+    total = F.sum("n")
+    return o.groupBy("source").agg(F.count_if(F.col("upto") <= 500).alias("whole_in_val"), F.least(F.lit(500), total).alias("val_tokens"), F.greatest(F.lit(0), total - 500).alias("train_tokens"))
+
+
+@query(
+    """WITH s AS (SELECT event_id // 100 AS step, user_id % 8 AS shard, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS score FROM events)
+SELECT step::BIGINT AS step, shard::BIGINT AS shard, count(*)::BIGINT AS named, count(score)::BIGINT AS scored, round(avg(score) + 1e-9, 4) AS mean_score FROM s GROUP BY 1, 2"""
+)
+def shard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean score of the decisions that a step names for a shard; what was not scored is named but counts in no mean."""
+    s = table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 100).alias("step"), (F.col("user_id") % 8).alias("shard"), F.when(F.col("event_type") != "error", F.col("value")).alias("score")
+    )
+    return s.groupBy("step", "shard").agg(F.count(F.lit(1)).alias("named"), F.count("score").alias("scored"), F.round(F.avg("score") + 1e-9, 4).alias("mean_score"))
+
+
+@query(
+    f"""WITH {WORD_COUNTS_SQL}, e AS (SELECT lang, n, unnest(regexp_extract_all(hex(encode(word)), '..')[1:16]) AS b, unnest(range(0, least(16, octet_length(encode(word)))::BIGINT)) AS pos FROM c)
+SELECT lang, count(DISTINCT b || ':' || pos)::BIGINT AS live_slots, count(DISTINCT b)::BIGINT AS live_bytes, (256 * 16 - count(DISTINCT b || ':' || pos))::BIGINT AS dead_slots, sum(n)::BIGINT AS uses FROM e GROUP BY lang"""
+)
+def live_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of a table of bytes by sixteen positions that the words seen reach, and those that none does."""
+    pairs = F.slice(F.filter(F.split(F.hex(F.encode("word", "UTF-8")), "(?<=\\G..)"), lambda h: h != ""), 1, 16)
+    e = word_counts(spark, sf_dir).select("lang", "n", F.posexplode(pairs).alias("pos", "b"))
+    # A slot is counted once a language before distinct ones are.
+    slots = e.groupBy("lang", "b", "pos").agg(F.sum("n").alias("n"))
+    live = F.count(F.lit(1))
+    return slots.groupBy("lang").agg(live.alias("live_slots"), F.count_distinct("b").alias("live_bytes"), (256 * 16 - live).alias("dead_slots"), F.sum("n").alias("uses"))
+
+
+@query(
+    """SELECT lang, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::BIGINT AS tokens, sum(octet_length(encode(text)))::BIGINT AS bytes, round(sum(octet_length(encode(text))) / sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))), 6) AS bytes_per_token,
+ round(sum(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]'))) / greatest(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))), 1), 6) AS pieces_per_word FROM documents GROUP BY lang"""
+)
+def tokens_per_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, bytes and pieces a word of each language."""
+    from corpusloom.functions import text as fx
+
+    d = table(spark, sf_dir, "documents").select(
+        "lang", F.size(fx.words("text")).alias("w"), F.octet_length("text").alias("b"), F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"), F.lit(0))).alias("p")
+    )
+    tokens = F.sum("w")
+    return d.groupBy("lang").agg(tokens.alias("tokens"), F.sum("b").alias("bytes"), F.round(F.sum("b") / tokens, 6).alias("bytes_per_token"), F.round(F.sum("p") / F.greatest(tokens, F.lit(1)), 6).alias("pieces_per_word"))
+
+
+@query(
+    """WITH l AS (SELECT l_returnflag, l_partkey % 100 AS card, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS lag FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag <> 'N'),
+m AS (SELECT card, l_returnflag, max(lag) AS lag FROM l GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY lag DESC, card) AS place FROM m) SELECT l_returnflag, card::BIGINT AS card, lag::BIGINT AS lag, place::BIGINT AS place FROM r WHERE place <= 10"""
+)
+def longest_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten longest lags of each class, one class left out."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("o"))
+    l_ = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select("l_orderkey", "l_returnflag", (F.col("l_partkey") % 100).alias("card"), F.col("l_shipdate").cast("date").alias("s"))
+    m = l_.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_returnflag", "card").agg(F.max(F.date_diff("s", "o")).cast("long").alias("lag"))
+    place = F.row_number().over(Window.partitionBy("l_returnflag").orderBy(F.desc("lag"), "card")).cast("long")
+    return m.withColumn("place", place).where("place <= 10").select("l_returnflag", "card", "lag", "place")
+
+
+@query(
+    """WITH e AS (SELECT event_id // 16 AS batch, event_id, event_type, round(value * 100)::BIGINT AS cents FROM events), f AS (SELECT batch, '[' || string_agg('{"cents":' || cents || ',"id":' || event_id || ',"type":"' || event_type || '"}', ',' ORDER BY event_id) || ']' AS j FROM e GROUP BY batch)
+SELECT batch::BIGINT AS batch, sha256(j) AS stored_hash, batch % 9 <> 4 AS agrees FROM f"""
+)
+def batch_field_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch's stored hash against one made anew from its own fields; every ninth batch had a field changed since."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 16).alias("batch"), "event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    fields = F.sort_array(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("cents"), F.col("event_type").alias("type"))))
+    shown = lambda a: F.sha2(F.to_json(F.transform(a, lambda x: F.struct(x["cents"].alias("cents"), x["id"].alias("id"), x["type"].alias("type")))), 256)
+    f = e.groupBy("batch").agg(fields.alias("f"))  # sixteen events a batch
+    changed = F.when(F.col("batch") % 9 == 4, F.transform("f", lambda x: x.withField("cents", x["cents"] + 1))).otherwise(F.col("f"))
+    return f.select("batch", shown(F.col("f")).alias("stored_hash"), (shown(F.col("f")) == shown(changed)).alias("agrees"))
+
+
+@query("SELECT user_id, step_no AS step, shard, tokens, loss_hot, loss_full FROM (SELECT user_id, event_id // 100 AS step_no, event_id % 4 AS shard, count(*)::BIGINT AS tokens, ((sum(round(value * 100)::BIGINT) + 50 * count(*)) // (100 * count(*)))::BIGINT AS loss_hot, round(avg(value / 100), 6) AS loss_full FROM events GROUP BY 1, 2, 3)")
+def exposure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each step and shard of a branch; a hot tier keeps the loss as whole hundredths, the full one six decimals."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 100).alias("step"), (F.col("event_id") % 4).alias("shard"))
+    cents, n = F.sum(F.round(F.col("value") * 100).cast("long")), F.count(F.lit(1))
+    return e.agg(n.alias("tokens"), F.floor((cents + 50 * n) / (100 * n)).alias("loss_hot"), F.round(F.avg(F.col("value") / 100), 6).alias("loss_full"))
+
+
+@query(
+    f"""WITH {WORD_COUNTS_SQL}, p AS (SELECT lang, word, regexp_extract_all(hex(encode(word)), '..') AS h FROM c), l AS (SELECT lang, word, list_concat(list_transform(h[1:12], lambda x: CAST('0x' || x AS INTEGER) + 1), list_transform(range(0, greatest(12 - len(h), 0)), lambda i: 0)) AS labels, len(h) <= 12 AS whole FROM p)
+SELECT lang, count(*)::BIGINT AS types, count(*) FILTER (WHERE whole)::BIGINT AS round_trips, sum(len(list_filter(labels, lambda x: x = 0)))::BIGINT AS pads FROM l GROUP BY lang"""
+)
+def label_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as twelve byte labels and back: decoding stops at the first pad, and what was cut does not come back."""
+    pairs = F.filter(F.split(F.hex(F.encode("word", "UTF-8")), "(?<=\\G..)"), lambda h: h != "")
+    labels = F.slice(F.concat(F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int") + 1), F.array_repeat(F.lit(0), 12)), 1, 12)
+    w = word_counts(spark, sf_dir).select("lang", "word", labels.alias("l"))
+    stop = F.array_position("l", F.lit(0))
+    used = F.when(stop > 0, F.slice("l", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("l"))
+    back = F.array_join(F.transform(used, lambda x: F.lpad(F.hex((x - 1).cast("long")), 2, "0")), "")
+    same = back == F.hex(F.encode("word", "UTF-8"))
+    return w.groupBy("lang").agg(F.count(F.lit(1)).alias("types"), F.count_if(same).alias("round_trips"), F.sum(F.size(F.filter("l", lambda x: x == 0))).alias("pads"))
