@@ -1,7 +1,8 @@
 """Byte-level BPE by monoid tree reduction.
 
-A text is encoded by halves. Neighbours are joined by encoding a window around their border anew;
-the window grows until the tokens outside it cannot change:
+A text is encoded by halves. An element of the monoid is a stretch with its stable tokens and two
+open ends. Neighbours are joined by encoding a window around their border; the window grows until
+the tokens outside it cannot change:
 
 * Between matches of the splitting pattern, that is where white space follows a character that is
   none. No match spans such a place and no look-ahead crosses it, so both sides encode alone.
@@ -15,7 +16,11 @@ Decoding concatenates byte strings up the same kind of tree.
 from __future__ import annotations
 
 import base64
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,11 @@ from corpusloom.llm._bytes import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf, and bytes of a leaf inside one match of the pattern.
-LEAF_CHARS, LEAF_BYTES = 48, 32
+LEAF_CHARS, LEAF_BYTES = 64, 32
 #: Ids that are joined at once when decoding; pieces whose ids a task remembers; what is no token.
 LEAF_IDS, REMEMBERED, NO_RANK = 64, 400_000, 1 << 62
+#: Places between matches: white space of these kinds behind a character that is none.
+BORDERS = re.compile(r"(?<=\S)[ \t\n\x0b\x0c\r]")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,45 +58,37 @@ class TreeCodec:
         self._ranks, self._bytes = ranks, {i: t for t, i in ranks.items()}
         self._leaf_chars, self._leaf_bytes = max(2, leaf_chars), max(2, leaf_bytes)
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[bytes, list[int]] = {}
+        self._words: dict[str, list[int]] = {}
 
     # -- bytes within one match of the pattern
 
     def _merge(self, piece: bytes) -> list[int]:
         """Merge the neighbours of the lowest rank, the leftmost of equal ones first, until none make a token."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        rank = self._ranks.get
-        joined = [rank(a + b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
+        rank, edges = self._ranks.get, list(range(len(piece) + 1))
+        joined = [rank(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
         while joined:
             least = min(joined)
             if least == NO_RANK:
                 break
             k = joined.index(least)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-            del joined[k]
+            del edges[k + 1], joined[k]
             if k:
-                joined[k - 1] = rank(parts[k - 1] + parts[k], NO_RANK)
+                joined[k - 1] = rank(piece[edges[k - 1] : edges[k + 1]], NO_RANK)
             if k < len(joined):
-                joined[k] = rank(parts[k] + parts[k + 1], NO_RANK)
-        return [self._ranks[p] for p in parts]
+                joined[k] = rank(piece[edges[k] : edges[k + 2]], NO_RANK)
+        return [self._ranks[piece[a:b]] for a, b in zip(edges, edges[1:], strict=False)]
 
     def _piece_leaf(self, piece: bytes) -> list[int]:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            if len(self._pieces) > REMEMBERED:
-                self._pieces.clear()
-            whole = self._ranks.get(piece)
-            ids = [whole] if whole is not None else self._merge(piece)
-            if len(piece) <= self._leaf_bytes:
-                self._pieces[piece] = ids
-        return ids
+        whole = self._ranks.get(piece)
+        return [whole] if whole is not None else self._merge(piece)
 
     def _is_pair(self, a: int, b: int) -> bool:
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) > 100_000:
+            if len(self._pairs) > REMEMBERED:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self._piece_leaf(self._bytes[a] + self._bytes[b]) == [a, b]
+            both = self._bytes[a] + self._bytes[b]
+            known = self._pairs[a, b] = self._piece_leaf(both) == [a, b]
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -112,43 +111,49 @@ class TreeCodec:
 
     # -- texts
 
-    def _window(self, text: str) -> list[int]:
+    def _window(self, text: str, low: int, high: int) -> list[int]:
         """Match by match; a match longer than a leaf is a tree of its own."""
-        return [t for m in self._matches.finditer(text) for t in self.encode_piece(m.group().encode("utf-8"))]
-
-    @staticmethod
-    def _stable(text: str, at: int) -> bool:
-        return text[at].isspace() and not text[at - 1].isspace() and not "\x1c" <= text[at - 1] <= "\x1f" and text[at] in " \t\n\x0b\x0c\r"
+        known = self._words
+        pieces = self._matches.findall(text, low, high)
+        found = [known.get(p) for p in pieces]
+        if None in found:
+            if len(known) > REMEMBERED:
+                known.clear()
+            for k, piece in enumerate(pieces):
+                if found[k] is None:
+                    found[k] = self.encode_piece(piece.encode("utf-8"))
+                    if len(piece) <= self._leaf_chars:
+                        known[piece] = found[k]
+        return list(chain.from_iterable(found))
 
     def encode(self, text: str) -> list[int]:
-        return self._encode(text, 0, len(text))
-
-    def _encode(self, text: str, low: int, high: int) -> list[int]:
+        borders = [m.start() for m in BORDERS.finditer(text)] if len(text) > self._leaf_chars else []
+        part = self._part(text, borders, 0, len(borders), 0, len(text))
+        if part is None:
+            return self._window(text, 0, len(text))
+        first, tokens, last = part
+        return self._window(text, 0, first) + tokens + self._window(text, last, len(text))
+
+    def _part(self, text: str, borders: list[int], i: int, j: int, low: int, high: int) -> tuple[int, list[int], int] | None:
+        """The stable part of a stretch that holds borders[i:j]: first border, tokens from there to the last border, last border.
+
+        What lies before the first and behind the last border of a half is settled by the join with
+        its neighbour, whose window reaches from the last border of the one to the first of the other.
+        """
+        if i == j:
+            return None
         if high - low <= self._leaf_chars:
-            return self._window(text[low:high])
+            return borders[i], self._window(text, borders[i], borders[j - 1]), borders[j - 1]
         middle = (low + high) // 2
-        start, stop = middle, middle
-        while start > low and not (start < high and self._stable(text, start)):
-            start -= 1
-        while stop < high and not self._stable(text, stop):
-            stop += 1
-        if stop - start > self._leaf_chars:  # hardly any white space here: no halves worth joining on this level
-            outer = self._encode(text, low, start) if start > low else []
-            rest = self._encode(text, stop, high) if stop < high else []
-            return outer + self._window(text[start:stop]) + rest
-        left, right = self._encode(text, low, middle), self._encode(text, middle, high)
-        left = self._without(left, len(text[start:middle].encode("utf-8")), from_end=True)
-        right = self._without(right, len(text[middle:stop].encode("utf-8")), from_end=False)
-        return left + self._window(text[start:stop]) + right
-
-    def _without(self, tokens: list[int], n_bytes: int, from_end: bool) -> list[int]:
-        """The tokens but those of the first or last ``n_bytes``; that place is a border of tokens."""
-        k = 0
-        while n_bytes:
-            k += 1
-            n_bytes -= len(self._bytes[tokens[-k] if from_end else tokens[k - 1]])
-            assert n_bytes >= 0
-        return tokens[: len(tokens) - k] if from_end else tokens[k:]
+        k = bisect_left(borders, middle, i, j)
+        left, right = self._part(text, borders, i, k, low, middle), self._part(text, borders, k, j, middle, high)
+        if left is None or right is None:
+            return left or right
+        first, tokens, a = left
+        b, more, last = right
+        tokens += self._window(text, a, b)
+        tokens += more
+        return first, tokens, last
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= LEAF_IDS:
@@ -157,7 +162,9 @@ class TreeCodec:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
+@cache
 def _codec(path: str | None, pattern: str | None) -> TreeCodec:
+    """One codec for all tasks that a Python process runs, so that what it remembers serves the next task too."""
     import public_tokenizers
 
     return TreeCodec(load_ranks(path or default_vocabulary()), pattern or public_tokenizers.PATTERN)

@@ -116,7 +116,7 @@ def test_tree_codec_matches_the_library():
     r = random.Random(4)
     texts = odd_texts(1500, seed=6, longest=120) + ["".join(r.choice("abcdethingsou") for _ in range(r.randint(0, 300))) for _ in range(500)]
     for leaf in (2, 5, 40, bpe_tree.LEAF_CHARS):
-        codec = bpe_tree.TreeCodec(ranks, public_tokenizers.PATTERN, leaf, 4 if leaf < 48 else bpe_tree.LEAF_BYTES)
+        codec = bpe_tree.TreeCodec(ranks, public_tokenizers.PATTERN, leaf, 4 if leaf < bpe_tree.LEAF_CHARS else bpe_tree.LEAF_BYTES)
         for t in texts:
             ids = codec.encode(t)
             assert ids == plain.encode_ordinary(t)
