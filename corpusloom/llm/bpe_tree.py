@@ -32,7 +32,7 @@ from corpusloom.llm._bytes import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf, and bytes of a leaf inside one match of the pattern.
-LEAF_CHARS, LEAF_BYTES = 64, 32
+LEAF_CHARS, LEAF_BYTES = 128, 32
 #: Ids that are joined at once when decoding; pieces whose ids a task remembers; what is no token.
 LEAF_IDS, REMEMBERED, NO_RANK = 64, 400_000, 1 << 62
 #: Places between matches: white space of these kinds behind a character that is none.
@@ -115,16 +115,21 @@ class TreeCodec:
         """Match by match; a match longer than a leaf is a tree of its own."""
         known = self._words
         pieces = self._matches.findall(text, low, high)
-        found = [known.get(p) for p in pieces]
-        if None in found:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for k, piece in enumerate(pieces):
-                if found[k] is None:
-                    found[k] = self.encode_piece(piece.encode("utf-8"))
-                    if len(piece) <= self._leaf_chars:
-                        known[piece] = found[k]
-        return list(chain.from_iterable(found))
+        try:
+            return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        except KeyError:
+            pass
+        if len(known) > REMEMBERED:
+            known.clear()
+        found: list[int] = []
+        for piece in pieces:
+            ids = known.get(piece)
+            if ids is None:
+                ids = self.encode_piece(piece.encode("utf-8"))
+                if len(piece) <= self._leaf_chars:
+                    known[piece] = ids
+            found += ids
+        return found
 
     def encode(self, text: str) -> list[int]:
         borders = [m.start() for m in BORDERS.finditer(text)] if len(text) > self._leaf_chars else []
