@@ -257,3 +257,14 @@ def test_streaming_ledger_of_shuffled_files(spark, sf_dir, tmp_path):
     got = {r.event_type: (r.n, r.total) for r in registry.queries()["stream_dedup_ledger"](spark, str(tmp_path)).collect()}
     want = events.unionByName(unknown).groupBy("event_type").agg(F.count_distinct("event_id").alias("n"), F.round(F.sum("value"), 3).alias("total")).collect()
     assert got == {r.event_type: (r.n, r.total) for r in want}
+
+
+def test_rank_of_the_embeddings(spark, sf_dir):
+    from corpusloom.plans import registry
+
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()], dtype=np.float64)
+    e = np.linalg.eigvalsh(x.T @ x).clip(0)
+    p = e[e > 0] / e.sum()
+    row = registry.queries()["matrix_rank"](spark, sf_dir).first()
+    assert (row.n, row.width, row["rank"]) == (*x.shape, np.linalg.matrix_rank(x))
+    assert row.effective_rank == pytest.approx(float(np.exp(-(p * np.log(p)).sum())), abs=1e-3)
