@@ -3,6 +3,9 @@
 Markup is stripped to lines, one per block. Text lengths are summed over sliding windows of lines;
 the text between the points where the sums surge and dive is the main text. Links count as no
 text, and lines inside elements that cannot hold main text are taken out first.
+
+A page may say itself where its main text is, by article or main. Then only lines inside these are
+looked at, and surge and dive decide about each such element as a whole, so none of its lines is lost.
 """
 
 from __future__ import annotations
@@ -33,11 +36,11 @@ BLOCKS = frozenset(
 #: Names in class and id that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert advertisement advertisements adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer form "
-    "header menu menus modal nav navbar navigation newsletter notice notices notification popup promo promoted related reply replies respond search share sharing "
+    "gdpr copyright header menu menus modal nav navbar navigation newsletter notice notices notification popup promo promoted related reply replies respond search share sharing "
     "sidebar sidebars social sponsor sponsored subscribe subscription toc toolbar widget".split()
 )
 #: Words that make a known compound with a mark, before it and after it, and compounds of other words.
-BEFORE_MARK = frozenset("bottom global main mobile primary secondary site sub top".split())
+BEFORE_MARK = frozenset("bottom global left main mobile page primary reader right secondary site sub top user".split())
 AFTER_MARK = frozenset("area bar block box button buttons container icons inner links list policy section signup slot thread toggle unit wrap wrapper".split())
 COMPOUNDS = frozenset(
     "article-comments article-footer entry-comments entry-footer page-footer post-comments post-footer related-articles related-content related-links related-posts related-stories".split()
@@ -71,13 +74,22 @@ TAG = re.compile(
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|\Z)""", re.I)
+ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|\Z)""", re.I)
+
+
+#: Styles of what is not shown.
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)")
+#: The next start or end tag of a link.
+LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+TARGET = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 
 
 @dataclass
 class Line:
     text: str
     linked: int
+    #: Which of the page's outermost article and main elements the line is in; 0 for none.
+    region: int = 0
 
 
 def names_boilerplate(name: str) -> bool:
@@ -98,7 +110,13 @@ def is_marked(attributes: str, tag: str = "div", inside: bool = False) -> bool:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" and not value:
             return True
-        if name == "role":
+        if name == "aria-hidden":
+            if value.strip() == "true":
+                return True
+        elif name == "style":
+            if UNSEEN.search(value):
+                return True
+        elif name == "role":
             if value in MARKED_ROLES:
                 return True
         elif name == "id" and tag in (TEXT_IDS_INSIDE if inside else TEXT_IDS):
@@ -209,8 +227,9 @@ def lines_of(page: str) -> list[Line]:
     """One line per block of text, without markup and without the elements that hold no main text."""
     lines: list[Line] = []
     parts: list[str] = []
-    linked = inside = 0
-    in_link = False
+    linked = inside = region = 0
+    # In a link, and whether that link is closed before the next one begins; else it ends with its block.
+    in_link = closed = False
     elements = OpenElements()
     unclosed: set[str] = set()
     at, end = 0, len(page)
@@ -219,7 +238,7 @@ def lines_of(page: str) -> list[Line]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, min(linked, len(text))))
+            lines.append(Line(text, min(linked, len(text)), region if inside else 0))
         parts.clear()
         linked = 0
 
@@ -258,6 +277,8 @@ def lines_of(page: str) -> list[Line]:
                 elements.release()  # an element that was never closed
         open_ended = not closing and tag not in VOID and tag not in ("html", "body") and not m[3].endswith("/")
         if elements.skipping:
+            if tag == "a":
+                in_link = False
             if open_ended:
                 elements.start(tag, False)
             continue
@@ -270,18 +291,23 @@ def lines_of(page: str) -> list[Line]:
             elements.start(tag, False)
         if tag in BLOCKS:
             close()
+            in_link &= closed
             if tag in KEPT:
+                region += not closing and not inside
                 inside = max(0, inside + (-1 if closing else 1))
         elif tag == "a":
-            in_link = not closing
+            in_link = not closing and bool(TARGET.search(m[3]))
+            if in_link:
+                following = LINK.search(page, at)
+                closed = bool(following and following[1])
         elif tag == "br":
             parts.append("\n")
     close()
     return lines
 
 
-def main_lines(lines: list[Line]) -> list[Line]:
-    """The lines between surge and dive of the window sums of text lengths.
+def surges(lines: list[Line]) -> list[tuple[int, int]]:
+    """Stretches between surge and dive of the window sums of text lengths.
 
     Text that is no link counts with its length. Where a window sums to SURGE, main text starts with
     the unbroken run of text lines that leads up to it; it ends where a whole window has no text.
@@ -292,7 +318,7 @@ def main_lines(lines: list[Line]) -> list[Line]:
     for s in size:
         sums.append(sums[-1] + s)
     window = [sums[min(n, i + WINDOW_LINES)] - sums[i] for i in range(n)]
-    kept: list[Line] = []
+    found: list[tuple[int, int]] = []
     i = done = 0
     while i < n:
         if size[i] and window[i] >= SURGE:
@@ -301,11 +327,24 @@ def main_lines(lines: list[Line]) -> list[Line]:
                 first -= 1
             while stop < n and window[stop]:
                 stop += 1
-            kept += lines[first:stop]
+            found.append((first, stop))
             i = done = stop
         else:
             i += 1
-    return kept
+    return found
+
+
+def main_lines(lines: list[Line]) -> list[Line]:
+    """The lines between surge and dive; of a page with article or main elements, all lines of each such element in which the sums surge."""
+    regions: dict[int, list[Line]] = defaultdict(list)
+    for line in lines:
+        if line.region:
+            regions[line.region].append(line)
+    inside = [line for own in regions.values() if surges(own) for line in own]
+    # Elements without a surge hold a short text, unless they hold links alone.
+    if inside or any(len(line.text) > 2 * line.linked for own in regions.values() for line in own):
+        return inside
+    return [line for first, stop in surges(lines) for line in lines[first:stop]]
 
 
 def extract(page: str | None) -> str:
@@ -314,6 +353,7 @@ def extract(page: str | None) -> str:
     found = main_lines(lines)
     if not found:
         # A page too short for any window to surge: what is no link is the text.
+        lines = [line for line in lines if line.region] or lines
         found = [line for line in lines if len(line.text) > 2 * line.linked]
     return "\n\n".join(line.text for line in found)
 
