@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe_tree, centroids, exact_dedup, fill_middle, html_text, jaccard_join, licenses, packing, quality, secrets, topk, url_filter
+from corpusloom.llm import bpe_tree, centroids, exact_dedup, fill_middle, hamming_join, html_text, jaccard_join, licenses, packing, quality, secrets, topk, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_top_k": topk.op9_top_k,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_hamming_join": hamming_join.op11_hamming_join,
         "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
         "op13_centroids": centroids.op13_centroids,
     }
@@ -28,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_jaccard_join": jaccard_join.OP5_SQL,
         "op9_top_k": topk.OP9_SQL,
         "op10_url_filter": url_filter.OP10_SQL,
+        "op11_hamming_join": hamming_join.OP11_SQL,
         "op12_fill_in_middle": fill_middle.OP12_SQL,
         "op13_centroids": centroids.OP13_SQL,
     }
