@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.plans.ledger import CHAIN_SQL, payload
 from corpusloom.plans.registry import query
 from corpusloom.sources.store import shared_dir
+from corpusloom.sources.tables import table
 from corpusloom.streaming import events as ev
+from corpusloom.streaming import ledger as lg
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -60,3 +63,69 @@ def stream_dedup_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(ev.append_ledger(f"{folder}/out")).start()
     q.awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count_distinct("event_id").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+#: Files that the events are dealt to by time, and those that come a second time, as after a crash.
+FILES, AGAIN = 6, (1, 3)
+ORDER = [k for f in range(FILES) for k in ([f, f] if f in AGAIN else [f])]
+FILES_SQL = f"""f AS (SELECT *, epoch_us(ts) AS us, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {FILES} // (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1) AS file FROM events)"""
+
+
+def dealt_events(spark: SparkSession, sf_dir: str, folder: str, order: list[int]) -> None:
+    """The events in files by time, written one after the other, which is the order in which a stream reads them.
+
+    A file holds a range of time, so a larger table needs more files for the same size.
+    """
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("branch"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), payload().alias("payload"))
+    ends = e.agg(F.min("us"), F.max("us")).first()
+    if ends[0] is None:
+        raise ValueError("there are no events")
+    filed = e.withColumn("file", F.floor((F.col("us") - ends[0]) * FILES / (ends[1] - ends[0] + 1)))
+    for n, k in enumerate(order):
+        filed.where(F.col("file") == k).drop("file").repartition(1).write.parquet(f"{folder}/in/{n:04d}")
+
+
+def streamed(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.schema("branch long, event_id long, us long, payload string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+
+def ledger_run(spark: SparkSession, sf_dir: str) -> str:
+    """Run the ledger over files of which some come twice; the folder with log, commits and stream."""
+    folder = _folder(spark, "chain")
+    dealt_events(spark, sf_dir, folder, ORDER)
+    lg.run(spark, lg.entries(streamed(spark, folder)), folder)
+    return folder
+
+
+@query(f"WITH RECURSIVE {CHAIN_SQL} SELECT user_id, step::BIGINT AS step, prev_hash, entry_hash FROM c")
+def stream_ledger_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash chain of every user, entered by a stream batch by batch with offsets that go on, though some batches come twice."""
+    return lg.log(spark, ledger_run(spark, sf_dir)).select(F.col("branch").alias("user_id"), "step", "prev_hash", "entry_hash")
+
+
+@query(
+    f"""WITH RECURSIVE {CHAIN_SQL}, {FILES_SQL}, h AS (SELECT f.file, c.user_id, c.entry_hash FROM c JOIN f ON f.event_id = c.event_id),
+o(batch, file, fresh) AS (VALUES {", ".join(str((n, k, ORDER.index(k) == n)) for n, k in enumerate(ORDER))})
+SELECT o.batch::BIGINT AS batch, count(h.user_id) FILTER (WHERE o.fresh)::BIGINT AS entries, count(DISTINCT CASE WHEN o.fresh THEN h.user_id END)::BIGINT AS branches,
+ CAST(sum(CASE WHEN o.fresh THEN CAST('0x' || substr(h.entry_hash, 1, 8) AS BIGINT) END) AS BIGINT) AS digest FROM o LEFT JOIN h ON h.file = o.file GROUP BY o.batch"""
+)
+def stream_ledger_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each committed batch; one whose events were entered before adds nothing."""
+    return lg.commits(spark, ledger_run(spark, sf_dir)).select("batch", "entries", "branches", "digest")
+
+
+@query(f"WITH RECURSIVE {CHAIN_SQL} SELECT user_id, count(*)::BIGINT AS entries, arg_max(entry_hash, step) AS head, NULL::BIGINT AS first_break FROM c GROUP BY user_id")
+def restored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger whose stream stopped half way: its state, read out of the state store and checked against the log, starts another stream, and both logs are one chain."""
+    first, second = _folder(spark, "chain"), _folder(spark, "chain")
+    half = FILES // 2
+    dealt_events(spark, sf_dir, first, list(range(half)))
+    lg.run(spark, lg.entries(streamed(spark, first)), first)
+    lg.save(spark, first, f"{first}/saved")
+    # The new stream gets the last old file once more, as a source does that was not told how far it had come.
+    dealt_events(spark, sf_dir, second, list(range(half - 1, FILES)))
+    state = lg.restore(spark, f"{first}/saved", lg.log(spark, first))
+    lg.run(spark, lg.entries(streamed(spark, second), state), second)
+    whole = lg.log(spark, first).unionByName(lg.log(spark, second))
+    heads = whole.groupBy("branch").agg(F.max_by("entry_hash", "step").alias("head"))
+    return lg.broken(whole).join(heads, "branch").select(F.col("branch").alias("user_id"), "entries", "head", "first_break")
