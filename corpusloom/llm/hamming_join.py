@@ -15,10 +15,11 @@ first bucket that both are in.
 2. ROUNDS times nodes with an equal chunk meet, with their whole sets, nearest signatures first; what
    is connected already is not compared. So a group of copies is one component before it is expanded.
 3. All keys of all nodes are counted, map-side first. Only buckets in which several components still
-   meet are gathered, with signatures; their pairs of different components within the distance are
-   confirmed on full sets.
+   meet are gathered, with signatures and bitmaps. Nodes that are within the distance of one of
+   another component, and whose bitmaps leave room for enough overlap, meet once more with their whole
+   sets. No pair leaves a bucket but a link that connects.
 
-Steps 2 steers the work: with any number of rounds step 3 looks at every pair of components.
+Step 2 steers the work: with any number of rounds step 3 looks at every pair of components.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._bytes import mix, slices
 from corpusloom.llm._store import Scratch
-from corpusloom.llm.jaccard_join import _connected, _edges, _longs, _raw, _sets, _slim, _whole_buckets, _whole_sets, _with_comp, grouped_rows, linked, linked_pairs, may_link, shingle_sets
+from corpusloom.llm.jaccard_join import _blobs, _connected, _count, _edges, _longs, _raw, _sets, _slim, _whole_buckets, _whole_sets, _with_comp, grouped_rows, linked, may_link, shingle_sets
 
 WORDS, PERCENT = 3, 85
 #: Chunks of a signature, symbols of a chunk, errors of a chunk that are enumerated, bits of a symbol.
@@ -43,7 +44,9 @@ SYMBOLS, THRESHOLD = CHUNKS * WIDTH, CHUNKS * (RADIUS + 1) - 1
 #: Choices of symbols that a key keeps.
 KEPT = list(combinations(range(WIDTH), WIDTH - RADIUS))
 #: Rounds over whole chunks; nodes of one component that go to a bucket there (expected); nodes of a block; pairs compared at once.
-ROUNDS, SENT, BLOCK, PAIRS = 3, 64, 512, 1 << 14
+ROUNDS, SENT, BLOCK, PAIRS = 3, 64, 512, 1 << 13
+#: 64-bit words of a set's bitmap, at most.
+WIDEST = 64
 
 _random = np.random.default_rng(1105)
 _FLIPS = _random.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64) << np.uint64(1)
@@ -89,10 +92,42 @@ def first_key(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return differ.sum(axis=(1, 2)), np.where(shared.any(axis=1), shared.argmax(axis=1), shared.shape[1])
 
 
+def bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of all sets one after the other, and their bounds: a power of two of words for each, with eight bits a token or more, up to WIDEST words."""
+    n = np.diff(bounds)
+    words = np.exp2(np.ceil(np.log2(np.clip(n / 8, 1, WIDEST)))).astype(np.int64)
+    edges = np.concatenate(([0], np.cumsum(words)))
+    row = np.repeat(np.arange(len(n)), n)
+    bits = np.zeros(64 * edges[-1], dtype=np.uint8)
+    bits[64 * edges[row] + ((tokens >> np.uint64(17)) % (64 * words[row]).astype(np.uint64)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64), edges
+
+
+class Bitmaps:
+    """Bitmaps of several widths; two are compared at the width of the narrower one."""
+
+    def __init__(self, flat: np.ndarray, edges: np.ndarray):
+        self._flat, self._at, self._words = flat, edges[:-1], np.diff(edges)
+
+    def _folded(self, rows: np.ndarray, wide: int, words: int) -> np.ndarray:
+        held = self._flat[self._at[rows][:, None] + np.arange(wide)]
+        return np.bitwise_or.reduce(held.reshape(len(rows), wide // words, words), axis=1)
+
+    def most(self, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The most that the sets of rows p and q, of sizes n, can share: what one has and the other has not costs a token each."""
+        out = np.zeros(len(p), dtype=np.int64)
+        pairs = np.stack([self._words[p], self._words[q]], axis=1)
+        for a, b in np.unique(pairs, axis=0):
+            at = np.flatnonzero((pairs[:, 0] == a) & (pairs[:, 1] == b))
+            x, y = self._folded(p[at], a, min(a, b)), self._folded(q[at], b, min(a, b))
+            out[at] = np.minimum(n[p[at]] - _count(x & ~y), n[q[at]] - _count(y & ~x))
+        return out
+
+
 # -- Arrow stages
 
 
-DESCRIBED = "row long, doc_id long, n long, key_a long, key_b long, sig binary, " + ", ".join(f"chunk_{r} long" for r in range(ROUNDS))
+DESCRIBED = "row long, doc_id long, n long, key_a long, key_b long, sig binary, bits binary, " + ", ".join(f"chunk_{r} long" for r in range(ROUNDS))
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +140,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 columns.append(_longs(each[bounds[1:]] - each[bounds[:-1]]))
             sig = signatures(tokens, bounds)
             columns.append(pa.array([s.tobytes() for s in sig], pa.binary()))
+            columns.append(_blobs(*bitmaps(tokens, bounds)))
             columns += [_longs(_folded(sig.reshape(len(sig), CHUNKS, WIDTH)[:, r], 0)) for r in range(ROUNDS)]
-            yield pa.record_batch(columns, names=["row", "doc_id", "n", "key_a", "key_b", "sig", *(f"chunk_{r}" for r in range(ROUNDS))])
+            yield pa.record_batch(columns, names=["row", "doc_id", "n", "key_a", "key_b", "sig", "bits", *(f"chunk_{r}" for r in range(ROUNDS))])
 
 
 def _signed(column: pa.Array) -> np.ndarray:
@@ -125,6 +161,26 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(columns, names=["token", "which", "node", "comp"])
 
 
+class Connected:
+    """Which rows of a task are in one component, given that and what was linked since."""
+
+    def __init__(self, comp: np.ndarray):
+        self._root = np.unique(comp, return_inverse=True)[1].tolist()
+        self._parent = list(range(len(self._root)))
+
+    def _find(self, row: int) -> int:
+        x, parent = self._root[row], self._parent
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def apart(self, i: int, j: int) -> bool:
+        return self._find(i) != self._find(j)
+
+    def join(self, i: int, j: int) -> None:
+        self._parent[self._find(i)] = self._find(j)
+
+
 def connect(sets: list[np.ndarray], sig: np.ndarray, comp: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between sets that connect all components which links among these sets connect, nearest signatures first."""
     size = np.array([len(s) for s in sets])
@@ -134,19 +190,10 @@ def connect(sets: list[np.ndarray], sig: np.ndarray, comp: np.ndarray, percent:
     far = np.concatenate([(sig[i[k : k + PAIRS]] != sig[j[k : k + PAIRS]]).sum(axis=1) for k in range(0, len(i), PAIRS)] or [np.zeros(0, np.int64)])
     near = np.flatnonzero(far <= THRESHOLD)
     near = near[np.argsort(far[near], kind="stable")]
-    root = np.unique(comp, return_inverse=True)[1].tolist()
-    parent = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    links = []
+    found, links = Connected(comp), []
     for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
-        x, y = find(root[a]), find(root[b])
-        if x != y and linked(sets[a], sets[b], percent):
-            parent[x] = y
+        if found.apart(a, b) and linked(sets[a], sets[b], percent):
+            found.join(a, b)
             links.append((a, b))
     return links
 
@@ -164,28 +211,55 @@ def _chunk_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of different components within the distance, each in the first bucket that it shares."""
-    keys = ["token", "low", "high"]
-    for t in _whole_buckets(batches, keys):
-        begin, end = _edges(t, keys)
-        node, n, comp, which, block, low, high = (np.asarray(t.column(c), dtype=np.int64) for c in ("node", "n", "comp", "which", "block", "low", "high"))
-        sig, out = _signed(t.column("sig")), []
-        # How many rows of its bucket stand behind each row.
-        behind = np.repeat(end, end - begin) - 1 - np.arange(len(node))
-        i, d = np.flatnonzero(behind >= 1), 1
-        while len(i):
-            ok = (comp[i] != comp[i + d]) & ((low[i] == high[i]) | (block[i] != block[i + d]))
-            p = i[ok]
-            p = p[may_link(np.minimum(n[p], n[p + d]), n[p], n[p + d], PERCENT)]
-            for k in range(0, len(p), PAIRS):
-                a, b = p[k : k + PAIRS], p[k : k + PAIRS] + d
-                far, first = first_key(sig[a], sig[b])
-                met = (far <= THRESHOLD) & (first == which[a])
-                out.append(np.stack([np.minimum(node[a], node[b])[met], np.maximum(node[a], node[b])[met]], axis=1))
-            d += 1
-            i = i[behind[i] >= d]
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+BUCKETS = ["token", "low", "high"]
+
+
+def _near(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket and different components within the distance and with room for a link, each in the first bucket that it shares."""
+    begin, end = _edges(t, BUCKETS)
+    n, comp, which, block, low, high = (np.asarray(t.column(c), dtype=np.int64) for c in ("n", "comp", "which", "block", "low", "high"))
+    sig, bits = _signed(t.column("sig")), Bitmaps(*_sets(t.column("bits")))
+    # How many rows of its bucket stand behind each row.
+    behind = np.repeat(end, end - begin) - 1 - np.arange(len(n))
+    i, d = np.flatnonzero(behind >= 1), 1
+    while len(i):
+        ok = (comp[i] != comp[i + d]) & ((low[i] == high[i]) | (block[i] != block[i + d]))
+        p = i[ok]
+        p = p[may_link(np.minimum(n[p], n[p + d]), n[p], n[p + d], PERCENT)]
+        for k in range(0, len(p), PAIRS):
+            a, b = p[k : k + PAIRS], p[k : k + PAIRS] + d
+            far, first = first_key(sig[a], sig[b])
+            met = (far <= THRESHOLD) & (first == which[a])
+            a, b = a[met], b[met]
+            room = may_link(bits.most(n, a, b), n[a], n[b], PERCENT)
+            if room.any():
+                yield a[room], b[room]
+        d += 1
+        i = i[behind[i] >= d]
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a bucket that are near another one."""
+    for t in _whole_buckets(batches, BUCKETS):
+        near = np.zeros(t.num_rows, dtype=bool)
+        for a, b in _near(t):
+            near[a] = near[b] = True
+        yield from t.filter(pa.array(near)).to_batches()
+
+
+def _near_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of near rows, on whole sets, until what links is connected."""
+    for t in _whole_buckets(batches, BUCKETS):
+        node, comp = np.asarray(t.column("node")), np.asarray(t.column("comp"))
+        tokens, bounds = _sets(t.column("tokens"))
+        found = Connected(comp)
+        out = []
+        for a, b in _near(t):
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                if found.apart(i, j) and linked(tokens[bounds[i] : bounds[i + 1]], tokens[bounds[j] : bounds[j + 1]], PERCENT):
+                    found.join(i, j)
+                    out.append(sorted((node[i], node[j])))
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -217,7 +291,7 @@ def _equal_chunk_links(heads: DataFrame, sets: DataFrame, labels: DataFrame | No
     return rows.repartition("token", "block").sortWithinPartitions("token", "block").mapInArrow(_chunk_links, "a long, b long")
 
 
-def _bucket_rows(heads: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
+def _bucket_rows(heads: DataFrame, described: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Rows of the buckets in which several components meet; large ones are dealt to pairs of blocks.
 
     The nodes of a large bucket's largest component stand in blocks of their own, which do not meet
@@ -244,7 +318,9 @@ def _bucket_rows(heads: DataFrame, labels: DataFrame | None, scratch: Scratch) -
     large = large.withColumn("other", F.explode(F.sequence(zero, last - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     columns = ["token", "which", "node", "comp", "low", "high", "block"]
     rows = small.select(columns).unionByName(large.select(columns))
-    return rows.join(known.select("node", "n", "sig"), "node")
+    nodes = _slim(scratch.write(shared.select("node").distinct(), "nodes"))
+    held = described.select(F.col("row").alias("node"), "n", "sig", "bits").join(nodes, "node", "left_semi")
+    return rows.join(scratch.write(held, "held"), "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -282,9 +358,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = _connected(labels, links, scratch)
         scratch.drop(sets)
 
-    together = _bucket_rows(heads, labels, scratch).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    pairs = scratch.write(together.mapInArrow(_near_pairs, "a long, b long"), "pairs")
-    labels = _connected(labels, linked_pairs(pairs, texts, scratch, WORDS, PERCENT), scratch)
+    together = lambda rows: rows.repartition(*BUCKETS).sortWithinPartitions(*BUCKETS)
+    rows = together(_bucket_rows(heads, described, labels, scratch))
+    near = scratch.write(rows.mapInArrow(_near_rows, rows.schema), "near")
+    sets = _whole_sets(texts, near.select("node").distinct(), scratch, WORDS)
+    links = scratch.write(together(near.join(sets, "node")).mapInArrow(_near_links, "a long, b long"), "links")
+    labels = _connected(labels, links, scratch)
     out = grouped_rows(described, heads, labels, scratch).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     if row_col is None:
         out = out.drop("row", "stays")

@@ -69,6 +69,18 @@ def test_signatures_agree_as_often_as_sets_overlap():
     assert abs(np.mean(same) - 0.75) < 0.02 and abs(np.std(same) - np.sqrt(0.75 * 0.25 / hj.SYMBOLS)) < 0.02
 
 
+def test_bitmaps_never_leave_too_little_room():
+    rng = np.random.default_rng(2)
+    universe = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    sets = [np.unique(rng.choice(universe, int(rng.choice([0, 1, 5, 40, 300, 3000])))) for _ in range(60)]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    maps = hj.Bitmaps(*hj.bitmaps(np.concatenate(sets), bounds))
+    i, j = np.triu_indices(len(sets), 1)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    most = maps.most(np.diff(bounds), i, j)
+    assert (most >= both).all() and (most < np.minimum(*(np.diff(bounds)[k] for k in (i, j)))).any()
+
+
 def test_equal_sets_are_told_by_their_sums():
     texts = [" ".join(np.random.default_rng(k % 40).choice(["a", "B", "c"], k % 7)) for k in range(400)]
     batch = pa.record_batch([pa.array(range(400), pa.int64()), pa.array(range(400), pa.int64()), pa.array(texts)], names=["row", "doc_id", "text"])
