@@ -1,4 +1,4 @@
-"""Runs of a loader: draws with a cursor, resume, replay and fork, refused checkpoints, shifts of the mixture, seeded windows."""
+"""Runs of a loader: refused checkpoints, shifts of the mixture, seeded windows."""
 
 from __future__ import annotations
 
@@ -10,74 +10,6 @@ from corpusloom.plans.registry import query
 from corpusloom.plans.windows import STEPS_SQL, steps
 from corpusloom.sources.tables import table
 
-#: Documents of a source that a step draws, the longest that is drawn at first, and ids that are held back or out of band.
-DRAWN, LONGEST = 4, 6000
-DRAWS_SQL = f"""e AS (SELECT doc_id, source, n_chars, doc_id % 13 = 0 AS reserved, doc_id % 7 = 3 AS off_band, n_chars > {LONGEST} AS too_long FROM documents),
-o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY too_long, doc_id) - 1 AS cursor FROM e WHERE NOT reserved AND NOT off_band), p AS (SELECT source, cursor // {DRAWN} AS step, cursor, doc_id, too_long FROM o)"""
-
-
-def draws(spark: SparkSession, sf_dir: str, drawn: int = DRAWN, first: int = 0) -> DataFrame:
-    """source, step, cursor, doc_id and whether the length limit was relaxed, from a cursor on.
-
-    A pool is passed in id order; what is reserved or out of band is never drawn, and what is too
-    long only when nothing else is left.
-    """
-    d = table(spark, sf_dir, "documents").where((F.col("doc_id") % 13 != 0) & (F.col("doc_id") % 7 != 3))
-    d = d.select("doc_id", "source", (F.col("n_chars") > LONGEST).alias("too_long"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("too_long", "doc_id")) - 1
-    p = d.withColumn("cursor", place.cast("long")).where(F.col("cursor") >= first)
-    return p.select("source", F.floor(F.col("cursor") / drawn).alias("step"), "cursor", "doc_id", F.col("too_long").alias("relaxed"))
-
-
-@query(f"WITH {DRAWS_SQL} SELECT source, step::BIGINT AS step, cursor::BIGINT AS cursor, doc_id, too_long AS relaxed FROM p")
-def pool_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return draws(spark, sf_dir)
-
-
-def step_hashes(plan: DataFrame) -> DataFrame:
-    """Hash of what each step of each source draws."""
-    entry = F.sort_array(F.collect_list(F.struct("cursor", F.col("doc_id").cast("string").alias("id"))))["id"]
-    return plan.groupBy("source", "step").agg(F.sha2(F.array_join(entry, ","), 256).alias("step_hash"))
-
-
-HASHES_SQL = f"{DRAWS_SQL}, h AS (SELECT source, step, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY cursor)) AS step_hash FROM p GROUP BY 1, 2)"
-
-
-@query(f"WITH {HASHES_SQL} SELECT source, count(*)::BIGINT AS steps_again, count(*)::BIGINT AS same, min(step)::BIGINT AS resumed_at FROM h WHERE step >= 3 GROUP BY source")
-def resumed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run that stopped after three steps is planned anew from its stored cursor; every later step must draw what it drew."""
-    whole = step_hashes(draws(spark, sf_dir))
-    again = step_hashes(draws(spark, sf_dir, first=3 * DRAWN)).withColumnRenamed("step_hash", "again")
-    both = again.join(whole, ["source", "step"], "left")
-    return both.groupBy("source").agg(F.count(F.lit(1)).alias("steps_again"), F.count_if(F.col("again") == F.col("step_hash")).alias("same"), F.min("step").alias("resumed_at"))
-
-
-@query(f"WITH {HASHES_SQL} SELECT source, step::BIGINT AS step, step_hash, step_hash AS replayed, TRUE AS same FROM h WHERE step BETWEEN 2 AND 4")
-def replayed_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps 2 to 4 derived again from the cursor that stood before them, beside what the ledger says."""
-    ledger = step_hashes(draws(spark, sf_dir)).where("step between 2 and 4")
-    again = step_hashes(draws(spark, sf_dir, first=2 * DRAWN).where("step <= 4")).withColumnRenamed("step_hash", "replayed")
-    return ledger.join(again, ["source", "step"], "full_outer").withColumn("same", F.col("step_hash").eqNullSafe(F.col("replayed")))
-
-
-@query(
-    f"""WITH {DRAWS_SQL}, f AS (SELECT source, CASE WHEN cursor < 2 * {DRAWN} THEN cursor // {DRAWN} ELSE 2 + (cursor - 2 * {DRAWN}) // 2 END AS step, cursor, doc_id FROM p),
-a AS (SELECT source, step, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY cursor)) AS h FROM p GROUP BY 1, 2), b AS (SELECT source, step, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY cursor)) AS h FROM f GROUP BY 1, 2)
-SELECT b.source, count(*)::BIGINT AS steps, min(b.step) FILTER (WHERE a.h IS DISTINCT FROM b.h)::BIGINT AS first_difference, TRUE AS control_is_parent FROM b LEFT JOIN a ON a.source = b.source AND a.step = b.step GROUP BY b.source"""
-)
-def forked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A branch that draws half as much from step 2 on, against its parent; a branch without a change reproduces the parent."""
-    parent = step_hashes(draws(spark, sf_dir)).withColumnRenamed("step_hash", "parent")
-    changed = F.when(F.col("cursor") < 2 * DRAWN, F.floor(F.col("cursor") / DRAWN)).otherwise(2 + F.floor((F.col("cursor") - 2 * DRAWN) / 2))
-    fork = step_hashes(draws(spark, sf_dir).withColumn("step", changed))
-    control = step_hashes(draws(spark, sf_dir)).withColumnRenamed("step_hash", "control")
-    same = control.join(parent, ["source", "step"], "full_outer").groupBy("source").agg(F.bool_and(F.col("control").eqNullSafe(F.col("parent"))).alias("control_is_parent"))
-    both = fork.join(parent, ["source", "step"], "left").groupBy("source").agg(
-        F.count(F.lit(1)).alias("steps"), F.min(F.when(~F.col("step_hash").eqNullSafe(F.col("parent")), F.col("step"))).alias("first_difference")
-    )
-    return both.join(same, "source")
-
-
 #: Hashes that a checkpoint carries, and what their disagreement means.
 SEALS = {"state": "state_corrupt", "plan": "plan_changed", "offset": "log_moved"}
 
