@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.grid import best_products
 from corpusloom.plans.learning import OBS_SQL, observations
 from corpusloom.plans.registry import query
 from corpusloom.plans.shards import MASK_SQL, windows
@@ -77,29 +74,10 @@ def frequency_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, token) AS k FROM s) SELECT vec_id, token, round(score, 4) AS score FROM r WHERE k = 1"""
 )
 def nearest_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The entry of a vocabulary (every 25th vector) with the largest inner product with each vector.
-
-    The vocabulary is split into blocks that are multiplied one at a time; every vector meets each
-    block once, and of a vector's block results the best stays.
-    """
-    block = 1024
+    """The entry of a vocabulary (every 25th vector) with the largest inner product with each vector."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    listed = e.where("vec_id % 25 = 0").withColumn("block", F.floor(F.col("vec_id") / 25 / block))
-    blocks = listed.groupBy("block").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("embedding")).alias("flat"))  # block rows of the vocabulary
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for _, own in f.groupby("block", sort=False):
-                x, ids = np.array(own["embedding"].tolist(), dtype=np.float64), np.array(own["ids"].iloc[0])
-                order = np.argsort(ids)
-                y = np.array(own["flat"].iloc[0], dtype=np.float64).reshape(len(ids), -1)[order]
-                score = np.round(x @ y.T, 6)
-                at = score.argmax(axis=1)
-                yield pd.DataFrame({"vec_id": own["vec_id"], "token": ids[order][at], "score": score[np.arange(len(x)), at]})
-
-    found = e.crossJoin(F.broadcast(blocks)).mapInPandas(best, "vec_id long, token long, score double")  # a row a thousand vocabulary entries
-    first = F.min(F.struct((-F.col("score")).alias("less"), "token")).alias("b")
-    return found.groupBy("vec_id").agg(first).select("vec_id", "b.token", F.round(-F.col("b.less"), 4).alias("score"))
+    found = best_products(e, e.where("vec_id % 25 = 0"))
+    return found.select("vec_id", "token", F.round("score", 4).alias("score"))
 
 
 @query(
