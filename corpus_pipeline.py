@@ -16,10 +16,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones among all documents, does not reject."""
+    """Documents that the classifier, fitted on the labelled ones among all documents, rejects neither for low quality nor as toxic."""
     labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = quality.train(labelled, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.score_quality(docs.select(*COLUMNS), model).where("kept").select(*COLUMNS)
+    return quality.score_quality(docs.select(*COLUMNS), model).where("kept and coalesce(clean, true)").select(*COLUMNS)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm._bytes import LOWER, SPACE, WindowHash, buffers, per_row, slices, spans
 
 #: Hash buckets, labelled rows that are fitted (at most), steps, step size, ridge penalty.
-BUCKETS, SAMPLE, STEPS, RATE, RIDGE = 1 << 17, 3000, 150, 0.15, 1e-5
+BUCKETS, SAMPLE, STEPS, RATE, RIDGE = 1 << 17, 3000, 600, 0.05, 1e-5
+#: Labelled texts that a feature must be in (or as many as the rarest grade has, if fewer), and how often a row of the toxic grade counts.
+MIN_TEXTS, TOXIC_GRADE, TOXIC_WEIGHT = 5, 1, 3.0
 #: A document stays when the probability of at least this grade is at least this high.
 KEEP_GRADE, KEEP_PROBABILITY = 1, 0.5
 
-#: The grade of good documents that are not toxic, and the columns that scoring adds.
-CLEAN_GRADE = 2
+#: The grade of good documents that are not toxic, how probable it must be for a document to be clean, and the columns that scoring adds.
+CLEAN_GRADE, CLEAN_PROBABILITY = 2, 0.65
 SCORES = ("expected_grade", "tail_probability", "kept", "clean_probability", "clean")
 
 #: What a byte looks like: upper case, lower case, digit, beyond ASCII; other bytes look like themselves.
@@ -57,20 +59,28 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([(words % rest).astype(np.int64) + 2, (shapes % rest).astype(np.int64) + 2, again.astype(np.int64)], axis=1), bounds
 
 
+def weighted(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and value of every distinct feature of every text, in the order of rows.
+
+    A value is the logarithm of one more than the feature's count, over the square root of the text's
+    words, so that a few decisive words are not lost among many others.
+    """
+    found, bounds = features(column)
+    words = np.diff(bounds)
+    row = np.repeat(np.arange(len(words)), words)
+    key, counts = np.unique((row[:, None] * BUCKETS + found).ravel(), return_counts=True)
+    row = key // BUCKETS
+    return row, key % BUCKETS, np.log1p(counts) / np.sqrt(words[row])
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each labelled text as its distinct buckets and their shares, so that long texts cost the driver no more than the buckets."""
+    """Each labelled text as its distinct buckets and their values, so that long texts cost the driver no more than the buckets."""
     for batch in batches:
         for part in slices(batch, "text"):
-            found, bounds = features(part.column("text"))
-            index, share = [], []
-            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-                buckets, counts = np.unique(found[low:high], return_counts=True)
-                index.append(buckets)
-                share.append(counts / max(1, high - low))
-            yield pa.record_batch(
-                [part.column("grade").cast(pa.int32()), pa.array(index, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))],
-                names=["grade", "bucket", "share"],
-            )
+            row, bucket, value = weighted(part.column("text"))
+            edges = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x, kind)) for x, kind in ((bucket, pa.int32()), (value, pa.float32()))]
+            yield pa.record_batch([part.column("grade").cast(pa.int32()), *lists], names=["grade", "bucket", "share"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,11 +94,13 @@ class OrdinalModel:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, index: np.ndarray, share: np.ndarray, rows: np.ndarray, grade: np.ndarray, grades: int) -> OrdinalModel:
-        """Maximum likelihood by Adam over the sparse shares (index, share, rows), the same for the same sample."""
+    def fit(cls, index: np.ndarray, share: np.ndarray, rows: np.ndarray, grade: np.ndarray, grades: int, weight: np.ndarray | None = None) -> OrdinalModel:
+        """Maximum likelihood by Adam over the sparse values (index, share, rows), the same for the same sample; ``weight`` says how often a row counts."""
         n = len(grade)
+        weight = np.ones(n) if weight is None else weight
+        total = weight.sum()
         w = np.zeros(BUCKETS)
-        tail = np.array([(grade > k).mean() for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
+        tail = np.array([weight[grade > k].sum() / total for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
         start = np.log((1 - tail) / tail)
         # Thresholds as the first one and the logarithms of the gaps, so that they stay ordered.
         t = np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 0.05))))
@@ -103,8 +115,9 @@ class OrdinalModel:
             slope = over * (1 - over)
             at = np.arange(n)
             p = np.maximum(over[at, grade] - over[at, grade + 1], 1e-12)
-            by_score = (slope[at, grade] - slope[at, grade + 1]) / p / n
-            by_theta = np.array([(slope[at, k + 1] * ((grade == k) * 1.0 - (grade == k + 1)) / p).sum() / n for k in range(grades - 1)])
+            p = p * total / weight
+            by_score = (slope[at, grade] - slope[at, grade + 1]) / p
+            by_theta = np.array([(slope[at, k + 1] * ((grade == k) * 1.0 - (grade == k + 1)) / p).sum() for k in range(grades - 1)])
             # theta[k] = t[0] + exp(t[1]) + ... + exp(t[k])
             down = np.cumsum(by_theta[::-1])[::-1]
             by_t = np.concatenate((down[:1], down[1:] * np.exp(t[1:])))
@@ -116,10 +129,8 @@ class OrdinalModel:
 
     def tails(self, column: pa.Array) -> np.ndarray:
         """P(grade > k) of each text for each k."""
-        found, bounds = features(column)
-        each = self.weights[found].sum(axis=1, dtype=np.float64)
-        sums = np.concatenate(([0.0], np.cumsum(each)))
-        score = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(1, np.diff(bounds))
+        row, bucket, value = weighted(column)
+        score = np.bincount(row, value * self.weights[bucket], minlength=len(column))
         return _sigmoid(score[:, None] - self.thresholds)
 
 
@@ -134,7 +145,8 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``sample`` rated documents, chosen by a hash of their ids; None where fewer than two grades are rated."""
     rated = ratings.select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(rated), "doc_id").dropDuplicates(["doc_id"]).select("grade", "text")
+    # Of rows that repeat an id, the first text in their order, whichever comes first.
+    rows = texts.join(F.broadcast(rated), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("grade", "text")
     table = rows.mapInArrow(_sparse, "grade int, bucket array<int>, share array<float>").toArrow()
     grade = np.asarray(table["grade"], dtype=np.int64)
     known, level = np.unique(grade, return_inverse=True)
@@ -148,14 +160,18 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     order = np.lexsort((lengths, share[np.minimum(np.cumsum(lengths) - lengths, max(0, len(share) - 1))], level))
     begin = np.cumsum(lengths) - lengths
     take = np.concatenate([np.arange(begin[r], begin[r] + lengths[r]) for r in order]) if len(index) else np.zeros(0, np.int64)
-    model = OrdinalModel.fit(index[take], share[take], np.repeat(np.arange(len(order)), lengths[order]), level[order], len(known))
+    index, share, at, level = index[take], share[take], np.repeat(np.arange(len(order)), lengths[order]), level[order]
+    # What hardly any text has tells one text from others, not a grade.
+    often = np.bincount(index, minlength=BUCKETS)[index] >= min(MIN_TEXTS, np.bincount(level).min())
+    weight = np.where(known[level] == TOXIC_GRADE, TOXIC_WEIGHT, 1.0)
+    model = OrdinalModel.fit(index[often], share[often], at[often], level, len(known), weight)
     # Grades nobody rated share the threshold of the next one that somebody did.
     top = int(max(known.max(), KEEP_GRADE))
     thresholds = [model.thresholds[min(int(np.searchsorted(known, k, side="right")), len(known) - 1) - 1] if k >= known[0] else -np.inf for k in range(top)]
     return OrdinalModel(model.weights, np.array(thresholds))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None, keep_grade: int, keep_probability: float, text_col: str) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None, keep_grade: int, keep_probability: float, clean_probability: float, text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, text_col):
             n = part.num_rows
@@ -169,22 +185,24 @@ def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None, keep_g
                 clean_p, clean = pa.nulls(n, pa.float64()), pa.nulls(n, pa.bool_())
                 if tails.shape[1] >= CLEAN_GRADE:
                     p = np.round(tails[:, CLEAN_GRADE - 1], 6)
-                    clean_p, clean = pa.array(p), pa.array(p >= keep_probability)
+                    clean_p, clean = pa.array(p), pa.array(p >= clean_probability)
             yield pa.record_batch([*part.columns, expected, tail, kept, clean_p, clean], names=[*part.schema.names, *SCORES])
 
 
-def score_quality(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", keep_grade: int = KEEP_GRADE, keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
+def score_quality(
+    docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", keep_grade: int = KEEP_GRADE, keep_probability: float = KEEP_PROBABILITY, clean_probability: float = CLEAN_PROBABILITY
+) -> DataFrame:
     """``docs`` plus expected_grade, tail_probability (of at least ``keep_grade``), kept, clean_probability (of CLEAN_GRADE) and clean.
 
-    ``clean`` decides on toxicity too, by the same probability as ``kept``; both of its columns are null
-    where no rating tells. A null text is empty; a text without words has score 0. Without a model (no or one grade rated)
+    ``clean`` decides on toxicity too: CLEAN_GRADE must be as probable as ``clean_probability``; both of
+    its columns are null where no rating tells. A null text is empty; a text without words has score 0. Without a model (no or one grade rated)
     the probabilities are null and every row is kept. Repeated rows and null ids are scored like
     others. Columns of ``docs`` with the new names are replaced.
     """
     rest = docs.drop(*SCORES)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
     return rest.mapInArrow(
-        lambda b: _score(b, model, keep_grade, keep_probability, text_col),
+        lambda b: _score(b, model, keep_grade, keep_probability, clean_probability, text_col),
         f"{schema}, expected_grade double, tail_probability double, kept boolean, clean_probability double, clean boolean",
     )
 

@@ -19,12 +19,13 @@ def test_stages_in_order(spark):
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "secret scans", "packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     start = rows_of(docs)
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    labels = {r.doc_id: r.quality if not r.toxic else -1 for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0 or toxic is not null").collect()}
 
     good = cp.quality_classifier(spark, docs, SF)
     assert good.columns == docs.columns
     kept = {r[0] for r in rows_of(good)}
-    assert sum(d in kept for d, q in labels.items() if q == 1) >= 0.97 * sum(labels.values())
+    assert sum(d in kept for d, q in labels.items() if q == 1) >= 0.97 * sum(q == 1 for q in labels.values())
+    assert sum(d in kept for d, q in labels.items() if q == -1) <= 0.7 * max(1, sum(q == -1 for q in labels.values()))
     assert sum(d in kept for d, q in labels.items() if q == 0) <= 0.1 * max(1, sum(q == 0 for q in labels.values()))
 
     unique = cp.exact_dedup_stage(spark, docs, SF)
@@ -102,4 +103,4 @@ def test_registered():
 
     names = e.queries()
     assert {"pipeline", *(n for n in names if re.match(r"op\d+_", n))} <= set(names)
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))
