@@ -5,17 +5,23 @@ open ends. Neighbours are joined by encoding a window around their border; the w
 the tokens outside it cannot change:
 
 * Between matches of the splitting pattern, that is where white space follows a character that is
-  none. No match spans such a place and no look-ahead crosses it, so both sides encode alone.
+  none, and in a text without such places where letters and digits meet or either ends at other
+  signs. No match spans such a place and no look-ahead crosses it, so both sides encode alone.
 * Inside one long match, where the tokens on both sides of the window's edges form valid pairs. A
   token sequence is the encoding of its bytes exactly when each two neighbours are the encoding of
   theirs, and all other pairs already stood side by side in an encoding.
 
+In a run of equal signs no border settles, since each token's place depends on where the run began.
+A window that has grown to REACH tokens on both sides tells; the match is then merged as a whole, in
+rounds that join all pairs of the lowest rank at once, and by a heap where rounds cannot tell the order.
+
 Decoding concatenates byte strings up the same kind of tree.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -37,6 +43,12 @@ LEAF_CHARS, LEAF_BYTES = 160, 32
 LEAF_IDS, REMEMBERED, NO_RANK = 256, 400_000, 1 << 62
 #: Places between matches: white space of these kinds behind a character that is none.
 BORDERS = re.compile(r"(?<=\S)[ \t\n\x0b\x0c\r]")
+#: Further ones, for texts with hardly any: between letters and numbers, and where either ends at a sign that is neither.
+CLASS_BORDERS = regex.compile(r"(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
+#: Characters for each border that a text has at least, or else the further ones are looked for.
+FAR_APART = 4096
+#: Tokens on each side of a window that has not settled; rounds of a whole match, and different pairs of one round.
+REACH, ROUNDS, KINDS = 64, 64, 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -93,21 +105,102 @@ class TreeCodec:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """One match of the pattern, however long."""
+        tokens = self._halves(piece)
+        return self._whole(piece) if tokens is None else tokens
+
+    def _halves(self, piece: bytes) -> list[int] | None:
+        """The tokens by halves; none where a border does not settle."""
         if len(piece) <= self._leaf_bytes:
             return self._piece_leaf(piece)
         middle = len(piece) // 2
-        left, right = self.encode_piece(piece[:middle]), self.encode_piece(piece[middle:])
+        left = self._halves(piece[:middle])
+        right = None if left is None else self._halves(piece[middle:])
+        if left is None or right is None:
+            return None
         reach = 1
-        while True:
+        while reach <= REACH:
             i, j = min(reach, len(left)), min(reach, len(right))
             window = b"".join(self._bytes[t] for t in (*left[len(left) - i :], *right[:j]))
-            # A window may outgrow a leaf; it is then small against the halves and encoded as it is.
             tokens = self._piece_leaf(window)
             held_left = i == len(left) or self._is_pair(left[-i - 1], tokens[0])
             held_right = j == len(right) or self._is_pair(tokens[-1], right[j])
             if held_left and held_right:
                 return left[: len(left) - i] + tokens + right[j:]
             reach *= 2
+        return None
+
+    def _whole(self, piece: bytes) -> list[int]:
+        """A match that cannot be halved: rounds that merge all pairs of the lowest rank, while what they make is of a higher one."""
+        one = np.array([self._ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        ids = one[np.frombuffer(piece, np.uint8)]
+        size = np.int64(len(self._bytes) + 1 + max(self._bytes, default=0))
+
+        def rank(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+            """Rank of each pair, by the few different ones."""
+            kinds, at = np.unique(a * size + b, return_inverse=True)
+            if len(kinds) > KINDS:
+                return None
+            pairs = [self._ranks.get(self._bytes[k // size] + self._bytes[k % size], NO_RANK) for k in kinds.tolist()]
+            return np.array(pairs, dtype=np.int64)[at]
+
+        for _ in range(ROUNDS):
+            if len(ids) < 2:
+                return ids.tolist()
+            ranks = rank(ids[:-1], ids[1:])
+            if ranks is None:
+                break
+            least = ranks.min()
+            if least == NO_RANK:
+                return ids.tolist()
+            # From the left, every pair of this rank that does not overlap the one before it.
+            hits = np.flatnonzero(ranks == least)
+            first = np.concatenate(([True], np.diff(hits) > 1))
+            begin = hits[first][np.cumsum(first) - 1]
+            hits = hits[(hits - begin) % 2 == 0]
+            # Whatever a new token stands beside on the way must be of a higher rank, or the order is another.
+            before, behind = hits[hits > 0] - 1, hits[hits + 2 < len(ids)] + 2
+            left = ids[before].copy()
+            left[np.isin(before, hits + 1)] = least
+            made = np.full(len(ids), least)
+            later = [rank(left, made[: len(left)]), rank(made[: len(behind)], ids[behind])]
+            if any(r is None or (len(r) and r.min() <= least) for r in later):
+                break
+            keep = np.ones(len(ids), dtype=bool)
+            keep[hits + 1] = False
+            ids = ids.copy()
+            ids[hits] = least
+            ids = ids[keep]
+        return self._by_heap(ids.tolist())
+
+    def _by_heap(self, ids: list[int]) -> list[int]:
+        """Merge the neighbours of the lowest rank, the leftmost of equal ones first, from any stage of merging on."""
+        rank, own = self._ranks.get, self._bytes
+        n = len(ids)
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for k in range(n - 1):
+            r = rank(own[ids[k]] + own[ids[k + 1]])
+            if r is not None:
+                heap.append((r, k, ids[k], ids[k + 1]))
+        heapq.heapify(heap)
+        while heap:
+            r, k, a, b = heapq.heappop(heap)
+            j = following[k] if ids[k] == a else n
+            if j >= n or ids[j] != b:
+                continue  # one of the two is no longer there
+            ids[k], ids[j] = r, -1
+            following[k] = m = following[j]
+            if m < n:
+                before[m] = k
+                r = rank(own[ids[k]] + own[ids[m]])
+                if r is not None:
+                    heapq.heappush(heap, (r, k, ids[k], ids[m]))
+            i = before[k]
+            if i >= 0:
+                r = rank(own[ids[i]] + own[ids[k]])
+                if r is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[k]))
+        return [t for t in ids if t >= 0]
 
     # -- texts
 
@@ -133,6 +226,8 @@ class TreeCodec:
 
     def encode(self, text: str) -> list[int]:
         borders = [m.start() for m in BORDERS.finditer(text)] if len(text) > self._leaf_chars else []
+        if len(borders) * FAR_APART < len(text) and len(text) > self._leaf_chars:
+            borders = sorted({*borders, *(m.start() for m in CLASS_BORDERS.finditer(text))})
         part = self._part(text, borders, 0, len(borders), 0, len(text))
         if part is None:
             return self._window(text, 0, len(text))
@@ -192,6 +287,15 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str | None, pattern: str |
             yield pa.record_batch([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
 
+def _code(batches: Iterator[pa.RecordBatch], path: str | None, pattern: str | None) -> Iterator[pa.RecordBatch]:
+    codec = _codec(path, pattern)
+    for batch in batches:
+        for part in slices(batch, "text"):
+            ids = [np.asarray(codec.encode(t or ""), dtype="<u4") for t in part.column("text").to_pylist()]
+            columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(list(map(codec.decode, ids)), pa.binary())]
+            yield pa.record_batch([part.column("doc_id").cast(pa.int64()), *columns], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every whole text.
 
@@ -208,6 +312,12 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, pattern: str | Non
     return slim.mapInArrow(lambda b: _decode(b, vocabulary, pattern), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
+def code(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """What ``decode(encode(docs))`` gives, in one pass."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(lambda b: _code(b, vocabulary, pattern), "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    coded = code(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
