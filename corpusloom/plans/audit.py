@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from corpusloom.plans.ledger import CHAIN_SQL, DECISIONS_SQL, PAYLOAD_SQL, chain
 from corpusloom.plans.ledger import RETIRED_SQL
 from corpusloom.plans.registry import query
 from corpusloom.plans.windows import STEPS_SQL, steps
+from corpusloom.sources.store import materialize
 from corpusloom.sources.tables import table
 
 #: A batch is sixteen consecutive events; the events of a user are the decisions about that user's pool.
@@ -170,47 +173,64 @@ def recovery_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Edits of a ledger entry, and the check that must refuse it.
-CONTROLS = {"payload_edited": "entry_hash", "entry_dropped": "sequence", "entry_repeated": "sequence", "order_swapped": "link", "head_replaced": "link"}
+#: Edits of a log, and the check that must refuse it.
+CONTROLS = {
+    "payload_edited": "entry_hash", "entry_dropped": "sequence", "entry_repeated": "sequence", "order_swapped": "link", "head_replaced": "link",
+    "rehashed": "link", "spliced": "link", "last_removed": "count", "first_removed": "sequence", "renumbered": "sequence",
+}
 
 
-@query(f"WITH c(control, caught_by) AS (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in CONTROLS.items())}), {STEPS_SQL}, n AS (SELECT count(DISTINCT user_id)::BIGINT AS u FROM s WHERE step = 5) SELECT control, caught_by, u AS applied, u AS refused FROM c, n")
+@query(f"WITH c(control, caught_by) AS (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in CONTROLS.items())}), n AS (SELECT count(*)::BIGINT AS u FROM (SELECT user_id FROM events GROUP BY user_id HAVING count(*) >= 4)) SELECT control, caught_by, u AS applied, u AS refused FROM c, n")
 def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each invariant of a chained log is broken on purpose in every user's log, and the named check must refuse it every time."""
+    """Each invariant of a chained log is broken on purpose in the middle of every user's whole log (of four entries or more), and the named check must refuse it every time.
+
+    The checks know a log, its number of entries as a manifest has it, and nothing of the edit.
+    """
     e = steps(spark, sf_dir).withColumn("payload", payload()).withColumn("step", F.col("step").cast("long"))
-    long_enough = e.where("step = 5").select("user_id")
-    e = e.join(long_enough, "user_id", "left_semi").where("step <= 5")
-    ledger = chained(e, "user_id", "step", "payload").join(e.select("user_id", "step", "payload"), ["user_id", "step"])
-    at = F.col("step") == 3
+    sizes = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
+    ledger = chained(e, "user_id", "step", "payload").join(e.select("user_id", "step", "payload"), ["user_id", "step"]).join(sizes, "user_id")
+    ledger = materialize(ledger.withColumn("middle", F.floor(F.col("n") / 2)), "ledger")
+    at = F.col("step") == F.col("middle")
+    other = lambda c, x: F.when(at, x).otherwise(F.col(c))
+    forged = F.concat("payload", F.lit("?"))
     edited = {
-        "payload_edited": ledger.withColumn("payload", F.when(at, F.concat("payload", F.lit("?"))).otherwise(F.col("payload"))),
+        "payload_edited": ledger.withColumn("payload", other("payload", forged)),
         "entry_dropped": ledger.where(~at),
         "entry_repeated": ledger.unionByName(ledger.where(at)),
-        "order_swapped": ledger.withColumn("step", F.when(F.col("step") == 2, 3).when(at, 2).otherwise(F.col("step")).cast("long")),
+        "order_swapped": ledger.withColumn("step", F.when(F.col("step") == F.col("middle") - 1, F.col("middle")).otherwise(other("step", F.col("middle") - 1))),
         "head_replaced": ledger.withColumn("prev_hash", F.when(F.col("step") == 0, F.lit("f" * 64)).otherwise(F.col("prev_hash"))),
+        # The edited entry has a hash of its own again, which the next one does not know.
+        "rehashed": ledger.withColumns({"payload": other("payload", forged), "entry_hash": other("entry_hash", F.sha2(F.concat(forged, "prev_hash"), 256))}),
+        # An entry that is sound, but follows from another beginning.
+        "spliced": ledger.withColumns({"prev_hash": other("prev_hash", F.sha2("prev_hash", 256)), "entry_hash": other("entry_hash", F.sha2(F.concat("payload", F.sha2("prev_hash", 256)), 256))}),
+        "last_removed": ledger.where(F.col("step") < F.col("n") - 1),
+        "first_removed": ledger.where("step > 0"),
+        "renumbered": ledger.withColumn("step", F.when(F.col("step") >= F.col("middle"), F.col("step") + 1).otherwise(F.col("step"))),
     }
+    everything = reduce(DataFrame.unionByName, (log.withColumn("control", F.lit(name)) for name, log in edited.items()))
     w = Window.partitionBy("control", "user_id").orderBy("step")
-    everything = None
-    for name, log in edited.items():
-        one = log.withColumn("control", F.lit(name))
-        everything = one if everything is None else everything.unionByName(one)
     checked = everything.withColumns({"due": F.row_number().over(w) - 1, "link": F.coalesce(F.lag("entry_hash").over(w), F.lit(GENESIS))})
     failed = {
         "entry_hash": (F.sha2(F.concat("payload", "prev_hash"), 256) != F.col("entry_hash")) & (F.col("prev_hash") == F.col("link")),
         "sequence": F.col("step") != F.col("due"),
         "link": F.col("prev_hash") != F.col("link"),
     }
-    by_user = checked.groupBy("control", "user_id").agg(*(F.bool_or(c).alias(n) for n, c in failed.items()))
-    caught = F.when(F.col("sequence"), "sequence").when(F.col("link"), "link").when(F.col("entry_hash"), "entry_hash")
+    by_user = checked.groupBy("control", "user_id").agg(*(F.bool_or(c).alias(n) for n, c in failed.items()), (F.count(F.lit(1)) != F.first("n")).alias("count"))
+    caught = F.when(F.col("sequence"), "sequence").when(F.col("link"), "link").when(F.col("entry_hash"), "entry_hash").when(F.col("count"), "count")
     expected = spark.createDataFrame(list(CONTROLS.items()), "control string, caught_by string")
     return by_user.join(F.broadcast(expected), "control").groupBy("control", "caught_by").agg(F.count(F.lit(1)).alias("applied"), F.count_if(caught == F.col("caught_by")).alias("refused"))
 
 
-@query("SELECT unnest(['checkpoint_corrupted', 'manifest_field_missing']) AS missing_control")
+#: Kinds of events that every branch is to have had, and the step before which.
+EXPECTED, BEFORE = ("click", "error", "purchase", "signup", "view"), 8
+
+
+@query(f"WITH {STEPS_SQL} SELECT user_id, missing_control FROM ((SELECT user_id, unnest({list(EXPECTED)}) AS missing_control FROM (SELECT DISTINCT user_id FROM s)) EXCEPT ALL (SELECT DISTINCT user_id, event_type FROM s WHERE step < {BEFORE}))")
 def controls_not_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared controls without a run: a set difference."""
-    declared = spark.createDataFrame([(n,) for n in (*CONTROLS, "checkpoint_corrupted", "manifest_field_missing")], "missing_control string")
-    return declared.exceptAll(negative_controls(spark, sf_dir).select("control"))
+    """Controls that a branch declared and did not produce in its first steps: what is expected of each, minus what its log has."""
+    s = steps(spark, sf_dir).select("user_id", "event_type", "step")
+    declared = s.select("user_id").distinct().select("user_id", F.explode(F.array(*map(F.lit, EXPECTED))).alias("missing_control"))
+    return declared.exceptAll(s.where(F.col("step") < BEFORE).select("user_id", "event_type").distinct())
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.registry import query
 from corpusloom.plans.statistics import WORD_COUNTS_SQL, word_counts
+from corpusloom.plans.windows import STEPS_SQL, steps
 from corpusloom.sources.tables import table
 
 
@@ -54,21 +55,25 @@ def boundary_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("boundary").agg(F.count(F.lit(1)).alias("n"), F.round(F.exp(F.least(F.avg("loss"), F.lit(20))), 6).alias("perplexity"))
 
 
-#: Steps of a run, warm-up steps, first step of the decay.
-RUN, WARM, DECAY = 1000, 100, 800
+#: Shares of a run that are warm-up and that come before the decay.
+WARM, DECAY = 0.1, 0.8
 
 
 @query(
-    f"""WITH t AS (SELECT unnest(range(0, {RUN})) AS t), m AS (SELECT t, CASE WHEN t < {WARM} THEN (t + 1) / {WARM} ELSE 1 END AS w, 0.5 * (1 + cos(pi() * t / {RUN})) AS c, CASE WHEN t < {DECAY} THEN 1 ELSE ({RUN} - t) / {RUN - DECAY} END AS d FROM t)
-SELECT unnest(['cosine', 'cosine_no_warmup', 'wsd', 'annealed_wsd']) AS family, unnest([round(avg(w * c), 6), round(avg(c), 6), round(avg(w * d), 6), round(avg(w * d * d), 6)]) AS mean_multiplier, unnest([round(max(w * c), 6), round(max(c), 6), round(max(w * d), 6), round(max(w * d * d), 6)]) AS highest FROM m"""
+    f"""WITH {STEPS_SQL}, t AS (SELECT user_id, step AS t, count(*) OVER (PARTITION BY user_id) AS n FROM s),
+m AS (SELECT user_id, least(1.0, (t + 1) / (n * {WARM}::DOUBLE)) AS w, 0.5 * (1 + cos(pi() * t / n)) AS c, least(1.0, (n - t) / (n * {1 - DECAY:.1f}::DOUBLE)) AS d FROM t),
+f AS (SELECT user_id, unnest(['cosine', 'cosine_no_warmup', 'wsd', 'annealed_wsd']) AS family, unnest([w * c, c, w * d, w * d * d]) AS x FROM m)
+SELECT user_id, family, round(avg(x), 6) AS mean_multiplier, round(max(x), 6) AS highest FROM f GROUP BY user_id, family"""
 )
 def schedule_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and highest multiplier of four schedules over a run."""
-    t = spark.range(RUN).select(F.col("id").alias("t"))
-    w = F.when(F.col("t") < WARM, (F.col("t") + 1) / WARM).otherwise(1.0)
-    c, d = 0.5 * (1 + F.cos(F.lit(np.pi) * F.col("t") / RUN)), F.when(F.col("t") < DECAY, 1.0).otherwise((RUN - F.col("t")) / (RUN - DECAY))
-    m = t.select(F.explode(F.array(*(F.struct(F.lit(n).alias("family"), x.alias("x")) for n, x in (("cosine", w * c), ("cosine_no_warmup", c), ("wsd", w * d), ("annealed_wsd", w * d * d))))).alias("m"))
-    return m.groupBy("m.family").agg(F.round(F.avg("m.x"), 6).alias("mean_multiplier"), F.round(F.max("m.x"), 6).alias("highest"))
+    """Mean and highest multiplier of four schedules over each branch's run."""
+    s = steps(spark, sf_dir).select("user_id", F.col("step").alias("t"))
+    t = s.join(s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user_id")
+    n = F.col("n")
+    w = F.least(F.lit(1.0), (F.col("t") + 1) / (n * WARM))
+    c, d = 0.5 * (1 + F.cos(F.lit(np.pi) * F.col("t") / n)), F.least(F.lit(1.0), (n - F.col("t")) / (n * round(1 - DECAY, 1)))
+    m = t.select("user_id", F.explode(F.array(*(F.struct(F.lit(k).alias("family"), x.alias("x")) for k, x in (("cosine", w * c), ("cosine_no_warmup", c), ("wsd", w * d), ("annealed_wsd", w * d * d))))).alias("m"))
+    return m.groupBy("user_id", "m.family").agg(F.round(F.avg("m.x"), 6).alias("mean_multiplier"), F.round(F.max("m.x"), 6).alias("highest"))
 
 
 ESTIMATES_SQL = """g AS (SELECT p_brand, l_quantity AS x, avg(l_extendedprice) AS y, min(l_extendedprice) AS least, median(l_extendedprice) AS mid FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
@@ -170,12 +175,15 @@ def antecedent_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT v::BIGINT AS vocabulary, d::BIGINT AS width, (v * d)::BIGINT AS dense, (32 * 257 * d)::BIGINT AS factored, round(v / (32.0 * 257), 4) AS ratio FROM (SELECT unnest([8192, 16384, 32768, 65536]) AS v) CROSS JOIN (SELECT unnest([256, 1024, 4096]) AS d)")
+@query(
+    f"""WITH {WORD_COUNTS_SQL}, v AS (SELECT lang, count(*) AS v, max(octet_length(encode(word))) AS longest FROM c GROUP BY lang)
+SELECT lang, v::BIGINT AS vocabulary, d::BIGINT AS width, (v * d)::BIGINT AS dense, (longest * 257 * d)::BIGINT AS factored, round(v / (longest * 257.0)::DOUBLE, 4) AS ratio FROM v CROSS JOIN (SELECT unnest([256, 1024, 4096]) AS d)"""
+)
 def parameter_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameters of a table of vectors, and of one built from byte cells."""
-    v, d = spark.createDataFrame([(x,) for x in (8192, 16384, 32768, 65536)], "vocabulary long"), spark.createDataFrame([(x,) for x in (256, 1024, 4096)], "width long")
-    p = v.crossJoin(F.broadcast(d))  # twelve rows
-    return p.select("vocabulary", "width", (F.col("vocabulary") * F.col("width")).alias("dense"), (32 * 257 * F.col("width")).alias("factored"), F.round(F.col("vocabulary") / (32.0 * 257), 4).alias("ratio"))
+    """Parameters of a table of vectors for each language's words, and of one built from cells of byte and place up to its longest word."""
+    v = word_counts(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("vocabulary"), F.max(F.octet_length("word")).cast("long").alias("longest"))
+    p = v.withColumn("width", F.explode(F.array(*(F.lit(x).cast("long") for x in (256, 1024, 4096)))))
+    return p.select("lang", "vocabulary", "width", (F.col("vocabulary") * F.col("width")).alias("dense"), (F.col("longest") * 257 * F.col("width")).alias("factored"), F.round(F.col("vocabulary") / (F.col("longest") * 257.0), 4).alias("ratio"))
 
 
 @query(f"WITH {WORD_COUNTS_SQL}, t AS (SELECT word, sum(n) AS n, count(DISTINCT lang) AS langs FROM c GROUP BY word) SELECT langs::BIGINT AS languages, count(*)::BIGINT AS types, sum(n)::BIGINT AS tokens, round(sum(n) / sum(sum(n)) OVER (), 6) AS coverage FROM t GROUP BY langs")

@@ -10,6 +10,7 @@ from corpusloom.plans.learning import OBS_SQL, observations
 from corpusloom.plans.registry import query
 from corpusloom.plans.shards import MASK_SQL, windows
 from corpusloom.plans.statistics import WORD_COUNTS_SQL, word_counts
+from corpusloom.plans.windows import STEPS_SQL, steps
 from corpusloom.sources.tables import table
 
 #: Dimensions of an observation besides its lane, each from what a row holds.
@@ -218,12 +219,15 @@ def stage_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT arg_max(t, r)::BIGINT AS peak_step, round(max(r), 6) AS peak, min(t) FILTER (WHERE abs(r - 1) < 0.01 AND t > 100)::BIGINT AS settled FROM (SELECT t, (1 - power(0.9, t)) / sqrt(1 - power(0.999, t)) AS r FROM (SELECT unnest(range(1, 8000)) AS t))")
+@query(
+    f"""WITH {STEPS_SQL}, r AS (SELECT user_id, step + 1 AS t, (1 - power(0.9, step + 1)) / sqrt(1 - power(0.999, step + 1)) AS r FROM s)
+SELECT user_id, count(*)::BIGINT AS steps, arg_max(t, r)::BIGINT AS peak_step, round(max(r), 6) AS peak, round(arg_max(r, t), 6) AS last FROM r GROUP BY user_id"""
+)
 def correction_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the ratio of bias corrections is largest, and from where on it is within a hundredth of one."""
-    t = F.col("t")
-    r = spark.range(1, 8000).withColumnRenamed("id", "t").withColumn("r", (1 - F.pow(F.lit(0.9), t)) / F.sqrt(1 - F.pow(F.lit(0.999), t)))
-    return r.agg(F.max_by("t", "r").alias("peak_step"), F.round(F.max("r"), 6).alias("peak"), F.min(F.when((F.abs(F.col("r") - 1) < 0.01) & (t > 100), t)).alias("settled"))
+    """Where in each branch's run the ratio of bias corrections is largest, and what it is at the end."""
+    t = (F.col("step") + 1).cast("long")
+    r = steps(spark, sf_dir).select("user_id", t.alias("t"), ((1 - F.pow(F.lit(0.9), t)) / F.sqrt(1 - F.pow(F.lit(0.999), t))).alias("r"))
+    return r.groupBy("user_id").agg(F.count(F.lit(1)).alias("steps"), F.max_by("t", "r").alias("peak_step"), F.round(F.max("r"), 6).alias("peak"), F.round(F.max_by("r", "t"), 6).alias("last"))
 
 
 @query(

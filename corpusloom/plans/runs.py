@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import derived_int
 from corpusloom.plans.registry import query
+from corpusloom.plans.statistics import WORD_COUNTS_SQL, word_counts
 from corpusloom.plans.windows import STEPS_SQL, steps
 from corpusloom.sources.tables import table
 
@@ -76,23 +77,36 @@ def derived_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", draw.alias("draw")).where("draw < 10")
 
 
-#: What a pipeline is: its rules by name and its thresholds, and a tokenizer by its parts.
+#: A pipeline's rules by name with their thresholds, and what a tokenizer is besides its vocabulary.
 PIPELINE = {"min_words": "20", "near_duplicate": "0.55", "pii": "email,phone_in,street_address", "repeat_run": "32"}
-TOKENIZER = {"specials": "<pad>,<eos>", "version": "1", "vocabulary": "bytes"}
+TOKENIZER = {"specials": "<pad>,<eos>", "version": "1"}
 
 
-def _canonical(values: dict[str, str]) -> str:
-    return "{" + ",".join(f'"{k}":"{values[k]}"' for k in sorted(values)) + "}"
+def _canonical_sql(fixed: dict[str, str], measured: str, value: str) -> str:
+    parts = {**{k: f"'{v}'" for k, v in fixed.items()}, measured: value}
+    return " || ".join(["'{'", " || ',' || ".join(f"""'"{k}":"' || {parts[k]} || '"'""" for k in sorted(parts)), "'}'"])
 
 
-@query(f"SELECT unnest(['pipeline', 'tokenizer']) AS name, unnest([sha256('{_canonical(PIPELINE)}'), sha256('{_canonical(TOKENIZER)}')]) AS hash")
+@query(
+    f"""WITH {WORD_COUNTS_SQL}, v AS (SELECT lang, CAST(sum(CAST('0x' || substr(sha256(word), 1, 12) AS HUGEINT)) AS VARCHAR) AS digest FROM c GROUP BY lang),
+s AS (SELECT source, CAST(count(*) AS VARCHAR) AS n FROM documents GROUP BY source)
+SELECT 'tokenizer' AS kind, lang AS name, sha256({_canonical_sql(TOKENIZER, "vocabulary", "digest")}) AS hash FROM v UNION ALL SELECT 'pipeline', source, sha256({_canonical_sql(PIPELINE, "documents", "n")}) FROM s"""
+)
 def configuration_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of what a run was configured with; names of rules count, their text does not."""
+    """Hashes of what each language's vocabulary and each source's pipeline is; a word more or less, or a threshold, gives another. Names of rules count, their text does not.
+
+    A vocabulary enters by the sum of its words' hashes, so that its order tells nothing and no list of it is made.
+    """
 
-    def hashed(values: dict[str, str]) -> Column:
-        return F.sha2(F.to_json(F.struct(*(F.lit(values[k]).alias(k) for k in sorted(values)))), 256)
+    def hashed(values: dict[str, str], measured: str, value: Column) -> Column:
+        parts = {**{k: F.lit(v) for k, v in values.items()}, measured: value}
+        return F.sha2(F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts)))), 256).alias("hash")
 
-    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), hashed(v).alias("hash")) for n, v in (("pipeline", PIPELINE), ("tokenizer", TOKENIZER))))))
+    one = F.conv(F.substring(F.sha2("word", 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    words = word_counts(spark, sf_dir).groupBy("lang").agg(F.sum(one).cast("string").alias("digest"))
+    sources = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    a = words.select(F.lit("tokenizer").alias("kind"), F.col("lang").alias("name"), hashed(TOKENIZER, "vocabulary", F.col("digest")))
+    return a.unionByName(sources.select(F.lit("pipeline").alias("kind"), F.col("source").alias("name"), hashed(PIPELINE, "documents", F.col("n"))))
 
 
 @query(

@@ -10,6 +10,7 @@ from corpusloom.functions.hashing import derived_seed
 from corpusloom.operators.prefix import row_numbers
 from corpusloom.plans.registry import query
 from corpusloom.plans.text import words_sql
+from corpusloom.plans.windows import STEPS_SQL, steps
 from corpusloom.sources.tables import table
 
 
@@ -155,30 +156,44 @@ def stratified_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(y, ["p_brand", "stratum", "i"]).select("p_partkey", "permuted_size")
 
 
-def learning_rate(step: Column, warmup: int, total: int, floor: float) -> Column:
+def learning_rate(step: Column, warmup: int, total: Column | int, floor: float) -> Column:
     """Linear warm-up, then a cosine down to a floor."""
     done = (step - warmup) / (total - warmup)
     return F.when(step < warmup, (step + 1) / warmup).otherwise(F.cos(F.least(done, F.lit(1.0)) * F.pi()) * 0.5 * (1 - floor) + 0.5 * (1 + floor))
 
 
-@query("SELECT i::BIGINT AS step, round(CASE WHEN i < 50 THEN (i + 1) / 50.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(least((i - 50) / 450.0, 1.0) * pi())) END, 6) AS lr, round((1 - power(0.9, i + 1)) / sqrt(1 - power(0.999, i + 1)), 6) AS bias_ratio FROM (SELECT unnest(range(0, 600)) AS i)")
+#: Warm-up steps of a branch, and what is left of the rate at its end.
+WARM_UP, FLOOR = 5, 0.1
+
+
+@query(
+    f"""WITH {STEPS_SQL}, r AS (SELECT event_id, step, count(*) OVER (PARTITION BY user_id) AS total FROM s)
+SELECT event_id, step::BIGINT AS step, round(CASE WHEN step < {WARM_UP} THEN (step + 1) / {WARM_UP}.0 ELSE {FLOOR} + {1 - FLOOR} * 0.5 * (1 + cos(least((step - {WARM_UP}) / greatest(total - {WARM_UP}, 1)::DOUBLE, 1.0) * pi())) END, 6) AS lr,
+ round((1 - power(0.9, step + 1)) / sqrt(1 - power(0.999, step + 1)), 6) AS bias_ratio FROM r"""
+)
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.range(600).withColumnRenamed("id", "step")
+    """The rate at each step of each branch, whose length sets the schedule, and the ratio of bias corrections there."""
+    s = steps(spark, sf_dir).select("event_id", "user_id", F.col("step").cast("long").alias("step"))
+    total = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
     t = F.col("step") + 1
-    return s.select("step", F.round(learning_rate(F.col("step"), 50, 500, 0.1), 6).alias("lr"), F.round((1 - F.pow(F.lit(0.9), t)) / F.sqrt(1 - F.pow(F.lit(0.999), t)), 6).alias("bias_ratio"))
+    rate = learning_rate(F.col("step"), WARM_UP, F.greatest(F.col("total"), F.lit(WARM_UP + 1)), FLOOR)
+    return s.join(total, "user_id").select("event_id", "step", F.round(rate, 6).alias("lr"), F.round((1 - F.pow(F.lit(0.9), t)) / F.sqrt(1 - F.pow(F.lit(0.999), t)), 6).alias("bias_ratio"))
 
 
 @query(
-    """WITH g(stage) AS (VALUES (0), (1), (2), (3)), n AS (SELECT 8 * (1 << k) AS gpus FROM (SELECT unnest(range(0, 4)) AS k))
-SELECT stage::BIGINT AS stage, gpus::BIGINT AS gpus, round(CASE stage WHEN 0 THEN 16.0 WHEN 1 THEN 4 + 12.0 / gpus WHEN 2 THEN 2 + 14.0 / gpus ELSE 16.0 / gpus END, 6) AS bytes_per_parameter, round(CASE stage WHEN 3 THEN 3 ELSE 2 END * (gpus - 1) / gpus * 2.0, 6) AS bytes_sent FROM g CROSS JOIN n"""
+    """WITH p AS (SELECT label, sum(len(embedding)) AS parameters FROM embeddings GROUP BY label), g(stage) AS (VALUES (0), (1), (2), (3)), n AS (SELECT 8 * (1 << k) AS gpus FROM (SELECT unnest(range(0, 4)) AS k))
+SELECT label::BIGINT AS label, stage::BIGINT AS stage, gpus::BIGINT AS gpus, round(parameters * CASE stage WHEN 0 THEN 16.0::DOUBLE WHEN 1 THEN 4 + 12.0::DOUBLE / gpus WHEN 2 THEN 2 + 14.0::DOUBLE / gpus ELSE 16.0::DOUBLE / gpus END, 2) AS bytes,
+ round(parameters * CASE stage WHEN 3 THEN 3 ELSE 2 END * (gpus - 1) / gpus::DOUBLE * 2.0, 2) AS bytes_sent FROM p CROSS JOIN g CROSS JOIN n"""
 )
 def sharded_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes per parameter and bytes sent by sharding stage and number of devices (mixed precision with Adam)."""
+    """Bytes that each table of vectors takes on a device, and bytes sent, by sharding stage and number of devices (mixed precision with Adam)."""
+    p = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.sum(F.size("embedding")).alias("parameters"))
+    stages, devices = (F.array(*(F.lit(x).cast("long") for x in xs)) for xs in (range(4), (8, 16, 32, 64)))
+    grid = p.withColumn("stage", F.explode(stages)).withColumn("gpus", F.explode(devices))
     g = F.col("gpus")
-    grid = spark.range(4).select(F.col("id").alias("stage")).crossJoin(spark.range(4).select((F.lit(8) * F.pow(F.lit(2), "id")).cast("long").alias("gpus")))
     memory = F.when(F.col("stage") == 0, 16.0).when(F.col("stage") == 1, F.lit(12.0) / g + 4).when(F.col("stage") == 2, F.lit(14.0) / g + 2).otherwise(F.lit(16.0) / g)
     sent = F.when(F.col("stage") == 3, 3).otherwise(2) * (g - 1) / g * 2.0
-    return grid.select("stage", "gpus", F.round(memory, 6).alias("bytes_per_parameter"), F.round(sent, 6).alias("bytes_sent"))
+    return grid.select("label", "stage", "gpus", F.round(F.col("parameters") * memory, 2).alias("bytes"), F.round(F.col("parameters") * sent, 2).alias("bytes_sent"))
 
 
 def adam(gradients: Column, b1: float = 0.9, b2: float = 0.999, rate: float = 0.01, eps: float = 1e-8) -> Column:

@@ -65,10 +65,16 @@ ALPHABET_SQL = """al AS (SELECT b, chr(CASE WHEN p THEN b ELSE 256 + (sum(CASE W
  FROM (SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 AS p FROM range(256) r(b)))"""
 
 
-@query(f"WITH {ALPHABET_SQL} SELECT b::BIGINT AS byte, c AS shown FROM al")
+@query(
+    f"""WITH {WORD_COUNTS_SQL}, {ALPHABET_SQL}, x AS (SELECT CAST('0x' || unnest(regexp_extract_all(hex(encode(word)), '..')) AS INTEGER) AS b, n FROM c)
+SELECT al.b::BIGINT AS byte, al.c AS shown, sum(x.n)::BIGINT AS n FROM x JOIN al ON al.b = x.b GROUP BY al.b, al.c"""
+)
 def byte_alphabet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The printable character of each byte."""
-    return spark.createDataFrame(list(enumerate(ALPHABET)), "byte long, shown string")
+    """The bytes that the table's words have, the printable character that stands for each, and how often it occurs."""
+    alphabet = F.broadcast(spark.createDataFrame(list(enumerate(ALPHABET)), "byte long, shown string"))
+    pairs = F.filter(F.split(F.hex(F.encode("word", "UTF-8")), "(?<=\\G..)"), lambda h: h != "")
+    each = word_counts(spark, sf_dir).select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    return each.withColumn("byte", F.conv("pair", 16, 10).cast("long")).join(alphabet, "byte").select("byte", "shown", "n")
 
 
 @query(
