@@ -16,6 +16,8 @@ from corpusloom.sources.tables import table
 #: Manifest fields that must be known, and what counts as unknown.
 HARD_FIELDS = ("tokenizer_hash", "cleaning_pipeline_hash", "dedup_status", "pii_screen_status", "eval_overlap_status", "repeat_ngram_status")
 UNKNOWN = ("", "missing", "unknown", "blocked_or_unknown")
+#: Texts with copies that are sent to all tasks, at most; a hundred bytes each.
+COPIES_SENT = 1_000_000
 
 
 def reasons(**conditions: Column) -> Column:
@@ -36,8 +38,10 @@ def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = fg.postings(table(spark, sf_dir, "benchmark"), "item_id", "text", fx.CONTAINMENT_WORDS, False)
     facts = fg.flagged(facts, "text", items, fx.CONTAINMENT_WORDS, "leak", "doc_id").drop("text")
     facts = materialize(facts, "screened")
-    first = facts.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    joined = facts.join(first, "digest")
+    first = facts.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "copies")
+    # A text that very many rows have is one row here; where these are few, they go to where the rows are.
+    joined = facts.join(F.broadcast(first) if first.count() <= COPIES_SENT else first, "digest", "left")
     against = reasons(
         duplicate=F.col("doc_id") != F.col("first_id"), eval_overlap=F.col("leak"), personal_data=F.col("pii"), too_short=F.col("n_words") < 20
     )

@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from corpusloom.plans import admission, archives, audit, codec, configs, evidence, fits, language, ledger, learning, mixture, packing, planner, recovery, relational, reports, runs, scans, shards, similarity, statistics, streams, supply, text, unicode, windows  # noqa: F401
+    from corpusloom.plans import admission, archives, audit, codec, configs, evidence, fits, language, ledger, learning, manifests, mixture, packing, planner, recovery, relational, reports, runs, scans, shards, similarity, statistics, streams, supply, text, unicode, windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
