@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import derived_int
 from corpusloom.operators.prefix import row_numbers, running_sums
+from corpusloom.operators.similarity import small
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import table
 
@@ -71,7 +72,7 @@ def held_out_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last twentieth of each language's characters is held out."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     total = d.groupBy("lang").agg(F.sum("n_chars").alias("total"))
-    seen = running_sums(d, "lang", ["doc_id"], {"seen": F.coalesce("n_chars", F.lit(0))}).join(total, "lang")
+    seen = running_sums(d, "lang", ["doc_id"], {"seen": F.coalesce("n_chars", F.lit(0))}).join(small(total, "40"), "lang")
     return seen.select("doc_id", "lang", (F.col("seen") > F.col("total") * 0.95).alias("held_out"))
 
 

@@ -128,12 +128,12 @@ def quoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-@query("SELECT d.doc_id, r.doc_id AS registered_id FROM documents d JOIN documents r ON sha256(coalesce(d.text, '')) = sha256(coalesce(r.text, '')) WHERE d.doc_id % 2 = 0 AND r.doc_id % 2 = 1")
+@query("SELECT doc_id, registered_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(coalesce(text, ''))) AS registered_id FROM documents) WHERE doc_id <> registered_id")
 def exact_hash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Served documents (here the even ids) whose text a registered one (an odd id) has too, by a join on the digest."""
+    """Documents whose text was registered before, by a join on the digest: the registry has the first document of each text that several have."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    registry = d.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "registered_id")
-    return d.where("doc_id % 2 = 0").join(registry, "digest").select("doc_id", "registered_id")
+    registry = d.groupBy("digest").agg(F.min("doc_id").alias("registered_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return d.join(small(registry, "80"), "digest").where("doc_id <> registered_id").select("doc_id", "registered_id")
 
 
 @query(

@@ -23,8 +23,10 @@ def _folder(spark: SparkSession, name: str) -> str:
 def _complete(spark: SparkSession, sf_dir: str, name: str, plan) -> DataFrame:
     folder = _folder(spark, name)
     stream = ev.read_events(spark, f"{sf_dir}/events*.parquet")
-    ev.run_once(plan(stream), f"{folder}/out", f"{folder}/state", "complete")
-    return ev.last_batch(spark, f"{folder}/out")
+    last = ev.run_once(plan(stream), f"{folder}/out", f"{folder}/state", "complete")
+    if last is None:
+        raise ValueError("there are no event files")
+    return ev.of_batch(spark, f"{folder}/out", last)
 
 
 @query("SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, event_type, count(*)::BIGINT AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")

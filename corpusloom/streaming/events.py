@@ -72,18 +72,19 @@ def append_ledger(target: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_once(df: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there and stop. Complete and update results are kept by batch; the last batch of ``complete`` is the result."""
+def run_once(df: DataFrame, target: str, checkpoint: str, mode: str = "append") -> int | None:
+    """Process what is there and stop; the number of the last batch. Complete and update results are kept by batch; the last batch of ``complete`` is the result."""
+    last: list[int] = []
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        last[:] = [batch_id]
 
     query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
+    return last[0] if last else None
 
 
-def last_batch(spark: SparkSession, target: str) -> DataFrame:
-    """The result of the last batch of a ``complete`` query; all batches are read as one table and the last one's rows kept."""
-    whole = spark.read.parquet(target)
-    last = whole.agg(F.max("batch")).first()[0]
-    return whole.where(F.col("batch") == F.lit(last)).drop("batch")
+def of_batch(spark: SparkSession, target: str, batch: int) -> DataFrame:
+    """The rows of one batch; no other batch's files are listed or read."""
+    return spark.read.parquet(f"{target}/batch={batch}")
