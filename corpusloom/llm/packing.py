@@ -2,8 +2,8 @@
 
 Each document becomes full windows plus a remainder; a remainder goes to the fill level that
 minimises the sum of squared counts of partially filled windows. Partitions pack on their own,
-so nothing is shuffled. What is left open at the end of a partition is cut into windows whose
-lengths are powers of two, which need no padding.
+so nothing is shuffled. Of the windows that are open at the end of a partition, the fullest are
+filled up from the emptiest; the last ones have powers of two as their lengths. Nothing is padded.
 """
 
 from __future__ import annotations
@@ -173,9 +173,44 @@ class SumOfSquares:
         n[level + size] += 1
         return None
 
-    def leftover(self) -> list[tuple]:
-        """Every piece in a window that is still open, in a fixed order."""
-        return [p for level in self.open for held in level for p in held]
+    def close(self) -> Iterator[list[tuple]]:
+        """The windows that are still open, as sequences: full ones, and at the end powers of two.
+
+        The fullest window keeps what was placed in it and is filled up from the emptiest one, whose
+        pieces are cut as they are needed; so only what stood in the emptiest windows moves.
+        """
+        windows = [held for level in reversed(self.open) for held in level]
+        spare: list[tuple] = []
+        first, last = 0, len(windows) - 1
+        while first <= last:
+            held, need = windows[first], self.window - sum(len(p[2]) for p in windows[first])
+            first += 1
+            while need and (spare or first <= last):
+                if not spare:
+                    spare = windows[last][::-1]
+                    last -= 1
+                doc_id, start, tokens, total = spare.pop()
+                held.append((doc_id, start, tokens[:need], total))
+                if len(tokens) > need:
+                    spare.append((doc_id, start + need, tokens[need:], total))
+                need -= len(held[-1][2])
+            if need:
+                spare = held[::-1]
+                break
+            yield held
+        # Less than a window is left.
+        left = sum(len(p[2]) for p in spare)
+        while left:
+            size = 1 << left.bit_length() - 1
+            left -= size
+            sequence = []
+            while size:
+                doc_id, start, tokens, total = spare.pop()
+                sequence.append((doc_id, start, tokens[:size], total))
+                if len(tokens) > size:
+                    spare.append((doc_id, start + size, tokens[size:], total))
+                size -= len(sequence[-1][2])
+            yield sequence
 
 
 def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int, eos: int) -> Iterator[pa.RecordBatch]:
@@ -214,21 +249,8 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int, e
                         emit(full)
             if len(rows) > 20_000:
                 yield flush()
-    # The open windows' pieces in one line: cut into full windows, then into powers of two.
-    line = squares.leftover()
-    left = sum(len(p[2]) for p in line)
-    lengths = [window] * (left // window) + [1 << k for k in range(window.bit_length() - 1, -1, -1) if (left % window) >> k & 1]
-    k = 0
-    for length in lengths:
-        pieces = []
-        while length:
-            doc_id, start, tokens, total = line[k]
-            take = min(length, len(tokens))
-            pieces.append((doc_id, start, tokens[:take], total))
-            line[k] = (doc_id, start + take, tokens[take:], total)
-            k += take == len(tokens)
-            length -= take
-        emit(pieces)
+    for sequence_of in squares.close():
+        emit(sequence_of)
     yield flush()
 
 

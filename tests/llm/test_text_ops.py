@@ -107,6 +107,39 @@ def test_sum_of_squares_choice():
         assert int((squares.count[1:16] ** 2).sum()) == min(options)
 
 
+def test_closing_moves_only_the_emptiest_windows():
+    r = random.Random(8)
+    for _ in range(200):
+        w = r.choice([4, 16, 64, 2048])
+        squares = packing.SumOfSquares(w)
+        want = defaultdict(list)
+        for k in range(r.randint(0, 300)):
+            tokens = np.arange(r.randint(1, w - 1))
+            want[k] = tokens.tolist()
+            for doc, start, ids, _ in squares.place((k, 0, tokens, len(tokens)), len(tokens)) or []:
+                assert ids.tolist() == want.pop(doc)
+        held = sum(map(len, squares.open))
+        tokens = sum(map(len, want.values()))
+        sequences = list(squares.close())
+        got = defaultdict(dict)
+        for s in sequences:
+            for doc, start, ids, _ in s:
+                got[doc][start] = ids.tolist()
+        assert {d: sum((p[k] for k in sorted(p)), []) for d, p in got.items()} == want
+        sizes = [sum(len(p[2]) for p in s) for s in sequences]
+        assert sizes == [w] * (tokens // w) + [1 << k for k in range(w.bit_length() - 1, -1, -1) if (tokens % w) >> k & 1]
+        assert not held or len(sequences) >= 1
+
+
+def test_most_remainders_stay_whole(spark):
+    """Eight partitions of the larger table: what the end of a partition cuts is a small part of all remainders."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartitionByRange(8, "doc_id")
+    rows = packing.pack(docs).selectExpr("doc_id", "doc_tokens % 2048 as rest", "start = doc_tokens - doc_tokens % 2048 and length = doc_tokens % 2048 as whole").where("rest > 0")
+    n, whole = rows.selectExpr("count(distinct doc_id) as n", "count_if(whole) as whole").first()
+    print("whole remainders", whole, "of", n)
+    assert whole >= 0.85 * n
+
+
 def test_tree_codec_matches_the_library():
     import public_tokenizers
     import tiktoken
