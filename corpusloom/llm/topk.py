@@ -23,6 +23,11 @@ SAMPLE, PIVOTS, RINGS, BLOCK, QUERY_BLOCK = 2048, 32, 16, 256, 256
 PACK = 1024
 SCALE = 256
 
+#: Components beyond this (after scaling) take no part, so that scores of vectors of up to 2048 components fit in 64 bits.
+LARGEST = 1 << 26
+#: Bytes of pivots or directories that are sent to all tasks, at most; more are joined by shuffle.
+SENT_BYTES = 64 << 20
+
 #: Below every score.
 NO_SCORE = -(1 << 63)
 
@@ -30,10 +35,10 @@ RESULT = "query_row long, query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id and v = floor(scale * x) of the vectors that take part: id and components not null, components finite, at least one."""
+    """vec_id and v = floor(scale * x) of the vectors that take part: id and components not null, components finite and not beyond LARGEST, at least one."""
     x = F.col(vector_col)
     fit = x.isNotNull() & F.col(id_col).isNotNull() & (F.size(x) > 0)
-    fit &= F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
+    fit &= F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) * scale < LARGEST))
     return vectors.where(fit).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
 
 
@@ -96,12 +101,13 @@ def bounds(queries: np.ndarray, directory: dict) -> np.ndarray:
     the annulus. The smaller bound holds; a little is added for rounding.
     """
     q = queries.astype(np.float64)
-    pivots = directory["pivots"][directory["pivot"]]
+    pivots, own = directory["pivots"], directory["pivot"]
     norm = np.sqrt((q * q).sum(axis=1))[:, None]
-    away = np.sqrt(np.maximum(0, ((q[:, None, :] - pivots[None]) ** 2).sum(axis=2)))
+    # One distance and one product for each pivot, not for each of its annuli.
+    away = np.stack([np.sqrt(((q - p) ** 2).sum(axis=1)) for p in pivots], axis=1)[:, own]
     gap = np.maximum(0, np.maximum(directory["low"] - away, away - directory["high"]))
     shell = (norm**2 + directory["norm"] ** 2 - gap**2) / 2
-    cone = q @ pivots.T + norm * directory["high"]
+    cone = (q @ pivots.T)[:, own] + norm * directory["high"]
     best = np.minimum(np.minimum(shell, cone), norm * directory["norm"])
     return best + 1e-6 * (1 + np.abs(best))
 
@@ -172,19 +178,24 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _sent(table: DataFrame, size: str) -> DataFrame:
+    """A written table with a row for each length, sent to all tasks where the sum of ``size`` is under the bound."""
+    return F.broadcast(table) if (table.agg(F.sum(F.expr(size))).first()[0] or 0) <= SENT_BYTES else table
+
+
 def _placed(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every vector with its pivot and annulus, and the pivots of every length; ``vectors`` has row, vec_id, v and dim."""
     counts = materialize(vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")), "lengths")
     # By a hash of the row, somewhat more than SAMPLE rows of a length, and all rows of a short one.
     place = F.shiftrightunsigned(F.xxhash64("row"), 1)
-    drawn = vectors.join(counts, "dim").withColumn("place", place).where((F.col("n") <= 2 * SAMPLE) | (F.col("place") < 1.25 * SAMPLE * float(1 << 63) / F.col("n")))
+    drawn = vectors.join(_sent(counts, "16"), "dim").withColumn("place", place).where((F.col("n") <= 2 * SAMPLE) | (F.col("place") < 1.25 * SAMPLE * float(1 << 63) / F.col("n")))
     block = BLOCK
     pivots = materialize(
         drawn.select("dim", "n", "place", "row", "v").groupBy("dim").applyInPandas(lambda frame: _pivots(frame, block), "dim long, pivots binary, width double"), "pivots"
     )
     packs = vectors.select("dim", "row", "vec_id", "v").mapInArrow(_pack, "dim long, rows array<bigint>, vec_ids array<bigint>, flat array<bigint>")
     schema = "dim long, row long, vec_id long, v array<bigint>, pivot long, ring long, dist double, norm double"
-    return materialize(packs.join(pivots, "dim").mapInArrow(lambda b: _assign(b, RINGS), schema), "placed"), pivots
+    return materialize(packs.join(_sent(pivots, "octet_length(pivots)"), "dim").mapInArrow(lambda b: _assign(b, RINGS), schema), "placed"), pivots
 
 
 def _search_all(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
@@ -197,6 +208,7 @@ def _search_all(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
     # At most PIVOTS * RINGS cells for each length.
     cells = rings.groupBy("dim").agg(F.sort_array(F.collect_list(F.struct("pivot", "ring", "low", "high", "norm"))).alias("cells"), F.sum("asked").alias("asked"))
     directory = materialize(cells.where("asked > 0").join(pivots.drop("width"), "dim"), "directory")
+    by_length = _sent(directory, "octet_length(pivots) + 40 * size(cells)")
     blocks = (
         placed.join(rings.select(*annulus, "n"), annulus)
         .withColumn("chunk", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / BLOCK).cast("long")))
@@ -204,13 +216,13 @@ def _search_all(vectors: DataFrame, is_query: str, k: int) -> DataFrame:
         .agg(F.collect_list(F.struct("row", "vec_id", "v")).alias("held"))
         .select(*annulus, F.col("held.row").alias("rows"), F.col("held.vec_id").alias("vec_ids"), F.flatten("held.v").alias("flat"))
     )
-    queries = placed.where(is_query).join(directory.select("dim", F.ceil(F.col("asked") / QUERY_BLOCK).cast("long").alias("n_blocks")), "dim")
+    queries = placed.where(is_query).join(by_length.select("dim", F.ceil(F.col("asked") / QUERY_BLOCK).cast("long").alias("n_blocks")), "dim")
 
     def run(asked: DataFrame, first: bool) -> DataFrame:
         query_blocks = (
             asked.groupBy("dim", F.pmod(F.xxhash64("row"), F.col("n_blocks")).alias("block"))
             .agg(F.collect_list(F.struct("row", "vec_id", "v", "beat")).alias("queries"))
-            .join(directory.select("dim", "cells", "pivots"), "dim")
+            .join(by_length.select("dim", "cells", "pivots"), "dim")
             .select("dim", "queries", "cells", "pivots")
         )
         routed = query_blocks.mapInArrow(
@@ -228,8 +240,8 @@ def exact_top_k(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "ve
     """query_id, rank, vec_id, score: the k highest integer inner products of every query row.
 
     ``is_query`` is a condition on vec_id. A row never finds itself; another row that repeats its id
-    may be found. Rows whose id or vector is null, whose vector is empty or holds null or non-finite
-    components take no part. Vectors are compared with those of their own length. Queries get all
+    may be found. Rows whose id or vector is null, whose vector is empty or holds null, non-finite or
+    huge components (LARGEST after scaling) take no part. Vectors are compared with those of their own length. Queries get all
     other rows where these are fewer than k; without queries or rows the result is empty.
     """
     clean = materialize(quantised(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("v").cast("long")), "vectors")
