@@ -43,10 +43,24 @@ def exact_duplicate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(first, "digest").select("doc_id", "first_id", F.when(F.col("first_id") == F.col("doc_id"), "unique").otherwise("exact_duplicate").alias("status"))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT a, b, round(jaccard, 6) AS jaccard FROM pairs")
+@query(
+    f"""WITH {PAIRS_SQL}, k AS (SELECT id, sha256(string_agg(gram, chr(10) ORDER BY gram)) AS h FROM g GROUP BY id), r AS (SELECT id, min(id) OVER (PARTITION BY h) AS first FROM k)
+SELECT a, b, round(jaccard, 6) AS jaccard, FALSE AS copy FROM pairs WHERE a IN (SELECT first FROM r) AND b IN (SELECT first FROM r) UNION ALL SELECT first, id, 1.0, TRUE FROM r WHERE id <> first"""
+)
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = self_pairs(fg.sets(cleaned(spark, sf_dir), "doc_id", "text", 5, True), fx.NEAR_DUPLICATE)
-    return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Similar pairs of different sets, each set standing for the first document that has it, and the copies of each.
+
+    Copies are not paired with each other, so a group of any size has as many rows as members.
+    """
+    sets = fg.sets(cleaned(spark, sf_dir), "doc_id", "text", 5, True).where("n_grams > 0")
+    order = F.array_sort("grams")
+    keyed = materialize(sets.withColumns({"h": F.xxhash64(order), "k": F.xxhash64(order, F.lit(1))}), "sets")
+    first = materialize(keyed.groupBy("h", "k", "n_grams").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")), "first")
+    several = small(first.where("members > 1"), "40")
+    copies = keyed.select("id", "h", "k", "n_grams").join(several, ["h", "k", "n_grams"]).where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    heads = keyed.join(small(copies.select(F.col("b").alias("id")), "8"), "id", "left_anti").select("id", "n_grams", "grams")
+    pairs = self_pairs(heads, fx.NEAR_DUPLICATE).select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.lit(False).alias("copy"))
+    return pairs.unionByName(copies.select("a", "b", F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy")))
 
 
 @query(
