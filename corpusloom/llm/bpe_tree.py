@@ -38,7 +38,7 @@ from corpusloom.llm._bytes import slices
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf, and bytes of a leaf inside one match of the pattern.
-LEAF_CHARS, LEAF_BYTES = 160, 32
+LEAF_CHARS, LEAF_BYTES = 320, 32
 #: Ids that are joined at once when decoding; pieces whose ids a task remembers; what is no token.
 LEAF_IDS, REMEMBERED, NO_RANK = 256, 400_000, 1 << 62
 #: Places between matches: white space of these kinds behind a character that is none.
