@@ -268,3 +268,23 @@ def test_rank_of_the_embeddings(spark, sf_dir):
     row = registry.queries()["matrix_rank"](spark, sf_dir).first()
     assert (row.n, row.width, row["rank"]) == (*x.shape, np.linalg.matrix_rank(x))
     assert row.effective_rank == pytest.approx(float(np.exp(-(p * np.log(p)).sum())), abs=1e-3)
+
+
+def test_bands_that_miss_lose_no_pair(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import registry
+    from corpusloom.plans import similarity as plans
+
+    base = [f"w{i}" for i in range(40)]
+    texts = [base, base[:30] + ["x", "y"], base, [f"z{i}" for i in range(20)], base[4:], [w.upper() for w in base]]
+    spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    shingles = [{tuple(w.lower() for w in t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in enumerate(shingles) for b, y in enumerate(shingles) if a < b and len(x & y) / len(x | y) >= 0.55}
+    assert len(want) == 10
+    monkeypatch.setattr(plans, "banded_pairs", lambda sets: spark.createDataFrame([], "a long, b long"))
+    assert {(p.a, p.b): p.jaccard for p in registry.queries()["minhash_bands"](spark, str(tmp_path)).collect()} == want
+    # Classes and the pairs of their first documents hold the same links.
+    rows = registry.queries()["near_duplicate_pairs"](spark, str(tmp_path)).collect()
+    first = {p.b: p.a for p in rows if p.copy}
+    near = {(p.a, p.b): p.jaccard for p in rows if not p.copy}
+    of = [first.get(i, i) for i in range(len(texts))]
+    assert {(a, b): j for a in range(len(texts)) for b in range(a + 1, len(texts)) if (j := 1.0 if of[a] == of[b] else near.get((min(of[a], of[b]), max(of[a], of[b]))))} == want
