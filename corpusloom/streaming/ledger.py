@@ -12,7 +12,7 @@ import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,25 +36,22 @@ class Chain(StatefulProcessor):
         self._chain = handle.getValueState("chain", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: ANN001, N802, N803
-        import pandas as pd
-
-        head, offset, *last = self._chain.get() if self._chain.exists() else (GENESIS, 0, None, None)
+        # A branch has few events in a batch: rows cost less than a frame for each branch.
+        stored = self._chain.get()
+        head, offset, *last = stored or (GENESIS, 0, None, None)
         last = None if last[0] is None else tuple(last)
-        frame = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        out = []
-        for us, ident, payload in zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["payload"].tolist(), strict=True):
+        begun = offset
+        for us, ident, payload in sorted((r["us"], r["event_id"], r["payload"]) for r in rows):
             if last is not None and (us, ident) <= last:
                 continue
             entry = hashlib.sha256((payload + head).encode()).hexdigest()
-            out.append((key[0], offset, ident, us, payload, head, entry))
+            yield Row(branch=key[0], step=offset, event_id=ident, us=us, payload=payload, prev_hash=head, entry_hash=entry)
             head, offset, last = entry, offset + 1, (us, ident)
-        if out:
+        if offset > begun:
             self._chain.update((head, offset, *last))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in ENTRIES.split(", ")])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: ANN001, N802, N803
-        row = initialState.iloc[0]
-        self._chain.update((row["head"], int(row["next_offset"]), int(row["last_us"]), int(row["last_id"])))
+        self._chain.update((initialState["head"], initialState["next_offset"], initialState["last_us"], initialState["last_id"]))
 
     def close(self) -> None:
         pass
@@ -67,7 +64,7 @@ def entries(events: DataFrame, saved: DataFrame | None = None) -> DataFrame:
     """
     fit = events.select("branch", "event_id", "us", "payload").dropna()
     start = saved.select("branch", "head", "next_offset", "last_us", "last_id").groupBy("branch") if saved is not None else None
-    return fit.groupBy("branch").transformWithStateInPandas(Chain(), ENTRIES, "Append", "None", start)
+    return fit.groupBy("branch").transformWithState(Chain(), ENTRIES, "Append", "None", start)
 
 
 @contextmanager
