@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as fx
-from corpusloom.functions.hashing import content_hash, le_uint32
+from corpusloom.functions.arrow_bytes import SLICE_BYTES, buffers, slices
+from corpusloom.functions.hashing import content_hash
 from corpusloom.operators import packing as ops
 from corpusloom.plans.registry import query
 from corpusloom.plans.text import words_sql
@@ -158,9 +165,23 @@ def blocked_attention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shard_token_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 over little-endian 32-bit tokens; here a token is a byte."""
-    data = F.hex(F.encode("text", "UTF-8"))
-    tokens = F.transform(F.filter(F.split(data, "(?<=\\G..)"), lambda b: b != ""), lambda b: F.conv(b, 16, 10).cast("long"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(le_uint32(tokens), 256).alias("token_sha"), F.octet_length("text").cast("long").alias("n_tokens"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = buffers(part.column("text"))
+                digests = []
+                for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    digest = hashlib.sha256()
+                    for at in range(start, end, SLICE_BYTES):
+                        digest.update(data[at : min(end, at + SLICE_BYTES)].astype("<u4"))
+                    digests.append(digest.hexdigest())
+                given = part.column("text").is_valid()
+                hashes, sizes = pa.array(digests, pa.string()), pa.array(np.diff(offsets), pa.int64())
+                yield pa.record_batch([part.column("doc_id"), pc.if_else(given, hashes, None), pc.if_else(given, sizes, None)], names=["doc_id", "token_sha", "n_tokens"])
+
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(hashed, "doc_id long, token_sha string, n_tokens long")
 
 
 @query("SELECT conv_id, substr(sha256('{\"conv_id\":' || conv_id || ',\"n\":' || count(*) || '}'), 1, 16) AS sample_id FROM conversations GROUP BY conv_id")
