@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as fx
+from corpusloom.functions.arrow_bytes import slices
 from corpusloom.plans.codec import WORD_COUNTS_SQL, word_counts
 from corpusloom.plans.registry import query
 from corpusloom.plans.text import words_sql
@@ -21,13 +22,14 @@ POSITIONS = 8
 
 
 def in_arrow(df: DataFrame, column: str, f, out: str, kind: str) -> DataFrame:  # noqa: ANN001
-    """``df`` with ``f`` of each value of a string column, null for null, in Arrow batches."""
+    """``df`` with ``f`` of each value of a string column, null for null, in slices of Arrow batches, so that strings of one slice are held."""
     arrow = {"string": pa.string(), "long": pa.int64()}[kind]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = [None if v is None else f(v) for v in b.column(column).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(values, arrow)], names=[*b.schema.names, out])
+        for batch in batches:
+            for b in slices(batch, column):
+                values = [None if v is None else f(v) for v in b.column(column).to_pylist()]
+                yield pa.record_batch([*b.columns, pa.array(values, arrow)], names=[*b.schema.names, out])
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema.fields)
     return df.mapInArrow(apply, f"{fields}, {out} {kind}")
