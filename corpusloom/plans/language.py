@@ -18,6 +18,8 @@ from corpusloom.sources.tables import table
 
 #: Bytes of the longest n-gram, buckets, labelled texts that the model is fitted on (at most), steps of the fit, shortest text that is no short one (bytes), confidence below which no language is given.
 GRAMS, BUCKETS, SAMPLE, STEPS, SHORT, CONFIDENT = 4, 1 << 12, 2000, 300, 50, 0.6
+#: Texts that are described at once, each by BUCKETS numbers (16 KB), however short they are.
+DESCRIBED = 256
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -82,7 +84,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", max_rows=DESCRIBED):
                 yield pa.record_batch([part.column("key"), part.column("lang"), pa.array([r.tobytes() for r in features(part.column("text"))], pa.binary())], names=["key", "lang", "x"])
 
     rows = slim.mapInArrow(describe, "key string, lang string, x binary").collect()
@@ -102,7 +104,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", max_rows=DESCRIBED):
                 x = features(part.column("text"))
                 some = x.any(axis=1) if model.languages else np.zeros(len(x), dtype=bool)
                 best, p = model.predict(x) if model.languages else ([None] * len(x), np.zeros(len(x)))
