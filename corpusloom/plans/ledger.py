@@ -24,18 +24,19 @@ c(user_id, step, event_id, prev_hash, entry_hash) AS (SELECT user_id, step, even
  UNION ALL SELECT e.user_id, e.step, e.event_id, c.entry_hash, sha256(e.payload || c.entry_hash) FROM c JOIN e ON e.user_id = c.user_id AND e.step = c.step + 1)"""
 
 
-def chained(events: DataFrame, key: str, order: str, body: str) -> DataFrame:
-    """Each key's entries in order, every one with the hash of the one before and its own.
+def chained(events: DataFrame, key: str, order: str, body: str, with_body: bool = False) -> DataFrame:
+    """Each key's entries in order, every one with the hash of the one before and its own, and ``with_body`` with its body, which no join then needs to bring.
 
     A link needs the link before, so a key's entries stream through one task, which holds the last hash.
     """
 
     def link(head: str, row: tuple) -> tuple[str, tuple]:
         entry = hashlib.sha256((getattr(row, body) + head).encode()).hexdigest()
-        return entry, (getattr(row, key), getattr(row, order), head, entry)
+        out = (getattr(row, key), getattr(row, order), head, entry)
+        return entry, (*out, getattr(row, body)) if with_body else out
 
     slim = events.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), body)
-    return fold_by_key(slim, key, order, GENESIS, link, f"{key} long, {order} long, prev_hash string, entry_hash string")
+    return fold_by_key(slim, key, order, GENESIS, link, f"{key} long, {order} long, prev_hash string, entry_hash string" + (f", {body} string" if with_body else ""))
 
 
 def first_breaks(ledger: DataFrame, key: str, order: str, body: str) -> DataFrame:
