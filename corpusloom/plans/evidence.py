@@ -35,7 +35,7 @@ def batch_hash(ids: Column, lanes: Column) -> Column:
 def write(spark: SparkSession, sf_dir: str, folder: str) -> None:
     """The bundle of a run over the events (branches are users) and of shards of the documents."""
     s = steps(spark, sf_dir).withColumn("payload", payload()).withColumn("step", F.col("step").cast("long"))
-    chained(s, "user_id", "step", "payload").join(s.select("user_id", "step", "payload"), ["user_id", "step"]).write.parquet(f"{folder}/ledger")
+    chained(s, "user_id", "step", "payload", with_body=True).write.parquet(f"{folder}/ledger")
 
     d = decisions(spark, sf_dir).select("event_id", "user_id", "lane", "score", "decision")
     d.write.parquet(f"{folder}/decisions")
@@ -83,9 +83,10 @@ class Bundle:
         return self.changed.get(name, lambda t: t)(stored)
 
 
-def held(name: str, units: DataFrame, holds: Column) -> DataFrame:
-    """check, units and failed: rows, and those for which a condition is not true (null is not)."""
-    return units.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("units"), F.count_if(~F.coalesce(holds, F.lit(False))).alias("failed"))
+def held(units: DataFrame, **checks: Column) -> DataFrame:
+    """check, units and failed of checks of the same units, in one pass: rows, and those for which a condition is not true (null is not)."""
+    counts = units.agg(F.count(F.lit(1)).alias("units"), *(F.count_if(~F.coalesce(holds, F.lit(False))).alias(name) for name, holds in checks.items()))
+    return counts.select("units", F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.col(name).alias("failed")) for name in checks))).alias("c")).select("c.check", "units", "c.failed")
 
 
 def verify(b: Bundle) -> DataFrame:
@@ -123,22 +124,30 @@ def verify(b: Bundle) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         [
-            held("ledger_hashes_recompute", ledger, (F.sha2(F.concat("payload", "prev_hash"), 256) == F.col("entry_hash")) & (F.col("prev_hash") == F.coalesce("before", F.lit(GENESIS)))),
-            held("ledger_offsets_are_gapless", ledger, F.col("step") == F.coalesce(F.col("last") + 1, F.lit(0))),
-            held("batch_hashes_recompute", batches, batch_hash(F.col("ids"), F.col("lanes")) == F.col("batch_hash")),
-            held("lanes_agree_with_the_ledger", lanes, F.col("apart").isNull()),
-            held("tokens_agree_with_the_ledger", lanes, (F.col("tokens") == F.col("n_tokens")) & (F.col("loss") == F.col("n_loss"))),
-            held("members_are_in_the_ledger", lanes, (F.col("known") == F.size("ids")) & (F.size("ids") + F.col("n_pad") == BATCH)),
-            held("raw_tokens_reconstruct", performance, F.col("raw") == F.col("raw_tokens")),
-            held("loss_tokens_reconstruct", performance, F.col("loss") == F.col("loss_tokens")),
-            held("utilization_reconstructs", performance, F.abs(F.col("used") - F.col("utilization")) < 2e-6),
-            held("delivered_shares_match", shares, F.abs(F.col("found") - F.col("share")) < 1e-3),
-            held("summary_declares_its_scope", summary, F.col("scope") == SCOPE),
-            held("rejection_rate_reconstructs", summary, F.abs(F.col("found") - F.col("rejection_rate")) <= 5.1e-5),
-            held("nothing_rejected_was_served", served, F.col("admitted")),
-            held("content_hashes_recompute", shards, (F.sha2("body", 256) == F.col("content_hash")) & (F.octet_length("body") == F.col("bytes"))),
-            held("one_tokenizer_everywhere", tokenizers, F.col(tokenizers.columns[0])),
-            held("admission_recomputes", manifests, should == F.col("admitted")),
+            held(
+                ledger,
+                ledger_hashes_recompute=(F.sha2(F.concat("payload", "prev_hash"), 256) == F.col("entry_hash")) & (F.col("prev_hash") == F.coalesce("before", F.lit(GENESIS))),
+                ledger_offsets_are_gapless=F.col("step") == F.coalesce(F.col("last") + 1, F.lit(0)),
+            ),
+            held(batches, batch_hashes_recompute=batch_hash(F.col("ids"), F.col("lanes")) == F.col("batch_hash")),
+            held(
+                lanes,
+                lanes_agree_with_the_ledger=F.col("apart").isNull(),
+                tokens_agree_with_the_ledger=(F.col("tokens") == F.col("n_tokens")) & (F.col("loss") == F.col("n_loss")),
+                members_are_in_the_ledger=(F.col("known") == F.size("ids")) & (F.size("ids") + F.col("n_pad") == BATCH),
+            ),
+            held(
+                performance,
+                raw_tokens_reconstruct=F.col("raw") == F.col("raw_tokens"),
+                loss_tokens_reconstruct=F.col("loss") == F.col("loss_tokens"),
+                utilization_reconstructs=F.abs(F.col("used") - F.col("utilization")) < 2e-6,
+            ),
+            held(shares, delivered_shares_match=F.abs(F.col("found") - F.col("share")) < 1e-3),
+            held(summary, summary_declares_its_scope=F.col("scope") == SCOPE, rejection_rate_reconstructs=F.abs(F.col("found") - F.col("rejection_rate")) <= 5.1e-5),
+            held(served, nothing_rejected_was_served=F.col("admitted")),
+            held(shards, content_hashes_recompute=(F.sha2("body", 256) == F.col("content_hash")) & (F.octet_length("body") == F.col("bytes"))),
+            held(tokenizers, one_tokenizer_everywhere=F.col(tokenizers.columns[0])),
+            held(manifests, admission_recomputes=should == F.col("admitted")),
         ],
     )
 
