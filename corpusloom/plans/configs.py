@@ -48,13 +48,19 @@ CONFIG_SQL = """concat(repeat('{"inner":[{"type":"Sequence","pretokenizers":[',
  repeat(concat(',{"type":"Split","pattern":{"String":"', p_brand, '"}}]}]}'), CAST(p_size % 4 AS INTEGER)))"""
 
 
+def configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration for each part, dealt over all cores: the scanned file is small beside the nodes that are made of it."""
+    dealt = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return dealt.select("p_partkey", F.parse_json(F.expr(CONFIG_SQL)).alias("cfg"))
+
+
 @query(
     f"""WITH t AS (SELECT p_partkey, CAST({CONFIG_SQL} AS JSON) AS cfg FROM part), w AS (SELECT p_partkey, j.fullkey AS spot, j.key, j.type, j.atom, j.path FROM t, json_tree(t.cfg) j)
 SELECT p_partkey, replace(spot, '"', '') AS path, key AS kind, json_extract_string(atom, '$') AS pattern FROM w WHERE key IN ('Regex', 'String') AND type = 'VARCHAR' AND replace(path, '"', '') LIKE '%.pattern'"""
 )
 def splitter_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pattern in the configurations, at whatever depth, with its path: what a field ``pattern`` holds under Regex or String."""
-    t = table(spark, sf_dir, "part").select("p_partkey", F.parse_json(F.expr(CONFIG_SQL)).alias("cfg"))
+    t = configurations(spark, sf_dir)
     nodes = walk(t, "p_partkey", "cfg")
     held = nodes.where(F.col("name").isin("Regex", "String") & F.col("path").rlike(r"\.pattern\.(Regex|String)$"))
     return held.select("p_partkey", "path", F.col("name").alias("kind"), text("value").alias("pattern")).where("pattern is not null")
@@ -67,7 +73,7 @@ SELECT p_partkey, count(*)::BIGINT AS nodes, max(len(string_split(replace(replac
 )
 def splitter_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes, depth and kinds of rules of each configuration."""
-    t = table(spark, sf_dir, "part").select("p_partkey", F.parse_json(F.expr(CONFIG_SQL)).alias("cfg"))
+    t = configurations(spark, sf_dir)
     nodes = walk(t, "p_partkey", "cfg").withColumn("depth", F.regexp_count("path", F.lit(r"[.\[]")))
     kind = F.when(F.col("name") == "type", text("value"))
     return nodes.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").cast("long").alias("depth"), F.count(kind).alias("types"), F.count_distinct(kind).alias("kinds"))
