@@ -66,3 +66,68 @@ def test_hashes(spark):
     row = spark.range(1).select(content_hash(b=F.lit(1), a=F.lit("x")).alias("h"), F.hex(le_uint32(F.array(F.lit(1), F.lit(70000)))).alias("t")).first()
     assert row.h == hashlib.sha256(b'{"a":"x","b":1}').hexdigest()
     assert row.t == "0100000070110100"
+
+
+def test_token_hashes_of_null_empty_and_wide_texts(spark, tmp_path):
+    import hashlib
+
+    from corpusloom.plans import registry
+
+    texts = [None, "", "a", "é" * 700_000, "x\x00y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["shard_token_hash"](spark, str(tmp_path))
+    want = {i: (None, None) if t is None else (hashlib.sha256(b"".join(bytes([b, 0, 0, 0]) for b in t.encode())).hexdigest(), len(t.encode())) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.token_sha, r.n_tokens) for r in got.collect()} == want
+
+
+def test_slices_hold_few_rows_of_short_texts():
+    import pyarrow as pa
+
+    from corpusloom.functions.arrow_bytes import slices
+    from corpusloom.plans import language
+
+    batch = pa.record_batch([pa.array([str(i) for i in range(1000)])], names=["text"])
+    parts = list(slices(batch, "text", max_rows=language.DESCRIBED))
+    assert [p.num_rows for p in parts] == [256, 256, 256, 232]
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert [p.num_rows for p in slices(batch, "text", max_bytes=100)][0] == 55
+
+
+def test_strings_are_made_slice_by_slice(spark, tmp_path, monkeypatch):
+    """Whole Arrow batches were turned into strings at once."""
+    from corpusloom.plans import unicode
+
+    seen = []
+    text = "a" * 400_000
+
+    class Frame:
+        schema = spark.createDataFrame([], "text string").schema
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            import pyarrow as pa
+
+            seen.extend(b.num_rows for b in f(iter([pa.record_batch([pa.array([text] * 10)], names=["text"])])))
+
+    unicode.in_arrow(Frame(), "text", lambda t: t, "same", "string")
+    assert sum(seen) == 10 and max(seen) <= 2
+
+
+def test_configurations_are_dealt_over_cores(spark, sf_dir):
+    from corpusloom.plans import configs
+
+    assert configs.configurations(spark, sf_dir).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_chained_entries_bring_their_bodies(spark):
+    from corpusloom.plans.ledger import chained
+
+    e = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "user_id long, step long, payload string")
+    got = chained(e, "user_id", "step", "payload", with_body=True).collect()
+    assert sorted((r.user_id, r.step, r.payload) for r in got) == [(1, 0, "a"), (1, 1, "b"), (2, 0, "c")]
+
+
+def test_checks_of_the_same_units_are_one_pass(spark):
+    from corpusloom.plans.evidence import held
+
+    rows = held(spark.createDataFrame([(1,), (2,), (None,)], "x int"), small=F.col("x") < 2, given=F.col("x").isNotNull())
+    assert sorted(map(tuple, rows.collect())) == [("given", 3, 1), ("small", 3, 2)]
