@@ -1,7 +1,8 @@
 """Training corpus from raw documents: quality, exact and near duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written before the next stage
-reads it. All but the last return the columns of ``documents``.
+reads it. All but the last return the columns of ``documents``. The session's Arrow batches are held
+to about 2 MB from the first stage on, since a stage's table is computed when its caller writes it.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, jaccard_join, packing, quality, secrets
-from corpusloom.llm._store import materialize
+from corpusloom.llm._store import BATCH_BYTES, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among all documents, rejects neither for low quality nor as toxic."""
+    spark.conf.set(*BATCH_BYTES)
     labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = quality.train(labelled, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return quality.score_quality(docs.select(*COLUMNS), model).where("kept and coalesce(clean, true)").select(*COLUMNS)
@@ -41,6 +43,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    spark.conf.set(*BATCH_BYTES)
     return packing.pack(docs)
 
 

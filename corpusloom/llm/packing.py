@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm._bytes import SPACE, WindowHash, buffers, byte_class, slices
+from corpusloom.llm._bytes import NARROW_BYTES, SPACE, WindowHash, buffers, byte_class, slices
 
 WINDOW = 2048
 EOS_ID = 1
@@ -235,7 +235,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, window: int, e
         return out
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", NARROW_BYTES):
             ids, bounds = encode(part.column("text"))
             for doc_id, low, high in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 tokens = np.append(ids[low:high], np.uint32(eos)).astype("<u4")

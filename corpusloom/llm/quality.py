@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm._bytes import LOWER, SPACE, WindowHash, buffers, per_row, slices, spans
+from corpusloom.llm._bytes import LOWER, NARROW_BYTES, SPACE, WindowHash, buffers, per_row, slices, spans
 
 #: Hash buckets, labelled rows that are fitted (at most), steps, step size, ridge penalty.
 BUCKETS, SAMPLE, STEPS, RATE, RIDGE = 1 << 17, 3000, 600, 0.05, 1e-5
@@ -76,7 +76,7 @@ def weighted(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each labelled text as its distinct buckets and their values, so that long texts cost the driver no more than the buckets."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", NARROW_BYTES):
             row, bucket, value = weighted(part.column("text"))
             edges = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(edges, pa.array(x, kind)) for x, kind in ((bucket, pa.int32()), (value, pa.float32()))]
@@ -173,7 +173,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
 
 def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None, keep_grade: int, keep_probability: float, clean_probability: float, text_col: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, text_col):
+        for part in slices(batch, text_col, NARROW_BYTES):
             n = part.num_rows
             if model is None:
                 expected = tail = clean_p = pa.nulls(n, pa.float64())

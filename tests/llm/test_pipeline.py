@@ -4,7 +4,10 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
 from corpusloom.llm import quality
+from corpusloom.llm._store import materialize
 from tests.llm.test_jaccard import brute
 from tests.llm.test_scans import brute_secret
 
@@ -98,6 +101,33 @@ def test_stages_on_odd_rows(spark):
     assert {p.doc_id for p in pieces} == {r[0] for r in rows}
 
 
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """Tasks get about 2 MB at once, however long texts are, whether a stage writes a table or its caller does."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    texts = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 4000).alias("text"))
+    measured = texts.mapInArrow(sizes, "n long, bytes long")
+    spark.conf.set(key, "64m")
+    got = materialize(measured, "sizes").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 3 << 20
+    assert spark.conf.get(key) == "64m"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    try:
+        for stage in (cp.quality_classifier, cp.packing_stage):
+            spark.conf.set(key, "64m")
+            stage(spark, docs, SF)
+            got = measured.collect()
+            assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 3 << 20
+    finally:
+        spark.conf.unset(key)
+
+
 def test_registered():
     import __spark_entry__ as e
 
