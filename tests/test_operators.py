@@ -288,3 +288,58 @@ def test_bands_that_miss_lose_no_pair(spark, tmp_path, monkeypatch):
     near = {(p.a, p.b): p.jaccard for p in rows if not p.copy}
     of = [first.get(i, i) for i in range(len(texts))]
     assert {(a, b): j for a in range(len(texts)) for b in range(a + 1, len(texts)) if (j := 1.0 if of[a] == of[b] else near.get((min(of[a], of[b]), max(of[a], of[b]))))} == want
+
+
+def _documents(spark, folder, texts):
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+
+
+def _sql_rows(folder, name):
+    import duckdb
+
+    from corpusloom.plans import registry
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    found = c.sql(registry.oracle_sql()[name])
+    return found.columns, sorted(found.fetchall(), key=str)
+
+
+@pytest.mark.parametrize("name", ["minhash_bands"])
+def test_groups_of_near_copies_are_compared_in_place(spark, tmp_path, monkeypatch, name):
+    """Only a few pairs of a group's sets are sent with their grams, and the rows are those of the SQL."""
+    from corpusloom.plans import registry
+
+    r = random.Random(11)
+    base = [[f"w{k}x{i}" for i in range(120)] for k in range(2)]
+    texts = [" ".join(f"n{r.random()}" if r.random() < 0.012 else w for w in base[k % 2]) for k in range(80)]
+    # Copies, other letters of the same lower case, white space and personal data, and what is no similar text.
+    texts += [texts[0], texts[1].upper(), texts[2].replace(" ", " \t "), None, "", "one", "two words", "One", "a@b.c+x@y.z İstanbul Σας", "a@b.c+x@y.z istanbul σας"]
+    texts += [" ".join(f"v{k}y{i}" for i in range(50)) for k in range(5)]
+    _documents(spark, tmp_path, texts)
+    sent, scored = [], similarity.scored_pairs
+
+    def counted(pairs, *rest):
+        sent.append(pairs.count())
+        return scored(pairs, *rest)
+
+    monkeypatch.setattr(similarity, "scored_pairs", counted)
+    got = registry.queries()[name](spark, str(tmp_path))
+    columns, want = _sql_rows(tmp_path, name)
+    assert sorted((tuple(x) for x in got.select(*columns).collect()), key=str) == want
+    assert len(want) > 900
+    assert sum(sent) < 800
+
+
+def test_blocks_of_sets_and_keys_lose_no_pair(spark, monkeypatch):
+    r = random.Random(12)
+    base = r.sample(range(1 << 40), 40)
+    rows = [(i, sorted({x if r.random() < 0.93 else r.randrange(1 << 40) for x in base})) for i in range(60)]
+    sets = spark.createDataFrame([(i, len(x), x) for i, x in rows], "id long, n_grams long, grams array<bigint>")
+    want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in rows for b, y in rows if a < b}
+    want = {k: j for k, j in want.items() if j >= 0.55}
+    nothing = lambda held: spark.createDataFrame([], "a long, b long")
+    for cell, block, propose in ((7, 1 << 13, None), (1 << 10, 5, nothing), (3, 4, similarity.banded_pairs)):
+        monkeypatch.setattr(similarity, "CELL", cell)
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        assert {(p.a, p.b): pytest.approx(p.jaccard) for p in similarity.self_pairs(sets, 0.55, propose).collect()} == want
