@@ -305,7 +305,7 @@ def _sql_rows(folder, name):
     return found.columns, sorted(found.fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["minhash_bands"])
+@pytest.mark.parametrize("name", ["minhash_bands", "near_duplicate_pairs"])
 def test_groups_of_near_copies_are_compared_in_place(spark, tmp_path, monkeypatch, name):
     """Only a few pairs of a group's sets are sent with their grams, and the rows are those of the SQL."""
     from corpusloom.plans import registry
