@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.similarity import small
 from corpusloom.sources.store import materialize
 
 
@@ -15,15 +16,14 @@ def resolve_in_order(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     the nodes whose earlier neighbours are all settled or among them an original; ``original`` is
     the smallest such neighbour, or null for originals. ``pairs`` has (a, b) with a < b.
     """
-    later = pairs.select(F.col("b").alias("id")).distinct().withColumn("open", F.lit(True))
-    state = nodes.select("id").join(later, "id", "left").withColumn("is_original", F.when(F.col("open").isNull(), F.lit(True)))
-    state = materialize(state.select("id", "is_original"), "state")
+    # Nodes without a pair are originals; only the others have a state.
+    ends = F.array(*(F.struct(F.col(x).alias("id"), F.lit(x == "b").alias("later")) for x in "ab"))
+    state = pairs.select(F.explode(ends).alias("end")).groupBy("end.id").agg(F.bool_or("end.later").alias("later"))
+    state = materialize(state.select("id", F.when(~F.col("later"), F.lit(True)).alias("is_original")), "state")
     left = pairs
     while True:
-        # Only pairs whose later node is open are looked at again.
-        unsettled = state.where("is_original is null").select(F.col("id").alias("b"))
-        left = materialize(left.join(unsettled, "b", "left_semi"), "pairs")
-        earlier = left.join(state.withColumnsRenamed({"id": "a", "is_original": "before"}), "a").groupBy("b").agg(
+        before = small(state.withColumnsRenamed({"id": "a", "is_original": "before"}), "9")
+        earlier = left.join(before, "a").groupBy("b").agg(
             F.coalesce(F.bool_or("before"), F.lit(False)).alias("any_original"), F.count_if(F.col("before").isNull()).alias("unsettled")
         )
         moved = state.join(earlier.withColumnRenamed("b", "id"), "id", "left").select(
@@ -34,7 +34,12 @@ def resolve_in_order(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             .alias("is_original"),
         )
         state = materialize(moved, "state")
-        if not state.where("is_original is null").limit(1).count():
+        unsettled = state.where("is_original is null").select(F.col("id").alias("b"))
+        if not unsettled.limit(1).count():
             break
-    first = pairs.join(state.where("is_original").select(F.col("id").alias("a")), "a", "left_semi").groupBy("b").agg(F.min("a").alias("original"))
-    return state.join(first.withColumnRenamed("b", "id"), "id", "left").select("id", F.when(~F.col("is_original"), F.col("original")).alias("original"))
+        # Only pairs whose later node is open are looked at again.
+        left = materialize(left.join(small(unsettled, "8"), "b", "left_semi"), "pairs")
+    originals = small(state.where("is_original").select(F.col("id").alias("a")), "8")
+    duplicates = small(state.where("not is_original").select(F.col("id").alias("b")), "8")
+    first = pairs.join(originals, "a", "left_semi").join(duplicates, "b", "left_semi").groupBy("b").agg(F.min("a").alias("original"))
+    return nodes.select("id").join(first.withColumnRenamed("b", "id"), "id", "left")
